@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, secrets
+from . import chat, jaccard, mixing, packing, secrets, substrings
 
 
 def queries():
     return {
         "op1_packing": packing.query,
+        "op2_jaccard": jaccard.query,
         "op3_chat": chat.query,
+        "op4_substrings": substrings.query,
         "op5_mixing": mixing.query,
         "op10_secrets": secrets.query,
     }
