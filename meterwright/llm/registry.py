@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, languages, merkle, mixing, packing, secrets, substrings
+from . import chat, embeddings, jaccard, languages, merkle, mixing, packing, private, secrets, substrings
 
 
 def queries():
@@ -12,6 +12,8 @@ def queries():
         "op3_chat": chat.query,
         "op4_substrings": substrings.query,
         "op5_mixing": mixing.query,
+        "op6_private": private.query,
+        "op7_embeddings": embeddings.query,
         "op8_merkle": merkle.query,
         "op9_languages": languages.query,
         "op10_secrets": secrets.query,
