@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import ledger_queries
+
+MODULES = [ledger_queries]
+
 
 def queries():
-    return {}
+    return {name: query for module in MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: twin for module in MODULES for name, (_, twin) in module.QUERIES.items() if twin}
