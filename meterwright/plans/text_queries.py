@@ -73,8 +73,9 @@ def _deltas(spark, d):
     return counters.counter_delta(_counters(spark, d), ["input", "output"])
 
 
-def _on_docs(**columns):
-    return lambda s, d: _docs(s, d).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+def _on_docs(columns):
+    """A query of named columns; they are made when it runs, as columns need a session."""
+    return lambda s, d: _docs(s, d).select("doc_id", *[c.alias(n) for n, c in columns().items()])
 
 
 def _events(spark, d):
@@ -82,8 +83,8 @@ def _events(spark, d):
 
 
 QUERIES = {
-    "f2_account_hash": (_on_docs(h=S.account_hash(F.concat(F.lit(" "), "source", F.lit("@X.com ")))), "SELECT doc_id, substr(sha256(lower(trim(' ' || source || '@X.com '))), 1, 12) AS h FROM documents"),
-    "f3_short_hash": (_on_docs(h=S.short_hash(F.col("text")), r=S.redact("session", F.col("source"))), "SELECT doc_id, substr(sha256(text), 1, 8) AS h, 'session-' || substr(sha256(source), 1, 8) AS r FROM documents"),
+    "f2_account_hash": (_on_docs(lambda: dict(h=S.account_hash(F.concat(F.lit(" "), "source", F.lit("@X.com "))))), "SELECT doc_id, substr(sha256(lower(trim(' ' || source || '@X.com '))), 1, 12) AS h FROM documents"),
+    "f3_short_hash": (_on_docs(lambda: dict(h=S.short_hash(F.col("text")), r=S.redact("session", F.col("source")))), "SELECT doc_id, substr(sha256(text), 1, 8) AS h, 'session-' || substr(sha256(source), 1, 8) AS r FROM documents"),
     "f4_context_tokens": (
         lambda s, d: adapter.settled(s, d).select("sid", "req", (F.col("input") + F.col("cc") + F.col("cr")).alias("context"), (F.col("input") + F.col("cc") + F.col("cr") + F.col("out")).alias("tokens")),
         sql("SELECT sid, req, input + cc + cr AS context, input + cc + cr + out AS tokens FROM settled"),
@@ -95,16 +96,16 @@ QUERIES = {
     "f6_round2": (lambda s, d: adapter.settled(s, d).select("sid", "req", S.round2(F.col("cost_e8") / 1e8).alias("usd")), sql("SELECT sid, req, floor(cost_e8 / 1e8 * 100 + 0.5) / 100 AS usd FROM settled")),
     "f7_labels": (lambda s, d: adapter.settled(s, d).select("sid", "req", S.date_key(F.col("ts_s")).alias("day"), S.time_label(F.col("ts_s")).alias("time")), sql("SELECT sid, req, strftime(to_timestamp(ts_s), '%Y-%m-%d') AS day, strftime(to_timestamp(ts_s), '%H:%M') AS time FROM settled")),
     "f8_est_tokens": (
-        _on_docs(a=S.est_tokens_a(F.col("text")), b=S.est_tokens_b(F.col("text"))),
+        _on_docs(lambda: dict(a=S.est_tokens_a(F.col("text")), b=S.est_tokens_b(F.col("text")))),
         f"SELECT doc_id, ceil(n / 4.0::DOUBLE + (length(text) - n) / 1.5::DOUBLE)::BIGINT AS a, ceil(n / 2.1::DOUBLE + (length(text) - n) * 1.35::DOUBLE)::BIGINT AS b FROM (SELECT *, {ASCII} AS n FROM documents)",
     ),
     "f10_script_scale": (lambda s, d: _docs(s, d).select("doc_id", S.script_scale(F.col("text")).alias("scale")), "SELECT doc_id, 1.0::DOUBLE AS scale FROM documents"),
     "f11_fold": (
-        _on_docs(t=S.fold(F.col("text"), 500, 300, 200)),
+        _on_docs(lambda: dict(t=S.fold(F.col("text"), 500, 300, 200))),
         r"SELECT doc_id, CASE WHEN length(t) <= 500 THEN t ELSE regexp_replace(left(t, 300), '\s+$', '') || ' …[+' || (length(t) - 500) || ' chars, read L{n} for the rest] ' || regexp_replace(right(t, 200), '^\s+', '') END AS t FROM (SELECT doc_id, " + STRIP.format("text") + " AS t FROM documents)",
     ),
     "f14_structures": (
-        _on_docs(t=S.abstract_structures(F.concat(F.lit("```\ncode\n``` \n- a\n- b\n- c\n"), "text"))),
+        _on_docs(lambda: dict(t=S.abstract_structures(F.concat(F.lit("```\ncode\n``` \n- a\n- b\n- c\n"), "text")))),
         None,  # a repeated group of bounded repetitions is more than RE2 takes; held by a fixture test
     ),
     "f16_project_key": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", S.project_key(F.col("url")).alias("key")), "SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9]', '-', 'g') AS key FROM pages"),
@@ -112,7 +113,7 @@ QUERIES = {
         lambda s, d: _events(s, d).select("event_id", S.badge(F.array_compact(F.array(F.when(F.col("k") > 80, "cost_danger").when(F.col("k") > 60, "cost_warn"), F.when(F.col("k") % 7 == 0, "ctx_warn"), F.when(F.col("k") % 5 == 0, "heuristic_resume"))), F.when(F.col("k") % 3 == 0, F.concat(F.lit("limit_hit_weekly"), F.lit("{1am}")))).alias("badge")),
         sql("SELECT event_id, CASE WHEN k > 80 THEN '**' WHEN k > 60 THEN '*' ELSE '' END || CASE WHEN k % 7 = 0 THEN '#' ELSE '' END || CASE WHEN k % 5 = 0 THEN '?' ELSE '' END || CASE WHEN k % 3 = 0 THEN '%W' ELSE '' END AS badge FROM ev"),
     ),
-    "f18_mask_digits": (_on_docs(t=S.mask_digits(F.col("text"))), "SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') AS t FROM documents"),
+    "f18_mask_digits": (_on_docs(lambda: dict(t=S.mask_digits(F.col("text")))), "SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') AS t FROM documents"),
     "f19_model_family": (lambda s, d: adapter.settled(s, d).groupBy(S.model_family(F.col("model")).alias("family")).agg(F.count(F.lit(1)).alias("n")), sql("SELECT CASE WHEN model LIKE '%haiku%' THEN 'H' WHEN model LIKE '%sonnet%' THEN 'S' ELSE 'O' END AS family, count(*)::BIGINT AS n FROM settled GROUP BY 1")),
     "f20_plan_key": (
         lambda s, d: _docs(s, d).select("doc_id", S.plan_key(F.when(F.col("doc_id") % 2 == 0, "pro").otherwise(F.col("source"))).alias("p")).select("doc_id", "p.key", "p.raw"),
@@ -120,7 +121,7 @@ QUERIES = {
     ),
     "f21_fmt_span": (lambda s, d: _events(s, d).select("event_id", S.fmt_span(F.col("k") * 30).alias("span")), sql("SELECT event_id, CASE WHEN m % 1440 = 0 THEN (m // 1440) || 'd' WHEN m % 60 = 0 THEN (m // 60) || 'h' ELSE m || 'min' END AS span FROM (SELECT event_id, k * 30 AS m FROM ev)")),
     "f22_boilerplate": (
-        _on_docs(t=S.strip_boilerplate(F.concat(F.lit("✅ Used: x\n<command-args>a\nb</command-args>\n\n\n\n"), "text"))),
+        _on_docs(lambda: dict(t=S.strip_boilerplate(F.concat(F.lit("✅ Used: x\n<command-args>a\nb</command-args>\n\n\n\n"), "text")))),
         "SELECT doc_id, " + STRIP.format(r"regexp_replace(chr(10) || chr(10) || chr(10) || text, '\n{3,}', chr(10) || chr(10), 'g')") + " AS t FROM documents",
     ),
     "f23_threshold": (
