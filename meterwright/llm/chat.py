@@ -69,7 +69,7 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
     text_part = F.array(
         F.struct(
             F.lit("text").alias("kind"),
-            F.col("text"),
+            (F.col("text") if "text" in rows.columns else F.lit(None).cast("string")).alias("text"),
             *[F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))],
         )
     ).cast(PARTS)
