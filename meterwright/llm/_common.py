@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, as Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(work):
+    """A batch function that leaves no freed memory behind when its task ends."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are at most ``limit``, else as it is."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release_memory, tidy
 
 #: Most documents of a language that the machines are trained on.
 TRAIN_PER_LANGUAGE = 600
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
         machines = _train(texts)
         return pd.DataFrame({"name": list(machines), "weights": [w.astype("<f8").tobytes() for w in machines.values()]})
 
-    sample = sample.mapInPandas(lettered, "doc_id long, lang string, text string, model int")
+    sample = sample.mapInPandas(tidy(lettered), "doc_id long, lang string, text string, model int")
     rows = sample.groupBy("model").applyInPandas(work, "name string, weights binary").collect()  # one row a machine
     trained = {n for r in rows for n in r["name"].split(":")[1:]}
     known = [x for x in languages if x in trained or FAMILY_OF.get(x, x) in trained]
@@ -184,6 +184,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 for j, name, score in zip(some, *model.predict(np.stack([features(texts.iloc[j]) for j in some])), strict=True):
                     names[j], scores[j] = name, score
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        release_memory()
 
     guess = "_language_guess"
     out = docs.withColumn(guess, predicted("text"))

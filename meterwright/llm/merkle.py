@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, tidy
 
 #: Longest leaf in characters where no sentence ends.
 LEAF = 256
@@ -183,14 +183,14 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     taken from the next document's beginning, and the likenesses."""
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    done = materialize(ordered.mapInArrow(_neighbours, f"{_RESULT}, part long, first_text string, last_text string"), "fingerprints")
+    done = materialize(ordered.mapInArrow(tidy(_neighbours), f"{_RESULT}, part long, first_text string, last_text string"), "fingerprints")
     # one light row per task; the last task is followed by the first
     parts = done.where("first_text is not null").select("part")
     following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
     parts = parts.select("part", following.alias("next"))
     lasts = done.where("last_text is not null").select("part", "doc_id", "last_text").join(parts, "part")
     firsts = done.where("first_text is not null").select(F.col("part").alias("next"), "first_text")
-    ends = lasts.join(firsts, "next").select("doc_id", "last_text", "first_text").mapInArrow(_ends, _RESULT)
+    ends = lasts.join(firsts, "next").select("doc_id", "last_text", "first_text").mapInArrow(tidy(_ends), _RESULT)
     return done.where("part is null").drop("part", "first_text", "last_text").unionByName(ends)
 
 

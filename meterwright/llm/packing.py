@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_side
+from ._common import materialize, small_side, tidy
 
 CAPACITY = 1024
 END_ID = 2
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(work), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _pair(have: np.ndarray, gap: int, top: int) -> tuple[int, int] | None:
@@ -223,7 +223,7 @@ def lay_out(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             k = np.searchsorted(table.starts, rank, side="right") - 1
             yield f.drop(columns="rank").assign(sequence_id=table.sequence[k] + rank - table.starts[k], offset=table.offset[k])
 
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInPandas(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import release_memory
+
 #: Key for tests and examples; production jobs pass their own.
 DEFAULT_KEY = "not-a-secret"
 ROUNDS = 6
@@ -246,6 +248,7 @@ def hide_private(docs: DataFrame, key: str = DEFAULT_KEY, back: bool = False) ->
         for texts in batches:
             done = [(None, []) if t is None else pseudonymize(t, permuter, back) for t in texts]
             yield pd.DataFrame({"text": [t for t, _ in done], "spans": [[dict(zip(("start", "end", "kind"), x, strict=True)) for x in s] for _, s in done]})
+        release_memory()
 
     work = "_hidden_text"
     out = docs.withColumn(work, hidden("text"))
