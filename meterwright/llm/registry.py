@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE}
+    return {"op3_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op10_secrets": secrets.ORACLE}

@@ -116,3 +116,32 @@ def query(spark, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_KINDS))
     return done.select("doc_id", *map(count, BASE_KINDS), hex_digest(_listed(base)).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), "n_live", "n_example")
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_MATCHES = " UNION ALL ".join(
+    f"SELECT row, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(text, {_quoted(p)}, 0) AS hits, "
+    f"regexp_extract_all(text, {_quoted(p)}, {2 if kind == 'assign' else 0}) AS vals, string_split_regex(text, {_quoted(p)}) AS gaps FROM d"
+    for rank, (kind, p) in enumerate(KINDS.items())
+)
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+m AS ({_MATCHES}),
+u AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+s AS (
+  SELECT row, kind, rank, vals[i] AS v, length(hits[i]) AS n,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS st
+  FROM u),
+k AS (SELECT *, kind || ':' || st::BIGINT || ':' || (st + n)::BIGINT AS listed FROM s WHERE kind <> 'assign' OR length(v) >= {MIN_VALUE}),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM k JOIN d USING (row) GROUP BY v),
+j AS (SELECT k.*, owners FROM k JOIN own USING (v))
+SELECT any_value(d.doc_id) AS doc_id,
+       count(*) FILTER (WHERE kind = 'assign')::BIGINT AS n_assign, count(*) FILTER (WHERE kind = 'access')::BIGINT AS n_access, count(*) FILTER (WHERE kind = 'hex')::BIGINT AS n_hex,
+       sha256(coalesce(string_agg(listed, ',' ORDER BY st, rank) FILTER (WHERE rank < {len(BASE_KINDS)}), '')) AS base_sha256,
+       coalesce(string_agg(listed, ',' ORDER BY st, rank), '') AS spans,
+       count(*) FILTER (WHERE owners < {SHARED_OWNERS})::BIGINT AS n_live, count(*) FILTER (WHERE owners >= {SHARED_OWNERS})::BIGINT AS n_example
+FROM d LEFT JOIN j USING (row) GROUP BY row
+"""
