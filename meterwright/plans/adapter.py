@@ -18,7 +18,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         # the times carry no zone: they are taken as UTC whatever the session's zone is
-        F.floor(F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.lit("UTC"))) / 1000000).alias("ts_s"),
+        (F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("ts_s"),
         F.floor("value").cast("long").alias("iv"),
     )
 
