@@ -12,10 +12,11 @@ goes from cheap to dear, and every filter is a bound, so no link is lost:
 3. Equal sets are joined, and similar ones are put into groups: same lowest
    shared shingle, cut into blocks of a bounded number of sets.
 4. Inside a block all sets are compared by one matrix product.
-5. *Token-group matrix.* Each block's union of shingles is stored. A query set
-   is sent by its rarest shingles only to the blocks whose union holds one of
-   them; the overlap of query and union bounds the overlap with every member,
-   and only blocks that reach the threshold are opened.
+5. *Token-group matrix.* Each block's union of shingles is stored. The query
+   sets of a block are sent by their rarest shingles, once for all of them, to
+   the blocks whose union holds one; the overlap of query and union bounds the
+   overlap with every member, and only for queries that reach the threshold
+   the block is opened.
 6. Links become connected components.
 
 Within a block (and between a query and a block) one link for each cluster of
@@ -32,12 +33,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_side
+from ._common import materialize, small_side, tidy
 from ._graph import components
-from ._words import shingle_set
+from ._words import first_of_equal, shingle_set
 
 SHINGLE = 5
 #: The threshold as a percentage.
@@ -60,11 +62,6 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return int(min(n, n - overlap_needed(n, percent) + _extra(n)))
 
 
-def shared_needed(n, percent: int = PERCENT):
-    """Fewest shared shingles in the prefix of a set with n elements; the partner may be as small as ceil(n * percent / 100)."""
-    return np.maximum(1, overlap_needed(n, percent) // 10)
-
-
 def _scan(shingle: int, percent: int):
     """Texts -> one row per prefix shingle and one row per text (those with h)."""
 
@@ -79,12 +76,7 @@ def _scan(shingle: int, percent: int):
             owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefix])
             tokens = np.concatenate(prefix) if prefix else np.empty(0, dtype=np.uint64)
             # a shingle that this batch holds several times: one row speaks for it, the others are known to be shared
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            first = np.ones(len(tokens), dtype=bool)
-            first[1:] = tokens[1:] != tokens[:-1]
-            run = np.cumsum(first) - 1
-            held = np.bincount(run)[run] if len(run) else run
+            first, held = first_of_equal(tokens)
             salt = np.where(first, 0, 1 + (keys[owner, 0].astype(np.uint64) ^ tokens) % np.uint64(1_000_003)).astype(np.int32)
             weight = np.minimum(held, 2).astype(np.int32)
             for k in range(0, len(tokens), 200_000):
@@ -105,8 +97,6 @@ _SCHEMA = "token long, salt int, weight int, doc_id long, key long, n long, h st
 
 
 def hash_of(tokens: np.ndarray, seed: int) -> int:
-    import xxhash
-
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=seed)).astype(np.int64))
 
 
@@ -192,7 +182,7 @@ def _unions(batches):
 
 
 def _probes(percent: int):
-    """Blocks with their shared tokens -> (token, doc_id, n, block): the rarest ones of every member that can still link outside."""
+    """Blocks with their shared tokens -> (token, block): the rarest ones of every member that can still link outside."""
 
     def work(batches):
         for batch in batches:
@@ -215,34 +205,57 @@ def _probes(percent: int):
                     mine, rare = tokens[there], blocks[j[there]]
                     # any n - need + 1 elements hold one of a linked set; those of no other block need not be sent
                     take = n - need + 1 - int((~there).sum())
-                    best = np.lexsort((mine, rare))[:take]
-                    out.append((mine[best].view(np.int64), np.full(len(best), m["doc_id"]), np.full(len(best), n), np.full(len(best), block)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([np.concatenate(c) for c in zip(*out, strict=True)], names=["token", "doc_id", "n", "block"])
+                    out.append(mine[np.lexsort((mine, rare))[:take]])
+                if out:  # once for all members of the block
+                    sent = np.unique(np.concatenate(out)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([sent, np.full(len(sent), block)], names=["token", "block"])
+
+    return work
+
+
+def _choose(percent: int):
+    """(members of a block, another block's sizes and the probes that its union holds) -> the queries that it is opened for."""
+
+    def work(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                least, most = batch.column("to_least")[k].as_py(), batch.column("to_most")[k].as_py()
+                held = np.unique(batch.column("held")[k].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                queries = []
+                for m in batch.column("members")[k].as_py():
+                    if m["n"] * percent > most * 100 or least * percent > m["n"] * 100:
+                        continue
+                    tokens = np.frombuffer(m["tokens"], dtype=np.uint64)
+                    at = np.searchsorted(tokens, held)
+                    at[at == len(tokens)] = 0
+                    if (tokens[at] == held).any():
+                        queries.append(m)
+                if queries:
+                    yield pa.RecordBatch.from_arrays([batch.column("to").slice(k, 1), pa.array([queries], _ARROW_MEMBERS)], names=["to", "queries"])
 
     return work
 
 
 def _open(percent: int):
-    """(queries of one block, another block) -> links: one for each query and class of members."""
+    """(members of one block, members of another) -> links: one for each query of the first and class of the second."""
 
     def work(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                wanted = set(batch.column("queries")[k].as_py())
-                queries = [m for m in batch.column("from_members")[k].as_py() if m["doc_id"] in wanted]
-                members = batch.column("members")[k].as_py()
+                queries, members = batch.column("queries")[k].as_py(), batch.column("members")[k].as_py()
                 sets, qsets = _sets(m["tokens"] for m in members), _sets(m["tokens"] for m in queries)
                 ns, qn = np.array([m["n"] for m in members]), np.array([m["n"] for m in queries])
-                union = np.unique(np.concatenate(sets))
-                q = _matrix(qsets, union)
+                both = np.intersect1d(np.concatenate(sets), np.concatenate(qsets))  # each token once
+                q = _matrix(qsets, both)
                 good = q.sum(axis=1) >= overlap_needed(qn, percent)  # the query-group bound
                 if not good.any():
                     continue
-                links = _linked(q[good] @ _matrix(sets, union).T, qn[good], ns, percent)
-                label = _inner(sets, ns, percent) if len(sets) > 1 else np.zeros(1, dtype=int)
+                links = _linked(q[good] @ _matrix(sets, both).T, qn[good], ns, percent)
+                if not links.any():
+                    continue
+                label = _inner(sets, ns, percent)
                 a, b = np.nonzero(links)
-                pairs = np.unique(np.stack([np.flatnonzero(good)[a], label[b]]), axis=1) if len(a) else np.empty((2, 0), dtype=int)
+                pairs = np.unique(np.stack([np.flatnonzero(good)[a], label[b]]), axis=1)
                 qid, mid = np.array([m["doc_id"] for m in queries]), np.array([m["doc_id"] for m in members])
                 yield pa.RecordBatch.from_arrays([qid[pairs[0]], mid[pairs[1]]], names=["a", "b"])
 
@@ -250,6 +263,7 @@ def _open(percent: int):
 
 
 _MEMBERS = "array<struct<doc_id:bigint,n:bigint,tokens:binary>>"
+_ARROW_MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))
 
 
 def set_table(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +274,7 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     copies = materialize(copies, "copies")
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).where("doc_id is not null")
     texts = texts.join(small_side(copies), ["doc_id", "h"], "left_anti")
-    rows = texts.select("doc_id", "text", "h").mapInArrow(_scan(shingle, percent), _SCHEMA)
+    rows = texts.select("doc_id", "text", "h").mapInArrow(tidy(_scan(shingle, percent)), _SCHEMA)
     held = F.sum("weight").over(Window.partitionBy("token", "salt"))
     rows = rows.withColumn("held", held).where("held > 1 or h is not null")
     table = rows.groupBy("doc_id", "key").agg(
@@ -280,42 +294,40 @@ def links(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: in
     by_key = Window.partitionBy("key", "key2", "n")
     table = materialize(table.withColumn("rep", F.min("doc_id").over(by_key)), "set-classes")
     equal = table.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # fewest shared shingles in the prefix: a partner may be as small as ceil(n * percent / 100), and its l is a tenth of that
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
     ask = table.where((F.col("doc_id") == F.col("rep")) & (F.col("hits") >= need)).select("doc_id", "key", "grp")
     per = ask.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     ask = materialize(ask.join(per, "grp").select("doc_id", "key", "grp", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("salt")), "asked")
     n_ask = ask.count()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ask, n_ask), "doc_id")
-    sets = texts.select("doc_id", "text", "key", "grp", "salt").mapInArrow(_token_sets(shingle), "doc_id long, grp long, salt int, n long, tokens binary")
+    sets = texts.select("doc_id", "text", "key", "grp", "salt").mapInArrow(tidy(_token_sets(shingle)), "doc_id long, grp long, salt int, n long, tokens binary")
     member = F.struct("doc_id", "n", "tokens")
     blocks = sets.groupBy("grp", "salt").agg(F.collect_list(member).cast(_MEMBERS).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
     blocks = materialize(blocks.withColumn("block", F.xxhash64("grp", "salt")).select("block", "least", "most", "members"), "blocks")
     wide = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)  # rows are whole blocks
     try:
-        inner = materialize(blocks.select("members").mapInArrow(_block_links(percent), "a long, b long"), "inner-links")
-        unions = blocks.select("block", "members").mapInArrow(_unions, "token long, block long")
+        inner = materialize(blocks.select("members").mapInArrow(tidy(_block_links(percent)), "a long, b long"), "inner-links")
+        unions = blocks.select("block", "members").mapInArrow(tidy(_unions), "token long, block long")
         # in how many blocks a token is: counted first by partial sums, then given back to its blocks
         matrix = unions.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("blocks > 1")
         shared = matrix.groupBy("block").agg(F.collect_list(F.struct("token", "blocks")).alias("shared"))
         shared = materialize(shared, "matrix")
-        probes = blocks.join(shared, "block").select("block", "members", "shared").mapInArrow(_probes(percent), "token long, doc_id long, n long, block long")
+        probes = blocks.join(shared, "block").select("block", "members", "shared").mapInArrow(tidy(_probes(percent)), "token long, block long")
         probes = materialize(probes, "probes")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", wide)
     index = shared.select(F.col("block").alias("to"), F.explode("shared").alias("s")).select("to", "s.token")
-    bounds = blocks.select(F.col("block").alias("to"), "least", "most")
-    found = probes.join(index, "token").where("to < block").select("doc_id", "n", "block", "to").distinct()
-    found = found.join(bounds, "to").where(f"n * {percent} <= most * 100 and least * {percent} <= n * 100")
-    pairs = found.groupBy("block", "to").agg(F.collect_list("doc_id").alias("queries"))
-    opened = (
-        pairs.join(blocks.select("block", F.col("members").alias("from_members")), "block")
-        .join(blocks.select(F.col("block").alias("to"), "members"), "to")
-        .select("queries", "from_members", "members")
-    )
+    held = probes.join(index, "token").where("to < block").groupBy("block", "to").agg(F.collect_list("token").alias("held"))
+    sizes = blocks.select(F.col("block").alias("to"), F.col("least").alias("to_least"), F.col("most").alias("to_most"))
+    held = held.join(sizes, "to").join(blocks.select("block", "members"), "block").select("to", "to_least", "to_most", "held", "members")
+    # only the queries in question travel to the block that is opened
+    asked = held.mapInArrow(tidy(_choose(percent)), f"to long, queries {_MEMBERS}")
+    opened = asked.join(blocks.select(F.col("block").alias("to"), "members"), "to").select("queries", "members")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
     try:
-        outer = materialize(opened.mapInArrow(_open(percent), "a long, b long"), "outer-links")
+        outer = materialize(opened.mapInArrow(tidy(_open(percent)), "a long, b long"), "outer-links")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", wide)
     return equal.unionByName(inner).unionByName(outer)
