@@ -12,9 +12,10 @@ the lowest hash is its anchor, and equal windows have equal anchors.
 
 1. Anchors of all documents are counted by hash. A batch that holds an anchor
    several times sends it once. Only anchors that occur twice or more go on.
-2. Only windows of such anchors are hashed, and each learns the earliest place
-   where its words start. Partial minima are taken before the shuffle; a
-   passage that very many documents share meets as one row per task.
+2. Only windows of such anchors are hashed, and each learns an earlier place
+   where its words start: the earliest of its batch, or for that one the
+   earliest of all. So a passage that very many documents share meets as one
+   row per batch.
 3. The windows of a document are parsed into factors. Where one factor ends,
    the windows across the boundary have been looked up on their own like all
    others, so a boundary hides no duplicate.
@@ -29,20 +30,16 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_side
-from ._words import window_hashes, word_hashes, words_of
+from ._common import BROADCAST_ROWS, materialize, small_side, tidy
+from ._words import first_of_equal, window_hashes, word_hashes, words_of
 
 WINDOW = 20
 GRAM = 5
-#: Anchors or factors in a table that may be broadcast.
-BROADCAST_ITEMS = 4_000_000
 
 
 def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,46 +70,61 @@ def _scan(window: int, gram: int):
                 places.append(at)
                 owner.append(np.full(len(at), k))
             anchor, place, own = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (found, places, owner))
-            order = np.argsort(anchor, kind="stable")
-            anchor, place, own = anchor[order], place[order], own[order]
-            first = np.ones(len(anchor), dtype=bool)
-            first[1:] = anchor[1:] != anchor[:-1]
-            run = np.cumsum(first) - 1
-            held = np.bincount(run)[run] if len(run) else run
+            first, held = first_of_equal(anchor)
             # one row speaks for an anchor of this batch; the others are known to be shared and go by themselves
-            salt = np.where(first, 0, 1 + (place * 31 + own) % 1_000_003).astype(np.int32)
+            salt = np.where(first, 0, 1 + place).astype(np.int32)
+            anchor = np.where(first, anchor.view(np.int64), own)
             ids, ties = batch.column(0), batch.column(1)
             for k in range(0, len(anchor), 200_000):
                 s = slice(k, k + 200_000)
                 rows = pa.array(own[s])
-                columns = [anchor[s].view(np.int64), salt[s], np.minimum(held[s], 2).astype(np.int32), ids.take(rows), ties.take(rows), place[s].astype(np.int32)]
+                columns = [anchor[s], salt[s], np.minimum(held[s], 2).astype(np.int32), ids.take(rows), ties.take(rows), place[s].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "salt", "weight", "doc_id", "tie", "place"])
 
     return work
 
 
+_PLACES = "win long, salt int, doc_id long, tie int, start int, ref_doc long, ref_start int"
+_FIRST = np.iinfo(np.int64).min  # stands for a null doc_id in orderings
+
+
 def _windows(window: int, gram: int):
-    """Texts with their shared anchors -> (win, doc_id, tie, start) of every window of such an anchor."""
+    """Texts with their shared anchors -> every window of such an anchor.
+
+    Of equal windows in one batch only the earliest is looked up among all
+    others; the rest have an earlier place already, and go by themselves (salt > 0).
+    """
 
     def work(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                wins, starts, owner = [], [], []
-                for j, (text, places) in enumerate(zip(part.column(2).to_pylist(), part.column(3), strict=True)):
-                    hashes = word_hashes(words_of(text))
-                    _, at = anchors(hashes, window, gram)
-                    hit = np.zeros(len(hashes) + 1, dtype=bool)
-                    hit[places.values.to_numpy(zero_copy_only=False)] = True
-                    start = np.flatnonzero(hit[at])
-                    wins.append(window_hashes(hashes, window)[start])
-                    starts.append(start)
-                    owner.append(np.full(len(start), j))
-                win, start, own = np.concatenate(wins), np.concatenate(starts), np.concatenate(owner)
-                for j in range(0, len(win), 200_000):
-                    s = slice(j, j + 200_000)
-                    rows = pa.array(own[s])
-                    yield pa.RecordBatch.from_arrays([win[s].view(np.int64), part.column(0).take(rows), part.column(1).take(rows), start[s].astype(np.int32)], names=["win", "doc_id", "tie", "start"])
+        for part in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
+            wins, starts, owner = [], [], []
+            for j, (text, places) in enumerate(zip(part.column(2).to_pylist(), part.column(3), strict=True)):
+                hashes = word_hashes(words_of(text))
+                _, at = anchors(hashes, window, gram)
+                hit = np.zeros(len(hashes) + 1, dtype=bool)
+                hit[places.values.to_numpy(zero_copy_only=False)] = True
+                start = np.flatnonzero(hit[at])
+                wins.append(window_hashes(hashes, window)[start])
+                starts.append(start)
+                owner.append(np.full(len(start), j))
+            win, start, own = np.concatenate(wins), np.concatenate(starts), np.concatenate(owner)
+            doc = part.column(0).fill_null(int(_FIRST)).to_numpy()[own]
+            order = np.lexsort((start, doc, win))
+            head = np.ones(len(win), dtype=bool)
+            head[1:] = win[order][1:] != win[order][:-1]
+            first = np.empty(len(win), dtype=np.int64)
+            first[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            known = (doc != doc[first]) | (start != start[first])
+            salt = np.where(known, 1 + start, 0).astype(np.int32)
+            win = np.where(known, own, win.view(np.int64))  # a known one needs no key of its own
+            for j in range(0, len(win), 200_000):
+                s = slice(j, j + 200_000)
+                rows, refs = pa.array(own[s]), pa.array(own[first[s]])
+                ref_doc, ref_start = part.column(0).take(refs), pa.array(start[first[s]].astype(np.int32), mask=~known[s])
+                yield pa.RecordBatch.from_arrays(
+                    [win[s], salt[s], part.column(0).take(rows), part.column(1).take(rows), start[s].astype(np.int32), ref_doc, ref_start],
+                    names=["win", "salt", "doc_id", "tie", "start", "ref_doc", "ref_start"],
+                )
 
     return work
 
@@ -152,21 +164,30 @@ def factor_table(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
     copies = light.join(first, "h").where("doc_id > ref_doc or (ref_doc is null and doc_id is not null)").select("doc_id", "tie", "ref_doc").distinct()
     copies = materialize(copies, "copies")
     texts = keyed.select("doc_id", "tie", "text").join(small_side(copies.select("doc_id", "tie")), ["doc_id", "tie"], "left_anti")
-    shared = texts.mapInArrow(_scan(window, gram), _ANCHORS)
+    shared = texts.mapInArrow(tidy(_scan(window, gram)), _ANCHORS)
     shared = shared.withColumn("held", F.sum("weight").over(Window.partitionBy("anchor", "salt"))).where("held > 1")
     hits = materialize(shared.groupBy("doc_id", "tie").agg(F.collect_list("place").alias("places")), "anchors")
-    n = hits.agg(F.sum(F.size("places"))).first()[0] or 0
     near = (F.col("doc_id").eqNullSafe(F.col("k_doc"))) & (F.col("tie") == F.col("k_tie"))
-    renamed = hits.withColumnsRenamed({"doc_id": "k_doc", "tie": "k_tie"})
-    asked = texts.join(small_side(renamed, n, BROADCAST_ITEMS), near).select("doc_id", "tie", "text", "places")
-    wins = materialize(asked.mapInArrow(_windows(window, gram), "win long, doc_id long, tie int, start int"), "windows")
-    earliest = wins.groupBy("win").agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").select("win", "ref")
-    later = wins.join(earliest, "win").where(F.struct("doc_id", "start") > F.col("ref"))
-    found = later.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))).alias("found"))
-    parsed = found.mapInPandas(_parsed(window), f"doc_id long, tie int, factors {_FACTORS}")
+    # the side of the keys is hashed, so texts are shuffled but not sorted
+    asked = _only(texts, hits).join(hits.withColumnsRenamed({"doc_id": "k_doc", "tie": "k_tie"}).hint("shuffle_hash"), near).select("doc_id", "tie", "text", "places")
+    wins = asked.mapInArrow(tidy(_windows(window, gram)), _PLACES)
+    here = F.struct("doc_id", "start")
+    wins = wins.withColumn("first", F.min(here).over(Window.partitionBy("win", "salt")))
+    later = wins.where((F.col("salt") > 0) | (here > F.col("first")))
+    place = F.struct("start", F.when(F.col("salt") > 0, F.col("ref_doc")).otherwise(F.col("first.doc_id")).alias("ref_doc"), F.coalesce("ref_start", "first.start").alias("ref_start"))
+    found = later.groupBy("doc_id", "tie").agg(F.collect_list(place).alias("found"))
+    parsed = found.mapInPandas(tidy(_parsed(window)), f"doc_id long, tie int, factors {_FACTORS}")
     return copies, materialize(parsed, "factors")
 
 
+def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Texts of the keyed documents, if these are few enough to be told to every task; else all, for the join to sort out."""
+    if keys.count() > BROADCAST_ROWS:
+        return texts
+    named = keys.select(F.col("doc_id").alias("o_doc"), F.col("tie").alias("o_tie"))
+    return texts.join(F.broadcast(named), F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("tie") == F.col("o_tie")), "left_semi")
+
+
 def _kept(window: int):
     def work(batches):
         for batch in batches:
@@ -193,15 +214,21 @@ def _kept(window: int):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     copies, factors = factor_table(docs, window, gram)
-    n = factors.agg(F.sum(F.size("factors"))).first()[0] or 0
     marks = copies.select("doc_id", "tie", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
     spans = F.transform("factors", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
     marks = marks.unionByName(factors.select("doc_id", "tie", F.lit(False).alias("copy"), spans.alias("spans")))
-    marks = marks.withColumnsRenamed({"doc_id": "k_doc", "tie": "k_tie"})
+    marks = marks.withColumnsRenamed({"doc_id": "k_doc", "tie": "k_tie"}).hint("shuffle_hash")
     near = (F.col("doc_id").eqNullSafe(F.col("k_doc"))) & (F.col("tie") == F.col("k_tie"))
     keyed = docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("tie"), "text")
-    joined = keyed.join(small_side(marks, n + copies.count(), BROADCAST_ITEMS), near, "left").select("doc_id", "text", "copy", "spans")
-    return joined.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
+    ids = materialize(marks.select(F.col("k_doc").alias("doc_id"), F.col("k_tie").alias("tie")).distinct(), "marked")
+    if ids.count() <= BROADCAST_ROWS:
+        # unmarked documents need no join, and their texts no shuffle
+        same = keyed["doc_id"].eqNullSafe(ids["doc_id"]) & (keyed["tie"] == ids["tie"])
+        plain = keyed.join(F.broadcast(ids), same, "left_anti").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
+        joined = keyed.join(F.broadcast(ids), same, "left_semi").join(marks, near).select("doc_id", "text", "copy", "spans").unionByName(plain)
+    else:
+        joined = keyed.join(marks, near, "left").select("doc_id", "text", "copy", "spans")
+    return joined.mapInArrow(tidy(_kept(window)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
