@@ -1,15 +1,20 @@
 """Embedding near-dedup by NN-descent.
 
-1. Vectors are scaled to length one. A forest of sign codes (random
-   hyperplanes) deals them into blocks, and each vector takes its best
-   neighbours of the blocks as its first list.
+1. Vectors are scaled to length one, and equal ones go on as one counted
+   vector. A forest of sign codes (random hyperplanes) deals them into blocks,
+   and each vector takes its best neighbours of the blocks as its first list.
 2. NN-descent: around every vector its neighbours, and those that hold it as a
    neighbour, are compared with each other; what beats the end of a list
    enters it. A list that is full of links is enlarged.
-3. Links of the lists make candidate components. Within a component all
-   members are compared block by block in double precision: this gives every
-   vector's exact number of links there, and keeps threshold edges only.
-4. An audit takes a bounded sample of vectors, counts their links against all
+3. Lists are bounded, so a group can fill its members' lists. Every block that
+   is compared therefore also gives ties: edges that hold the classes of all
+   its links together, at most one per member, whether or not the links find
+   room in a list. Links and ties make candidate components, and fresh forests
+   look for links between components until one finds none.
+4. Within a component all members are compared block by block in double
+   precision: this gives every vector's exact number of links there, and keeps
+   threshold edges only.
+5. An audit takes a bounded sample of vectors, counts their links against all
    rows, and compares with what was found. Below the target the search goes on
    with a new forest and longer lists.
 
@@ -26,6 +31,8 @@ result; labels and other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,18 +46,19 @@ THRESHOLD = 0.9
 #: First length of the neighbour lists, trees of the forest, vectors in a block, members compared at once.
 NEIGHBOURS, TREES, BLOCK, PAIR_BLOCK = 8, 12, 128, 512
 ROUNDS, RESTARTS = 2, 3
-#: Vectors of the audit, and the share of their links that has to be found.
+#: Vectors of each sample of the audit, and the share of their links that has to be found.
 AUDIT, TARGET = 256, 0.97
 SEED = 11
 #: Slack of the single-precision search; the last step compares in double precision.
 SLACK = 1e-4
 
-_UNIT = "array<struct<node:bigint,unit:binary>>"
+#: Equal vectors from which on their result is sent to all tasks.
+MANY_COPIES = 1000
 
 
 def _units(batches):
     for batch in batches:
-        ids, nodes, units, dims = [], [], [], []
+        ids, nodes, units, dims, keys = [], [], [], [], []
         for vec_id, node, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             x = np.array([np.nan if c is None else c for c in v], dtype=np.float64) if v else np.zeros(0)
             norm = np.linalg.norm(x) if len(x) and np.isfinite(x).all() else 0.0
@@ -61,13 +69,21 @@ def _units(batches):
             nodes.append(node)
             units.append((x / norm).astype("<f8").tobytes() if norm > 0 else None)
             dims.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(units, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "node", "unit", "dim"])
+            # without a unit the row is known by its own number, so that no key is common to many
+            keys.append(hashlib.blake2b(units[-1], digest_size=16).digest() if norm > 0 else node.to_bytes(8, "little"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(units, pa.binary()), pa.array(dims, pa.int32()), pa.array(keys, pa.binary())], names=["vec_id", "node", "unit", "dim", "key"])
 
 
 def unit_table(vectors: DataFrame) -> DataFrame:
-    """vec_id, node (a number of the row), unit (doubles as bytes; null if the vector links with nothing), dim."""
+    """vec_id, node (a number of the row), unit (doubles as bytes; null if the vector links with nothing), dim, key (digest of the unit)."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("node"), F.col("embedding").cast("array<double>"))
-    return materialize(rows.mapInArrow(_units, "vec_id long, node long, unit binary, dim int"), "units")
+    return materialize(rows.mapInArrow(_units, "vec_id long, node long, unit binary, dim int, key binary"), "units")
+
+
+def distinct_units(table: DataFrame) -> DataFrame:
+    """key, unit, dim, node, copies, first_id (the lowest vec_id): one row for each set of equal vectors."""
+    rows = table.where("unit is not null").groupBy("key", "unit", "dim")
+    return materialize(rows.agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id")), "distinct-units")
 
 
 def _codes(trees: int, bits: int, seed: int):
@@ -96,7 +112,8 @@ def _stack(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(threshold: float, keep: int):
-    """Blocks of (node, unit) -> (u, v, sim): for each member its best others, and no more links than ``keep`` doubled twice."""
+    """Blocks of (node, unit) -> (u, v, sim, tie): for each member its best others, and no more links than ``keep`` doubled twice;
+    with ``tie`` the edges that hold the classes of all the block's links together."""
 
     def work(batches):
         for batch in batches:
@@ -113,17 +130,38 @@ def _best(threshold: float, keep: int):
                 best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
                 use = (np.arange(top)[None, :] < keep) | (value >= threshold)
                 row, col = np.nonzero(use)
-                yield pa.RecordBatch.from_arrays([nodes[row], nodes[best[row, col]], value[row, col].astype(np.float32)], names=["u", "v", "sim"])
+                label = _classes(sims >= threshold)
+                far = np.flatnonzero(label != np.arange(len(label)))
+                u, v = np.concatenate([nodes[row], nodes[far]]), np.concatenate([nodes[best[row, col]], nodes[label[far]]])
+                sim = np.concatenate([value[row, col], sims[far, label[far]]]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([u, v, sim, pa.array(np.arange(len(u)) >= len(row))], names=["u", "v", "sim", "tie"])
+
+    return work
+
+
+def _between(threshold: float):
+    """Blocks of (node, unit, comp) -> (a, b): edges that hold the classes of all links between components together."""
+
+    def work(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                nodes, x = _stack(batch.column("members")[k], "<f4")
+                comp = batch.column("members")[k].values.field("comp").to_numpy(zero_copy_only=False)
+                label = _classes((x @ x.T >= threshold) & (comp[:, None] != comp[None, :]))
+                far = label != np.arange(len(label))
+                yield pa.RecordBatch.from_arrays([nodes[far], nodes[label[far]]], names=["a", "b"])
 
     return work
 
 
 def _lists(edges: DataFrame, threshold: float, keep: int) -> DataFrame:
-    """(u, v, sim) -> node, list (sim, v; best first): ``keep`` long, longer by doubling where it is full of links."""
-    best = edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("sim", "v")), asc=False).alias("all"))
+    """(u, v, sim, tie) -> node, list (sim, v; best first): ``keep`` long, longer by doubling where it is full of links; ties (v)."""
+    best = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
+    tied = F.collect_list(F.when(F.col("tie"), F.col("v"))).alias("ties")
+    best = best.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("sim", "v")), asc=False).alias("all"), tied)
     links = F.size(F.filter("all", lambda e: e["sim"] >= threshold))
     length = F.when(links < keep, keep).when(links < 2 * keep, 2 * keep).otherwise(4 * keep)
-    return best.select(F.col("u").alias("node"), F.slice("all", 1, length).alias("list"))
+    return best.select(F.col("u").alias("node"), F.slice("all", 1, length).alias("list"), "ties")
 
 
 def _salted(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -132,8 +170,8 @@ def _salted(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return rows.join(large, keys, "left").withColumn("salt", F.pmod(F.xxhash64("node", *keys), F.coalesce("parts", F.lit(1)))).drop("parts")
 
 
-def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys, "salt").agg(F.collect_list(F.struct("node", "unit")).alias("members"))
+def _blocks(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return rows.groupBy(*keys, "salt").agg(F.collect_list(F.struct("node", "unit", *more)).alias("members"))
 
 
 def _few_rows(spark, df: DataFrame, label: str) -> DataFrame:
@@ -148,7 +186,7 @@ def _few_rows(spark, df: DataFrame, label: str) -> DataFrame:
 
 
 def _counted(threshold: float):
-    """Pairs of member blocks -> (node, n, other): links of each node, and the edges that hold their classes together."""
+    """Pairs of member blocks -> (node, n, other): links of each node (copies counted), and the edges that hold their classes together."""
 
     def work(batches):
         for batch in batches:
@@ -156,6 +194,7 @@ def _counted(threshold: float):
                 same = batch.column("same")[k].as_py()
                 na, a = _stack(batch.column("left")[k], "<f8")
                 nb, b = (na, a) if same else _stack(batch.column("right")[k], "<f8")
+                ca = batch.column("left")[k].values.field("copies").to_numpy(zero_copy_only=False)
                 sims = a @ b.T
                 links = sims >= threshold
                 if same:
@@ -163,7 +202,7 @@ def _counted(threshold: float):
                     label = _classes(links)
                     far = label != np.arange(len(label))
                     pairs = (na[far], na[label[far]])
-                    nodes, n = na, links.sum(axis=1)
+                    nodes, n = na, links @ ca
                 else:
                     both = np.zeros((len(na) + len(nb),) * 2, dtype=bool)
                     both[: len(na), len(na) :] = links
@@ -171,7 +210,8 @@ def _counted(threshold: float):
                     label, every = _classes(both), np.concatenate([na, nb])
                     far = label != np.arange(len(label))
                     pairs = (every[far], every[label[far]])
-                    nodes, n = every, np.concatenate([links.sum(axis=1), links.sum(axis=0)])
+                    cb = batch.column("right")[k].values.field("copies").to_numpy(zero_copy_only=False)
+                    nodes, n = every, np.concatenate([links @ cb, ca @ links])
                 some = n > 0
                 m = int(some.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(n[some].astype(np.int64)), pa.nulls(m, pa.int64())], names=["node", "n", "other"])
@@ -182,81 +222,132 @@ def _counted(threshold: float):
 
 def _exact(spark, units: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """Candidate components -> (node, n, other) of their true links."""
-    members = units.join(groups, "node").select("node", "unit", F.col("component").alias("comp"))
-    rows = materialize(_blocks(_salted(members, ["comp"], PAIR_BLOCK), ["comp"]), "component-blocks")
+    members = units.join(groups, "node").select("node", "unit", "copies", F.col("component").alias("comp"))
+    rows = materialize(_blocks(_salted(members, ["comp"], PAIR_BLOCK), ["comp"], "copies"), "component-blocks")
     left = rows.select("comp", F.col("salt").alias("i"), F.col("members").alias("left"))
-    right = rows.select("comp", F.col("salt").alias("j"), F.col("members").alias("right"))
-    across = left.join(right, "comp").where("i < j").select("left", "right", F.lit(False).alias("same"))
+    # a pair of blocks is a key of its own, so that a large component is dealt over many tasks
+    cut = small_side(rows.groupBy("comp").agg((F.max("salt") + 1).alias("parts")).where("parts > 1"))
+    pairs = rows.join(cut, "comp")
+    first = pairs.where("salt + 1 < parts").select("comp", F.col("salt").alias("i"), F.explode(F.expr("sequence(salt + 1, parts - 1)")).alias("j"), F.col("members").alias("left"))
+    second = pairs.where("salt > 0").select("comp", F.explode(F.expr("sequence(0, salt - 1)")).alias("i"), F.col("salt").alias("j"), F.col("members").alias("right"))
+    across = first.join(second, ["comp", "i", "j"]).select("left", "right", F.lit(False).alias("same"))
     within = left.select("left", F.col("left").alias("right"), F.lit(True).alias("same"))
     return _few_rows(spark, within.unionByName(across).mapInArrow(_counted(threshold), "node long, n long, other long"), "link-counts")
 
 
 def _audit(units: DataFrame, counts: DataFrame, threshold: float, size: int) -> float:
     """Share of the sample's links against all rows that was found."""
-    sample = units.orderBy(F.xxhash64("node")).limit(size).select("node", "unit", "dim").collect()  # bounded by `size`
-    by_dim: dict[int, list] = {}
-    for r in sample:
-        by_dim.setdefault(r["dim"], []).append((r["node"], r["unit"]))
-    held = {d: (np.array([n for n, _ in some]), np.frombuffer(b"".join(bytes(u) for _, u in some), dtype="<f8").reshape(len(some), d)) for d, some in by_dim.items()}
+    per_node = counts.groupBy("node").agg(F.sum("n").alias("n"))
+    known = units.select("node", "unit", "dim").join(per_node, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    draw = lambda some: some.orderBy(F.xxhash64("node")).limit(size).collect()  # noqa: E731  # bounded by `size`
+    every, few = draw(known), draw(known.where(F.col("n") < NEIGHBOURS))
+    found = {r["node"]: r["n"] for r in every + few}
+    by_dim: dict[int, dict] = {}
+    for r in every + few:
+        by_dim.setdefault(r["dim"], {})[r["node"]] = bytes(r["unit"])
+    held = {d: (np.array(list(some)), np.frombuffer(b"".join(some.values()), dtype="<f8").reshape(len(some), d)) for d, some in by_dim.items()}
 
     def work(batches):
         for batch in batches:
-            total = 0
             for dim, (nodes, x) in held.items():
                 some = batch.filter(pa.compute.equal(batch.column("dim"), dim))
                 if some.num_rows:
                     y = np.frombuffer(b"".join(some.column("unit").to_pylist()), dtype="<f8").reshape(-1, dim)
-                    own = some.column("node").to_numpy()
-                    total += int(((x @ y.T >= threshold) & (nodes[:, None] != own[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+                    own, copies = some.column("node").to_numpy(), some.column("copies").to_numpy()
+                    n = ((x @ y.T >= threshold) & (nodes[:, None] != own[None, :])) @ copies
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(n, pa.int64())], names=["node", "n"])
+
+    true = {r["node"]: r["n"] for r in units.select("node", "unit", "dim", "copies").mapInArrow(work, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
+    shares = []
+    for sample in (every, few):
+        linked = [r["node"] for r in sample if true[r["node"]]]
+        if linked:
+            if sample is every:
+                shares.append(sum(found[k] for k in linked) / sum(true[k] for k in linked))
+    return min(shares, default=1.0)
+
+
+def _flat(lists: DataFrame) -> DataFrame:
+    return lists.select(F.col("node").alias("u"), F.explode("list").alias("e")).select("u", "e.v", "e.sim", F.lit(False).alias("tie"))
 
-    true = units.select("node", "unit", "dim").mapInArrow(work, "n long").agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("node").isin([r["node"] for r in sample])).agg(F.sum("n")).first()[0] or 0
-    return found / true if true else 1.0
+
+def _tied(lists: DataFrame) -> DataFrame:
+    return lists.select(F.col("node").alias("a"), F.explode("ties").alias("b"))
+
+
+def _with_roots(links: DataFrame) -> DataFrame:
+    """(a, b) -> node, component of every linked node, the lowest ones among them."""
+    groups = components(links)
+    return groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
 
 
 def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = SEED) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept for every row; audited recall)."""
     spark = vectors.sparkSession
     table = unit_table(vectors)
-    units = table.where("unit is not null")
+    units = distinct_units(table)
     n = units.count()
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK)))) if n else 0
-    near, edges, keep, recall = threshold - SLACK, None, NEIGHBOURS, 1.0
+    near, edges, ties, keep, recall = threshold - SLACK, None, None, NEIGHBOURS, 1.0
     counts = spark.createDataFrame([], "node long, n long, other long")
-    for restart in range(RESTARTS if n > 1 else 0):
-        coded = units.select("node", "unit", "dim").mapInArrow(_codes(TREES, bits, seed + 1000 * restart), "node long, tree long, code long, unit binary")
-        new = _blocks(_salted(coded, ["tree", "code"], 2 * BLOCK), ["tree", "code"]).select("members").mapInArrow(_best(near, keep), "u long, v long, sim float")
+
+    def forest(number: int) -> DataFrame:
+        return units.select("node", "unit", "dim").mapInArrow(_codes(TREES, bits, seed + 1000 * number), "node long, tree long, code long, unit binary")
+
+    number = 0  # of the forest
+    for _ in range(RESTARTS if n > 1 else 0):
+        new = _blocks(_salted(forest(number), ["tree", "code"], 2 * BLOCK), ["tree", "code"]).select("members").mapInArrow(_best(near, keep), "u long, v long, sim float, tie boolean")
         new = _few_rows(spark, new, "forest")
         edges = new if edges is None else edges.unionByName(new)
         lists = materialize(_lists(edges, near, keep), "lists")
+        ties = _tied(lists) if ties is None else ties.unionByName(_tied(lists))
         for _ in range(ROUNDS):
-            flat = lists.select("node", F.explode("list").alias("e")).select(F.col("node").alias("u"), "e.v", "e.sim")
+            flat = _flat(lists)
             around = flat.select(F.col("u").alias("pivot"), F.col("v").alias("node"))
             around = around.unionByName(flat.select(F.col("v").alias("pivot"), F.col("u").alias("node"))).distinct()
             single = units.select("node", "dim", "unit").mapInArrow(_codes(1, 0, 0), "node long, tree long, code long, unit binary").select("node", "unit")
             compared = _blocks(_salted(around.join(single, "node"), ["pivot"], 2 * BLOCK), ["pivot"]).select("members")
-            found = compared.mapInArrow(_best(near, keep), "u long, v long, sim float")
-            # only what beats the end of a list goes on
+            found = compared.mapInArrow(_best(near, keep), "u long, v long, sim float, tie boolean")
+            # only what beats the end of a list, or ties, goes on
             last = lists.select(F.col("node").alias("u"), F.when(F.size("list") < keep, F.lit(-2.0)).otherwise(F.element_at("list", -1)["sim"]).alias("last"))
-            found = found.dropDuplicates(["u", "v"]).join(last, "u").where((F.col("sim") > F.col("last")) | (F.col("sim") >= near)).select("u", "v", "sim")
+            found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
+            found = found.join(last, "u").where((F.col("sim") > F.col("last")) | (F.col("sim") >= near) | F.col("tie")).select("u", "v", "sim", "tie")
             lists = _few_rows(spark, _lists(flat.unionByName(found), near, keep), "lists")
-        edges = lists.select("node", F.explode("list").alias("e")).select(F.col("node").alias("u"), "e.v", "e.sim")
-        groups = components(edges.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")))
-        groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+            ties = ties.unionByName(_tied(lists))
+        edges = _flat(lists)
+        links = edges.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ties)
+        while True:
+            groups = _with_roots(links)
+            number += 1
+            coded = forest(number).join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+            blocks = _blocks(_salted(coded, ["tree", "code"], 2 * BLOCK), ["tree", "code"], "comp").select("members")
+            more = _few_rows(spark, blocks.mapInArrow(_between(near), "a long, b long"), "between")
+            if not more.limit(1).count():
+                break
+            # what is joined so far goes on as stars
+            links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        ties = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         counts = _exact(spark, units, groups, threshold)
         recall = _audit(units, counts, threshold, AUDIT)
         if recall >= TARGET:
             break
         keep *= 2
-    per_node = counts.groupBy("node").agg(F.sum("n").alias("n_links"))
+        number += 1
+    per_node = counts.groupBy("node").agg(F.sum("n").alias("others"))
     true = components(counts.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    rows = table.select("vec_id", "node").join(per_node, "node", "left").join(true, "node", "left")
-    rows = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    lowest = rows.where("n_links > 0").groupBy("component").agg(F.min("vec_id").alias("lowest"))
-    rows = rows.join(small_side(lowest), "component", "left")
-    component_id = F.when(F.col("n_links") > 0, F.col("lowest")).otherwise(F.col("vec_id"))
-    return rows.select("vec_id", "n_links", component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept")), recall
+    rows = units.select("key", "node", "copies", "first_id").join(per_node, "node", "left").join(true, "node", "left")
+    # equal vectors link with each other
+    rows = rows.select("key", "copies", "first_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    lowest = rows.where("n_links > 0").groupBy("component").agg(F.min("first_id").alias("lowest"))
+    rows = materialize(rows.join(small_side(lowest), "component", "left").select("key", "copies", "n_links", "lowest"), "judged")
+    # a vector with very many copies is no key of a shuffle
+    many = F.broadcast(rows.where(F.col("copies") >= MANY_COPIES).drop("copies"))
+    usual = rows.where(F.col("copies") < MANY_COPIES).drop("copies")
+    light = table.select("vec_id", "key")
+    rows = light.join(many, "key").unionByName(light.join(many, "key", "left_anti").join(usual, "key", "left"))
+    n_links = F.coalesce("n_links", F.lit(0))
+    component_id = F.when(n_links > 0, F.col("lowest")).otherwise(F.col("vec_id"))
+    return rows.select("vec_id", n_links.alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept")), recall
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -305,6 +305,29 @@ def test_embeddings(spark):
     assert embeddings.near_embeddings(df.limit(0))[0].count() == 0
 
 
+def two_tight_groups(size):
+    rng = np.random.default_rng(4)
+    first, other = np.eye(32)[:2]
+    second = 0.93 * first + np.sqrt(1 - 0.93**2) * other
+    x = np.concatenate([np.tile(first, (size, 1)), np.tile(second, (size, 1))]) + 0.01 * rng.standard_normal((2 * size, 32))
+    return np.concatenate([x, np.tile(x[0], (50, 1)), rng.standard_normal((100, 32))])
+
+
+def brute_links(x):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return (unit @ unit.T >= 0.9).sum(axis=1) - 1
+
+
+def test_embeddings_groups_that_fill_all_lists(spark):
+    x = two_tight_groups(200)
+    want = brute_links(x)
+    assert (want[:400] == 449).all()  # each is linked with all of both groups and the copies
+    out, recall = embeddings.near_embeddings(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = {r.vec_id: r for r in out.collect()}
+    assert recall == 1 and [got[k].n_links for k in range(len(x))] == want.tolist()
+    assert {got[k].component_id for k in range(450)} == {0} and [k for k in range(450) if got[k].kept] == [0]
+
+
 # --- fingerprints
 
 
