@@ -14,9 +14,11 @@
 4. Within a component all members are compared block by block in double
    precision: this gives every vector's exact number of links there, and keeps
    threshold edges only.
-5. An audit takes a bounded sample of vectors, counts their links against all
-   rows, and compares with what was found. Below the target the search goes on
-   with a new forest and longer lists.
+5. An audit takes two bounded samples, of all vectors and of those with few
+   links, counts their links against all rows, and compares with what was
+   found: in all, and for the mean vector of each sample. Below the target the
+   search goes on with a new forest and longer lists, and when the restarts are
+   used up all vectors are compared block by block.
 
 Blocks are bounded: a bucket, a hub or a component with more rows is cut by
 hash, and parts of one component meet pair by pair, so a third of all rows in
@@ -236,7 +238,7 @@ def _exact(spark, units: DataFrame, groups: DataFrame, threshold: float) -> Data
 
 
 def _audit(units: DataFrame, counts: DataFrame, threshold: float, size: int) -> float:
-    """Share of the sample's links against all rows that was found."""
+    """Recall against all rows, the least of: share of the sample's links, mean share of a vector's links, and that mean for vectors with few links."""
     per_node = counts.groupBy("node").agg(F.sum("n").alias("n"))
     known = units.select("node", "unit", "dim").join(per_node, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     draw = lambda some: some.orderBy(F.xxhash64("node")).limit(size).collect()  # noqa: E731  # bounded by `size`
@@ -262,6 +264,7 @@ def _audit(units: DataFrame, counts: DataFrame, threshold: float, size: int) ->
     for sample in (every, few):
         linked = [r["node"] for r in sample if true[r["node"]]]
         if linked:
+            shares.append(float(np.mean([found[k] / true[k] for k in linked])))
             if sample is every:
                 shares.append(sum(found[k] for k in linked) / sum(true[k] for k in linked))
     return min(shares, default=1.0)
@@ -333,6 +336,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
             break
         keep *= 2
         number += 1
+    if recall < TARGET:  # the search has failed: everything against everything
+        counts = _exact(spark, units, units.select("node", F.col("dim").cast("long").alias("component")), threshold)
+        recall = _audit(units, counts, threshold, AUDIT)
     per_node = counts.groupBy("node").agg(F.sum("n").alias("others"))
     true = components(counts.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     rows = units.select("key", "node", "copies", "first_id").join(per_node, "node", "left").join(true, "node", "left")
@@ -351,5 +357,6 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: links and component of every vector."""
-    return near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+    """op7: links and component of every vector, and the audited recall of the run."""
+    rows, recall = near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("recall", F.lit(recall))

@@ -328,6 +328,30 @@ def test_embeddings_groups_that_fill_all_lists(spark):
     assert {got[k].component_id for k in range(450)} == {0} and [k for k in range(450) if got[k].kept] == [0]
 
 
+def test_embeddings_failed_search_is_not_returned(spark, monkeypatch):
+    x = two_tight_groups(300)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def nothing(*_):
+        def work(batches):
+            for _ in batches:
+                pass
+            yield from ()
+
+        return work
+
+    monkeypatch.setattr(embeddings, "RESTARTS", 1)
+    monkeypatch.setattr(embeddings, "_best", nothing)
+    monkeypatch.setattr(embeddings, "_between", nothing, raising=False)
+    out, recall = embeddings.near_embeddings(df)
+    assert recall == 1 and {r.vec_id: r.n_links for r in out.collect()} == dict(enumerate(brute_links(x).tolist()))
+
+
+def test_embeddings_query_tells_its_recall(spark):
+    row = embeddings.query(spark, "/root/testdata/sf0.001").first()
+    assert row.recall >= 0.9
+
+
 # --- fingerprints
 
 
