@@ -94,6 +94,17 @@ def test_encoder_equals_the_files_library():
         assert np.frombuffer(encode(t), dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_finds_the_files_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  ", " <|endoftext|", "<|<|endoftext|>|>", "don't <|endoftext|>'s  日本"]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, packing.END_ID]
+    assert {r.doc_id: np.frombuffer(r.ids, dtype="<u4").tolist() for r in got} == dict(enumerate(want))
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty)[1].count() == 0
 
