@@ -115,23 +115,92 @@ def _only_digits(s: str) -> str:
     return "".join(c for c in s if c in _DIGITS)
 
 
-def _card(m: re.Match, p: Permuter, back: bool) -> str | None:
-    d = _only_digits(m[0])
-    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or not d.strip("0"):
-        return None
-    body = d[0] + p.digits(f"card{d[0]}", d[1:-1], back=back)  # the first digit names the kind of card
-    return _fill(m[0], body + luhn_digit(body))
+def _good_card(value: str) -> bool:
+    d = _only_digits(value)
+    return 13 <= len(d) <= 19 and luhn_digit(d[:-1]) == d[-1] and bool(d.strip("0"))
+
+
+def _card(value: str, p: Permuter, back: bool, fits) -> str:
+    d = _only_digits(value)
+    shown = lambda body: _fill(value, d[0] + body + luhn_digit(d[0] + body))
+    return shown(p.digits(f"card{d[0]}", d[1:-1], lambda body: fits(shown(body)), back))  # the first digit names the kind of card
+
+
+def _number(s: str) -> int:
+    return int("".join(str(int(c, 36)) for c in s))
+
+
+def _good_iban(value: str) -> bool:
+    raw = value.replace(" ", "")
+    return _number(raw[4:] + raw[:4]) % 97 == 1
+
+
+def _iban(value: str, p: Permuter, back: bool, fits) -> str:
+    raw = value.replace(" ", "")
+    body = raw[4:]
+    while True:
+        body = p.letters("iban" + raw[:2], body, back)
+        check = 98 - _number(body + raw[:2] + "00") % 97
+        new = iter(raw[:2] + f"{check:02d}" + body)
+        out = "".join(c if c == " " else next(new) for c in value)
+        if fits(out):
+            return out
+
+
+#: Length of an IBAN by country.
+IBAN_LENGTH = {
+    c: n
+    for n, some in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in some.split()
+}
+
+
+def _ends(kind: str, m: re.Match) -> list[int]:
+    """Ends of a candidate at its group borders, in the order to try them: the longest first, an IBAN's own length before all."""
+    least = 13 if kind == "card" else 12
+    ends, n = [], 0
+    for k, c in enumerate(m[0]):
+        if c in " -":
+            ends.append((k, n))
+        else:
+            n += 1
+    ends = [(k, n) for k, n in [*ends, (len(m[0]), n)] if n >= least]
+    own = IBAN_LENGTH.get(m[0][:2]) if kind == "iban" else None
+    return [m.start() + k for k, n in sorted(ends, key=lambda e: (e[1] != own, -e[0]))]
+
+
+def _grouped(kind: str, pattern: re.Pattern, text: str, taken: list, good, change, p: Permuter, back: bool) -> Iterator[tuple[int, int, str]]:
+    """Cards and IBANs: what follows (an expiry date, a code, a word) may look like one more group.
+
+    A candidate is tried at all its ends, then from its next group on. What
+    failed before has to fail with the new value too, else the text could not
+    be inverted: there a value in front of such a group may get another
+    pseudonym than elsewhere.
+    """
+    at, failed = 0, []
+    while m := pattern.search(text, at):
+        at = next((m.start() + k + 1 for k, c in enumerate(m[0]) if c in " -"), m.end())
+        for end in _ends(kind, m):
+            start = m.start()
+            if any(start < e and s < end for s, e, *_ in taken):
+                continue
+            if not good(text[start:end]):
+                failed.append((start, end))
+                continue
+            crossed = [(s, e) for s, e in failed if s < end and start < e]
 
+            def fits(new: str, start=start, end=end, crossed=crossed) -> bool:
+                put = text[:start] + new + text[end:] if crossed else ""
+                return not any(good(put[s:e]) for s, e in crossed)
 
-def _iban(m: re.Match, p: Permuter, back: bool) -> str | None:
-    raw = m[0].replace(" ", "")
-    number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if number(raw[4:] + raw[:4]) % 97 != 1:
-        return None
-    body = p.letters("iban" + raw[:2], raw[4:], back)
-    check = 98 - number(body + raw[:2] + "00") % 97
-    new = iter(raw[:2] + f"{check:02d}" + body)
-    return "".join(c if c == " " else next(new) for c in m[0])
+            yield start, end, change(text[start:end], p, back, fits)
+            at = end
+            break
 
 
 def _email(m: re.Match, p: Permuter, back: bool) -> str:
@@ -202,6 +271,8 @@ def _date(m: re.Match, p: Permuter, back: bool) -> str | None:
     return f"{a:0{len(m['a2'])}d}{sep}{b:0{len(m['b2'])}d}{sep}{new.year:04d}"
 
 
+#: Kinds whose candidates are tried at every group border, and their test.
+GROUPED = {"iban": _good_iban, "card": _good_card}
 #: Kinds in order of precedence: name, pattern, replacement.
 KINDS = [
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
@@ -225,6 +296,9 @@ def pseudonymize(text: str, permuter: Permuter, back: bool = False) -> tuple[str
     for kind, pattern, change in KINDS:
         if kind == "email" and "@" not in text or kind not in ("email", "iban") and not numbers:
             continue
+        if kind in GROUPED:
+            taken += [(s, e, kind, new) for s, e, new in _grouped(kind, pattern, text, taken, GROUPED[kind], change, permuter, back)]
+            continue
         for m in pattern.finditer(text):
             if any(m.start() < e and s < m.end() for s, e, _, _ in taken):
                 continue

@@ -277,6 +277,21 @@ def test_private_values(spark, docs, empty):
     assert private.hide_private(docs).count() == docs.count() and private.hide_private(empty).count() == 0
 
 
+def test_private_values_before_other_groups():
+    p = private.Permuter("k")
+    for value, tail in [("4111 1111 1111 1111", " 12/27"), ("4111111111111111", " 123"), ("ES91 2100 0418 4502 0005 1332", " EUR"), ("BE68 5390 0754 7034", " BIC"), ("4111-1111-1111-1111", "-123")]:
+        new, spans = private.pseudonymize(value + tail, p)
+        assert [(s, e) for s, e, _ in spans] == [(0, len(value))] and value not in new and new.endswith(tail)
+    new, spans = private.pseudonymize("no 12 4111 1111 1111 1111 35 4111 1111 1111 1111.", p)
+    assert [(s, e) for s, e, _ in spans] == [(6, 25), (29, 48)]
+    rng = random.Random(3)
+    for _ in range(400):  # with the key back to the old text, whatever the new digits are
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        text = f"12 {body}{private.luhn_digit(body)} {rng.randrange(100, 999)} x"
+        new, spans = private.pseudonymize(text, p)
+        assert spans and private.pseudonymize(new, p, True)[0] == text
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
 def test_permutation(size):
     p = private.Permuter("k")
