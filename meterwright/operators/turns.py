@@ -104,23 +104,48 @@ def attach_nearest(items: DataFrame, rows: DataFrame, key: str, time: str = "ts_
 def merge_nearest_once(marks: DataFrame, agents: DataFrame, most: int = 600) -> DataFrame:
     """Marks in order, each takes the nearest agent of its session that is still free, at most ``most`` seconds away.
 
-    A session has few of either, so each is settled in one grouped task.
+    Sessions are cut where both sides together pause for longer than that, and each stretch is settled
+    in one grouped task; a mark finds the free times around it without a scan. Rows without a time meet nothing.
     """
+    from bisect import bisect_right
+
     import pandas as pd
 
     def settle(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, out = list(right.sort_values(["a_ts", "a_agent"])[["a_ts", "a_agent"]].itertuples(index=False)), []
+        waiting: dict[int, list] = {}
+        for a in right.sort_values(["ts_s", "agent"], ascending=False).itertuples(index=False):
+            waiting.setdefault(a.ts_s, []).append(a.agent)
+        times, out = sorted(waiting), []
+        # place k + 1 stands for times[k]; used up times point on to the next one that may be free
+        down, up = list(range(len(times) + 2)), list(range(len(times) + 2))
+
+        def free(way: list[int], k: int) -> int:
+            while way[k] != k:
+                way[k] = way[way[k]]
+                k = way[k]
+            return k
+
         for m in left.sort_values(["ts_s", "line"]).itertuples(index=False):
-            best = min(free, key=lambda a: (abs(a.a_ts - m.ts_s), a.a_ts), default=None)
-            if best is not None and abs(best.a_ts - m.ts_s) <= most:
-                free.remove(best)
-                out.append((m.sid, m.line, best.a_agent))
+            at = bisect_right(times, m.ts_s)
+            near = [k for k in (free(down, at), free(up, at + 1)) if 0 < k <= len(times)]
+            k = min(near, key=lambda k: (abs(times[k - 1] - m.ts_s), k), default=None)
+            if k is not None and abs(times[k - 1] - m.ts_s) <= most:
+                some = waiting[times[k - 1]]
+                out.append((m.sid, m.line, some.pop()))
+                if not some:
+                    down[k], up[k] = k - 1, k + 1
         return pd.DataFrame(out, columns=["sid", "line", "agent"])
 
-    # new names, so that sides of one origin are told apart
-    left = marks.select("sid", "ts_s", "line").toDF("sid", "ts_s", "line").groupBy("sid")
-    right = agents.select(F.col("sid").alias("a_sid"), F.col("ts_s").alias("a_ts"), F.col("agent").alias("a_agent")).groupBy("a_sid")
-    return left.cogroup(right).applyInPandas(settle, "sid string, line long, agent string")
+    both = marks.select("sid", "ts_s", "line", F.lit(None).cast("string").alias("agent"), F.lit(True).alias("mark"))
+    both = both.unionByName(agents.select("sid", "ts_s", F.lit(None).cast("long").alias("line"), F.col("agent").cast("string"), F.lit(False).alias("mark"))).where("ts_s is not null")
+    order = Window.partitionBy("sid").orderBy("ts_s")
+    starts = F.coalesce((F.col("ts_s") - F.lag("ts_s").over(order) > most).cast("int"), F.lit(0))
+    cut = both.withColumn("_new", starts).withColumn("_stretch", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+
+    def settled(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return settle(key, rows[rows["mark"]], rows[~rows["mark"]])
+
+    return cut.select("sid", "_stretch", "ts_s", "line", "agent", "mark").groupBy("sid", "_stretch").applyInPandas(settled, "sid string, line long, agent string")
 
 
 def group_turns(lines: DataFrame) -> DataFrame:

@@ -318,6 +318,6 @@ def _compact_sides(spark, d):
 
 def _near_sides(spark, d):
     rows = settled(spark, d)
-    marks = rows.where("parent is null and line % 5 = 0").select("sid", "ts_s", "line")
+    marks = rows.where("parent is null").select("sid", "ts_s", "line")
     agents = rows.where("parent is not null").select(F.col("parent").alias("sid"), "ts_s", F.concat("sid", F.lit("-"), "line").alias("agent"))
     return marks, agents

@@ -3,6 +3,7 @@
 import json
 import numbers
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -142,6 +143,27 @@ def test_nearest_marker_takes_each_agent_once(spark):
     assert sorted((r.line, r.agent) for r in turns.merge_nearest_once(marks, agents).collect()) == [(1, "x"), (2, "y")]
 
 
+def test_nearest_marker_against_brute_force(spark):
+    rng = random.Random(8)
+    marks = [(s, rng.randrange(20_000), k) for k in range(60) for s in "ab"]
+    agents = [(s, rng.randrange(20_000) // 50 * 50, f"{k:02d}") for k in range(80) for s in "ac"]
+    want, free = [], sorted(agents, key=lambda a: a[1:])
+    for s, ts, line in sorted(marks):
+        best = min((a for a in free if a[0] == s), key=lambda a: (abs(a[1] - ts), a[1]), default=None)
+        if best and abs(best[1] - ts) <= 600:
+            free.remove(best)
+            want.append((s, line, best[2]))
+    got = turns.merge_nearest_once(spark.createDataFrame(marks, "sid string, ts_s long, line long"), spark.createDataFrame(agents, "sid string, ts_s long, agent string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_nearest_query_takes_all_main_rows(spark):
+    from meterwright.plans import report_queries
+
+    d = "/root/testdata/sf0.001"
+    assert report_queries._near_sides(spark, d)[0].count() == report_queries.settled(spark, d).where("parent is null").count()
+
+
 def test_transcripts(spark, tmp_path):
     root = tmp_path / "projects" / "p1"
     (root / "s1" / "subagents" / "workflows" / "wf_x").mkdir(parents=True)
