@@ -68,6 +68,14 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{WORD_SPACE}]+", -1)

@@ -6,15 +6,20 @@ each language family tells the families apart; within the winning family, one
 machine for every pair of its languages votes, and margins break ties.
 
 The machines are trained by dual coordinate descent on at most
-``TRAIN_PER_LANGUAGE`` whole texts of each language, drawn by the hash of
-their doc_id among the labelled documents outside the held-out fifth. That
-bounded sample is the only thing that meets in one task. Predicting reads
-every whole text once and shuffles nothing.
+``TRAIN_PER_LANGUAGE`` whole texts of each language, those of lowest hash of
+their doc_id among the labelled documents outside the held-out fifth. A
+histogram of the hashes by language tells up to where they are needed, so no
+language's documents are sorted or shuffled as a whole. That bounded sample is
+the only thing that meets in one task. Predicting reads every whole text once
+and shuffles nothing.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0;
-a null doc_id is neither held out nor trained on; without labelled documents
-every text is ``und``; ties between languages go to the first by name;
-repeated rows are predicted one by one; extra columns are ignored.
+a null doc_id is neither held out nor trained on; a label without a lettered
+text is not learned; with one learned language every lettered text is of that
+language, without any it is ``und``; ties between languages go to the first by
+name; a language's name may hold any characters; repeated rows are predicted
+one by one; other columns pass through ``identify`` whatever their names, only
+lang_pred and score are replaced.
 """
 
 from collections.abc import Iterator
@@ -25,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, release_memory, tidy
+from ._common import materialize, release_memory, tidy, unused
 
 #: Most documents of a language that the machines are trained on.
 TRAIN_PER_LANGUAGE = 600
@@ -38,6 +43,8 @@ FAMILIES = {
 FAMILY_OF = {language: family for family, languages in FAMILIES.items() for language in languages}
 FEATURES = 4096
 UNKNOWN = "und"
+#: Leading bits of a document's hash that name its cell in the histogram of a language.
+CELL_BITS = 16
 #: Slope by which a margin becomes a score.
 SLOPE = 3.0
 #: Margin weight, epochs and seed of the training.
@@ -86,16 +93,20 @@ def train_svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+#: Machine of one family against all others, or of two languages of one family: ("family", name, None) or ("pair", name, name).
+Name = tuple[str, str, str | None]
+
+
 class Model:
-    """Machines by name: ``family:x`` for one family against all, ``pair:x:y`` for two languages of one family."""
+    """Machines by name, and the learned languages."""
 
-    def __init__(self, machines: dict[str, np.ndarray], languages: list[str]):
+    def __init__(self, machines: dict[Name, np.ndarray], languages: list[str]):
         self.languages = sorted(languages)
         self.families = sorted({FAMILY_OF.get(x, x) for x in self.languages})
         self.members = {f: [x for x in self.languages if FAMILY_OF.get(x, x) == f] for f in self.families}
-        self.names = sorted(machines)
-        self.weights = np.stack([machines[n] for n in self.names], axis=1) if machines else np.zeros((FEATURES + 1, 0))
-        self.at = {n: k for k, n in enumerate(self.names)}
+        names = sorted(machines, key=str)
+        self.weights = np.stack([machines[n] for n in names], axis=1) if names else np.zeros((FEATURES + 1, 0))
+        self.at = {n: k for k, n in enumerate(names)}
 
     def predict(self, x: np.ndarray) -> tuple[list[str], list[float]]:
         margins = x @ self.weights[:-1] + self.weights[-1]
@@ -104,13 +115,13 @@ class Model:
         for margin, chance in zip(margins, sure, strict=True):
             family, score = self.families[0], 1.0
             if len(self.families) > 1:
-                each = [margin[self.at[f"family:{f}"]] for f in self.families]
+                each = [margin[self.at["family", f, None]] for f in self.families]
                 family = self.families[int(np.argmax(each))]
-                score = float(chance[self.at[f"family:{family}"]])
+                score = float(chance[self.at["family", family, None]])
             votes = dict.fromkeys(self.members[family], 0)
             lead = dict.fromkeys(self.members[family], 0.0)
             for a, b in combinations(self.members[family], 2):
-                k = self.at[f"pair:{a}:{b}"]
+                k = self.at["pair", a, b]
                 votes[a if margin[k] >= 0 else b] += 1
                 lead[a] += margin[k]
                 lead[b] -= margin[k]
@@ -118,56 +129,63 @@ class Model:
             for other in self.members[family]:
                 if other != best:
                     a, b = sorted((best, other))
-                    c = float(chance[self.at[f"pair:{a}:{b}"]])
+                    c = float(chance[self.at["pair", a, b]])
                     score = min(score, c if a == best else 1 - c)
             out.append(best)
             scores.append(score)
         return out, scores
 
 
-def _train(texts) -> dict[str, np.ndarray]:
-    """(text, lang) frame -> machines."""
-    x = np.stack([features(t) for t in texts["text"]])
-    lang = texts["lang"].to_numpy()
-    family = np.array([FAMILY_OF.get(v, v) for v in lang])
-    machines = {}
+def _train(texts: list[str], lang: list[str]) -> dict[Name, np.ndarray]:
+    """Lettered texts and their languages -> machines; one language needs none."""
+    x, lang = np.stack([features(t) for t in texts]), np.array(lang, dtype=object)
+    family = np.array([FAMILY_OF.get(v, v) for v in lang], dtype=object)
+    machines: dict[Name, np.ndarray] = {}
     names = sorted(set(family))
     for f in names if len(names) > 1 else ():
-        machines[f"family:{f}"] = train_svm(x, np.where(family == f, 1.0, -1.0))
+        machines["family", f, None] = train_svm(x, np.where(family == f, 1.0, -1.0))
     for f in names:
         for a, b in combinations(sorted(set(lang[family == f])), 2):
             some = (lang == a) | (lang == b)
-            machines[f"pair:{a}:{b}"] = train_svm(x[some], np.where(lang[some] == a, 1.0, -1.0))
+            machines["pair", a, b] = train_svm(x[some], np.where(lang[some] == a, 1.0, -1.0))
     return machines
 
 
+def draw_sample(light: DataFrame, per_language: int) -> DataFrame:
+    """(doc_id, lang) of distinct documents -> at most ``per_language`` of each language, those of lowest hash."""
+    celled = light.withColumn("cell", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - CELL_BITS).cast("int"))
+    counts = celled.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n"))  # at most 2 ** CELL_BITS rows a language
+    before = Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < per_language)
+    last = needed.groupBy("lang").agg(F.max("cell").alias("last"))  # one row a language
+    near = celled.join(F.broadcast(last), "lang").where(F.col("cell") <= F.col("last"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("cell", F.xxhash64("doc_id"), "doc_id"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """Trains on a bounded sample of the labelled documents outside the held-out fifth."""
-    open_rows = docs.where("crc32(cast(doc_id as string)) % 5 <> 0 and lang is not null")
-    light = open_rows.select("doc_id", "lang").dropDuplicates(["doc_id"])
-    # the limit by rank is applied before the shuffle, so a language with most of the rows is no hot group
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = light.withColumn("nth", nth).where(F.col("nth") <= per_language).select("doc_id", "lang")
-    drawn = materialize(drawn, "drawn")
-    languages = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())
-    sample = open_rows.select("doc_id", "lang", "text").join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")  # at most per_language rows a language
+    open_rows = docs.where("crc32(cast(doc_id as string)) % 5 <> 0 and lang is not null").select(F.col("doc_id").cast("long"), "lang", "text")
+    # of several rows of one document, the lowest label
+    light = open_rows.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    drawn = materialize(draw_sample(light, per_language), "drawn")
+    sample = open_rows.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")  # at most per_language rows a language
 
     def lettered(batches):
         for f in batches:
             yield f[[has_letter(t) for t in f["text"]]][["doc_id", "lang", "text"]].assign(model=0)
 
-    def work(texts):
-        texts = texts.drop_duplicates("doc_id").sort_values("doc_id")
-        machines = _train(texts)
-        return pd.DataFrame({"name": list(machines), "weights": [w.astype("<f8").tobytes() for w in machines.values()]})
+    def work(rows):
+        rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+        texts, lang = rows["text"].tolist(), rows["lang"].tolist()
+        out = [("language", x, None, b"") for x in sorted(set(lang))]
+        out += [(*name, w.astype("<f8").tobytes()) for name, w in _train(texts, lang).items()]
+        return pd.DataFrame(out, columns=["kind", "a", "b", "weights"])
 
     sample = sample.mapInPandas(tidy(lettered), "doc_id long, lang string, text string, model int")
-    rows = sample.groupBy("model").applyInPandas(work, "name string, weights binary").collect()  # one row a machine
-    trained = {n for r in rows for n in r["name"].split(":")[1:]}
-    known = [x for x in languages if x in trained or FAMILY_OF.get(x, x) in trained]
-    if not rows:
-        known = languages[:1]
-    return Model({r["name"]: np.frombuffer(r["weights"], dtype="<f8") for r in rows}, known)
+    rows = sample.groupBy("model").applyInPandas(work, "kind string, a string, b string, weights binary").collect()  # one row a machine or language
+    machines = {(r["kind"], r["a"], r["b"]): np.frombuffer(r["weights"], dtype="<f8") for r in rows if r["kind"] != "language"}
+    return Model(machines, [r["a"] for r in rows if r["kind"] == "language"])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -186,9 +204,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": scores})
         release_memory()
 
-    guess = "_language_guess"
+    guess = unused("guess", docs.columns)
     out = docs.withColumn(guess, predicted("text"))
-    return out.withColumns({"lang_pred": F.col(f"{guess}.lang_pred"), "score": F.col(f"{guess}.score")}).drop(guess)
+    return out.withColumns({"lang_pred": F.col(guess)["lang_pred"], "score": F.col(guess)["score"]}).drop(guess)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
