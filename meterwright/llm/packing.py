@@ -25,6 +25,7 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections import Counter, defaultdict
@@ -62,6 +63,18 @@ def added_tokens(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in tokens}
 
 
+def check_kind(data: dict) -> None:
+    """Raises where a tokenizer file does more than byte-level merges of words cut by ``WORD_PATTERN``."""
+    model, cutter = data["model"], data.get("pre_tokenizer") or {}
+    asked = {name: model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")}
+    if model.get("type", "BPE") != "BPE" or any(asked.values()):
+        raise ValueError(f"not a plain BPE file: {model.get('type')}, {asked}")
+    if data.get("normalizer"):
+        raise ValueError("a tokenizer file with a normalizer is not supported")
+    if cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+        raise ValueError(f"the words of this tokenizer file are cut in another way: {cutter}")
+
+
 def byte_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary of a byte-level BPE file by its bytes; a token's id is its merge rank."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -69,6 +82,7 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
+    check_kind(data)
     special = {t["content"] for t in data["added_tokens"]}
     return {bytes(byte_of[c] for c in token): n for token, n in data["model"]["vocab"].items() if token not in special}
 
@@ -77,21 +91,26 @@ class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; adds no token.
 
     The merges are done by tiktoken from the ranks of the given file: the same
-    ids as the file's own library gives, at a quarter of its time. With
-    ``added`` the file's added tokens are found in the text, as that library
-    does on its default settings; else (its ``encode_special_tokens``) they are
-    text like any other.
+    ids as the file's own library gives on its default settings, at a quarter
+    of its time. The file's added tokens are found in the text, as that library
+    does. Files of another kind are refused.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         import tiktoken
 
-        self.bpe = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=byte_ranks(path), special_tokens=added_tokens(path) if added else {})
+        self.bpe = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=byte_ranks(path), special_tokens=added_tokens(path))
 
     def __call__(self, text: str) -> bytes:
         return self.bpe.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, read once in a worker's life."""
+    return Encoder(path)
+
+
 def cut(n: int, capacity: int) -> list[int]:
     """Starts of the pieces of n tokens, then n: all but the first are full."""
     first = (n - 1) % capacity + 1
@@ -104,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     end = int(end_id).to_bytes(4, "little")
 
     def work(batches):
-        encode = Encoder(path, added=True)
+        encode = encoder(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
