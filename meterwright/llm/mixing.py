@@ -118,27 +118,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0) ->
         sampled_copies(docs, weights, cap, share)
         .groupBy("doc_id", "source", "tie")
         # equal rows share a key: all their copies together
-        .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-        .where("_copies > 0")
-        .withColumnsRenamed({"doc_id": "_id", "source": "_source", "tie": "_tie"})
+        .agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+        .where("copies > 0")
     )
-    near = (
-        docs["doc_id"].eqNullSafe(F.col("_id"))
-        & docs["source"].eqNullSafe(F.col("_source"))
-        & (F.xxhash64(docs["text"]) == F.col("_tie"))
-    )
-    joined = docs.join(small_side(drawn), near)
+    # a whole row is one column here, so none of its names meets one of ours
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    near = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.xxhash64("row.text") == F.col("tie"))
+    joined = held.join(small_side(drawn), near)
     # a key with several equal rows has its copies dealt over them; the first ones get the rest
-    nth = F.row_number().over(Window.partitionBy("_id", "_source", "_tie").orderBy(F.lit(1)))
-    single = joined.where("_rows = 1").withColumn("_times", F.col("_copies"))
-    several = joined.where("_rows > 1").withColumn("_nth", nth)
-    several = several.withColumn(
-        "_times",
-        F.expr("_copies div _rows") + F.when(F.col("_nth") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0),
-    ).drop("_nth")
-    out = single.unionByName(several).where("_times > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
-    return out.select(*[docs[c] for c in docs.columns], times.alias("_time")).drop("_time")
+    single = joined.where("rows = 1").select("row", F.col("copies").alias("times"))
+    several = joined.where("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "tie").orderBy(F.lit(1))))
+    more = F.when(F.col("nth") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    several = several.select("row", (F.expr("copies div rows") + more).alias("times"))
+    out = single.unionByName(several).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
