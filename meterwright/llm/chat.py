@@ -3,7 +3,8 @@
 A turn holds typed parts. The visitor goes over them in order: a text part
 gives its escaped text, an image, audio or document part gives a placeholder
 ``<kind turn.part/>``, a reference to the attachment, and the number of tokens
-it will expand to. Turns are written as ``<turn ROLE>BODY</turn>\\n``.
+it will expand to; a text that such a part has (a caption) follows its
+placeholder. Turns are written as ``<turn ROLE>BODY</turn>\\n``.
 
 Inside texts and roles ``&``, ``<`` and ``>`` are written as entities, so a
 ``<`` in the output always opens a marker of the template, and the output can
@@ -14,7 +15,9 @@ running sum over the conversation, then a conversation's turns are joined into
 one string: one shuffle by conv_id.
 
 Defined results: null text or role is empty; null parts in a list are left
-out; rows are ordered by (turn, role, body) with null turns first, so ties and
+out; a part without a kind is a text; a part of any other kind gives the
+placeholder ``<other turn.part/>`` and a reference that names its kind, with an
+unknown (null) number of tokens, which the sum leaves out; rows are ordered by (turn, role, body) with null turns first, so ties and
 repeated rows have one order and all are kept; rows with null conv_id form one
 conversation; an empty table gives an empty result; other columns are ignored.
 """
@@ -48,13 +51,12 @@ def unescape(text: Column) -> Column:
 
 
 def expanded_tokens(part: Column) -> Column:
-    """Tokens that take the place of an attachment's placeholder."""
+    """Tokens that take the place of an attachment's placeholder; null for a kind without a rule."""
     side = lambda name: F.ceil(F.coalesce(part[name], F.lit(0)) / PATCH)
     return (
         F.when(part["kind"] == "image", side("width") * side("height"))
         .when(part["kind"] == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * AUDIO_RATE))
         .when(part["kind"] == "document", F.coalesce(part["pages"], F.lit(0)) * PAGE_TOKENS)
-        .otherwise(0)
         .cast("long")
     )
 
@@ -78,9 +80,13 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
     whole = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "parts")
     turns = turns.withColumn("nth", F.row_number().over(whole))
 
+    def is_text(part: Column) -> Column:
+        return F.coalesce(part["kind"], F.lit("text")) == "text"
+
     def visited(part: Column, k: Column) -> Column:
-        mark = F.concat(F.lit("<"), part["kind"], F.lit(" "), F.col("nth"), F.lit("."), k + 1, F.lit("/>"))
-        return F.when(part["kind"].isin(*ATTACHMENTS), mark).otherwise(escape(part["text"]))
+        kind = F.when(part["kind"].isin(*ATTACHMENTS), part["kind"]).otherwise("other")
+        mark = F.concat(F.lit("<"), kind, F.lit(" "), F.col("nth"), F.lit("."), k + 1, F.lit("/>"))
+        return F.concat(F.when(is_text(part), "").otherwise(mark), escape(part["text"]))
 
     def reference(part: Column, k: Column) -> Column:
         return F.struct(part["kind"].alias("kind"), part["ref"].alias("ref"), F.col("nth").alias("turn"), (k + 1).alias("part"), expanded_tokens(part).alias("tokens"))
@@ -91,7 +97,7 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
         (F.col("role") == loss_role).alias("in_loss"),
         F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">")).alias("head"),
         F.array_join(F.transform("parts", visited), "").alias("body"),
-        F.filter(F.transform("parts", reference), lambda a: a["kind"].isin(*ATTACHMENTS)).alias("refs"),
+        F.filter(F.transform("parts", reference), lambda a: ~is_text(a)).alias("refs"),
     )
     turns = turns.withColumn("piece", F.concat("head", "body", F.lit("</turn>\n")))
     before = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +123,7 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
         F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("formatted"),
         F.transform(F.filter("t", lambda t: t["in_loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss_spans"),
         F.transform(refs, lambda a, k: F.struct((k + 1).alias("ordinal"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["turn"].alias("turn"), a["part"].alias("part"), a["tokens"].alias("tokens"))).alias("attachments"),
-        F.aggregate(refs, F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"),
+        F.aggregate(refs, F.lit(0).cast("long"), lambda n, a: n + F.coalesce(a["tokens"], F.lit(0))).alias("attachment_tokens"),
     )
 
 
