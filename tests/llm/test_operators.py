@@ -54,7 +54,6 @@ def test_packing(docs, rows, spark):
     pieces, layout = packing.pack(docs, capacity=64)
     got = layout.toPandas()
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     want = []
     for d, t in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
@@ -88,7 +87,6 @@ def test_encoder_equals_the_files_library():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     encode = packing.Encoder(packing.default_tokenizer())
     for t in ["", " ", "a  b", "\n\n x", "don't '11 <|endoftext|>", "日本 é١٢  ", "x" * 3000, "Ünï ßß 12.5%"]:
         assert np.frombuffer(encode(t), dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
@@ -105,6 +103,28 @@ def test_packing_finds_the_files_added_tokens(spark):
     assert {r.doc_id: np.frombuffer(r.ids, dtype="<u4").tolist() for r in got} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("change", [("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", None), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}), ("model", {"ignore_merges": True}), ("model", {"type": "WordPiece"})])
+def test_encoder_refuses_files_of_another_kind(tmp_path, change):
+    import json
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as file:
+        data = json.load(file)
+    name, value = change
+    data[name] = {**data[name], **value} if name == "model" else value
+    (tmp_path / "other.json").write_text(json.dumps(data), encoding="utf-8")
+    with pytest.raises(ValueError):
+        packing.Encoder(str(tmp_path / "other.json"))
+
+
+def test_packing_of_a_very_long_text(spark):
+    from tokenizers import Tokenizer
+
+    text = words(random.Random(2), 1_000_000, 50_000)
+    layout = packing.pack(spark.createDataFrame([(1, text), (2, "end")], "doc_id long, text string"))[1].toPandas()
+    ids = Tokenizer.from_file(packing.default_tokenizer()).encode(text, add_special_tokens=False).ids
+    assert layout.length.sum() == len(ids) + 3 and layout.sequence_id.nunique() == -(-(len(ids) + 3) // 1024)
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty)[1].count() == 0
 
@@ -190,6 +210,15 @@ def test_chat_parts(spark):
     assert r.attachment_tokens == 6 + 63 + 3072 and r.loss_spans == []
 
 
+def test_chat_parts_of_other_kinds(spark):
+    parts = [("video", "a <cap>", "v.mp4", None, None, 9.0, None), (None, "plain", None, None, None, None, None), ("x/><y", None, "z", None, None, None, None), None, ("image", "seen", "i.png", 28, 28, None, None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "assistant", None), (1, 2, "user", [])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    r = chat.format_chat(df).first()
+    assert r.formatted == "<turn assistant><other 1.1/>a &lt;cap&gt;plain<other 1.3/><image 1.4/>seen</turn>\n<turn assistant></turn>\n<turn user></turn>\n"
+    assert [(a.kind, a.ref, a.part, a.tokens) for a in r.attachments] == [("video", "v.mp4", 1, None), ("x/><y", "z", 3, None), ("image", "i.png", 4, 1)]
+    assert r.attachment_tokens == 1 and [tuple(s) for s in r.loss_spans] == [(16, len(r.formatted.split("</turn>")[0]) - 16), (r.formatted.index("<turn assistant></turn>") + 16, 0)]
+
+
 # --- substrings
 
 
@@ -251,6 +280,18 @@ def test_mixing(docs, rows, empty):
     assert mixing.sampled_copies(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_leaves_all_columns_alone(spark):
+    names = ["_copies", "_times", "_time", "_nth", "_id", "_rows", "_source", "_tie", "copies", "size", "Row"]
+    rows = [(k // 2, f"word {k // 2}", "ab"[k % 4 // 2], *(f"{n}{k // 2}" for n in names)) for k in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"{n} string" for n in names)]))
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    got = mixed.toPandas()
+    copies = mixing.sampled_copies(df).toPandas().groupby("doc_id").copies.sum()
+    assert got.groupby("doc_id").size().to_dict() == {d: n for d, n in copies.items() if n}
+    assert all((got[n] == n + got.doc_id.astype(str)).all() for n in names)
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 0)], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
@@ -423,6 +464,84 @@ def test_languages_without_labels(spark, empty):
     assert languages.identify(df).first().lang_pred == "und" and languages.identify(empty).count() == 0
 
 
+def labelled(spark, langs, per=30):
+    """``per`` texts a language, each language with letters of its own."""
+    rng = random.Random(8)
+    rows = []
+    for lang, letters in langs.items():
+        rows += [(lang, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(20))) for _ in range(per)]
+    return spark.createDataFrame([(k, t, lang, "x") for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string, _language_guess string")
+
+
+def test_one_labelled_language(spark):
+    out = languages.identify(labelled(spark, {"en": "abc"})).select("lang_pred", "score", "_language_guess").distinct().collect()
+    assert [tuple(r) for r in out] == [("en", 1.0, "x")]
+    alone = languages.identify(spark.createDataFrame([(1, "123 4", "en"), (2, "...", "fr")], "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in alone.collect()} == {"und"}
+
+
+def test_language_whose_labels_have_no_letter(spark):
+    digits = {"en": "abc", "es": "ghi", "fr": "0123", "de": "mno"}
+    out = languages.identify(labelled(spark, digits)).groupBy("lang", "lang_pred").count().collect()
+    assert {(r.lang, r.lang_pred) for r in out} == {("en", "en"), ("es", "es"), ("de", "de"), ("fr", "und")}
+
+
+def test_language_names_of_any_kind(spark):
+    names = {"x:1": "abc", "y": "ghi", "pair:en:fr": "mno", "fr": "stu", "es": "vwx", "it:": "jkl"}
+    out = languages.identify(labelled(spark, names)).select("lang", "lang_pred").distinct().collect()
+    assert {(r.lang, r.lang_pred) for r in out} == {(n, n) for n in names}
+
+
+def brute_language(rows, per=languages.TRAIN_PER_LANGUAGE):
+    """Family, then votes of the pairs, straight from the training rows (fewer than ``per`` a language), in plain NumPy."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    train = sorted((d, t, v) for d, t, v in rows if not held(d) and v and languages.has_letter(t))
+    x, lang = np.stack([languages.features(t) for _, t, _ in train]), np.array([v for _, _, v in train])
+    family = np.array([languages.FAMILY_OF.get(v, v) for v in lang])
+    side = lambda w, v: float(v @ w[:-1] + w[-1])
+    first = {f: languages.train_svm(x, np.where(family == f, 1.0, -1.0)) for f in sorted(set(family))}
+    out, pairs = {}, {}
+    for d, t, _ in rows:
+        v = languages.features(t) if languages.has_letter(t) else None
+        if v is None:
+            out[d] = "und"
+            continue
+        best = max(first, key=lambda f: side(first[f], v))
+        inside = sorted(set(lang[family == best]))
+        score = {a: [0, 0.0] for a in inside}
+        for i, a in enumerate(inside):
+            for b in inside[i + 1 :]:
+                some = (lang == a) | (lang == b)
+                if (a, b) not in pairs:
+                    pairs[a, b] = languages.train_svm(x[some], np.where(lang[some] == a, 1.0, -1.0))
+                m = side(pairs[a, b], v)
+                score[a if m >= 0 else b][0] += 1
+                score[a][1] += m
+                score[b][1] -= m
+        out[d] = max(inside, key=lambda a: score[a])
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in languages.query(spark, "/root/testdata/sf0.001").collect()}
+    want = brute_language(rows)
+    assert {d: p for d, (_, p) in got.items()} == want
+    assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, (h, _) in got.items())
+
+
+def test_language_sample_is_that_of_lowest_hash(spark):
+    from pyspark.sql import functions as F
+
+    light = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "en").when(F.col("id") % 10 < 9, "fr").otherwise("de").alias("lang"))
+    got = languages.draw_sample(light, 300).groupBy("lang").agg(F.count("*").alias("n"), F.collect_set("doc_id").alias("ids")).collect()
+    hashed = light.withColumn("cell", F.shiftrightunsigned(F.xxhash64("doc_id"), 48)).withColumn("h", F.xxhash64("doc_id")).collect()
+    for r in got:
+        mine = sorted((x.cell, x.h, x.doc_id) for x in hashed if x.lang == r.lang)[:300]
+        assert r.n == 300 and set(r.ids) == {d for _, _, d in mine}
+
+
 # --- secrets
 
 
