@@ -2,21 +2,27 @@
 
 Every whole text is scanned by one regular expression per kind. Matches and
 their places come from two functions of the same expression: all matches, and
-the text between them; a running sum of their lengths gives the spans.
+the text between them; a running sum of their lengths gives the spans. The sum
+goes chunk by chunk, so a text with very many matches takes time in proportion
+to them.
 
 Each candidate value is hashed, and the hashes are counted over the corpus by
-distinct documents (repositories) and owners (sources). A value that several
-owners hold is a widely copied example; one that a single owner holds looks
-like a live credential of that owner. The counting goes (hash, owner) first,
-so a value that a third of all documents hold is summed up before it meets in
-one row. Texts are read once and never shuffled: what goes on is one row per
-document with its spans, written to the shared folder.
+distinct repositories and owners (here: documents and sources). A value that
+several owners hold in several repositories is a widely copied example; any
+other looks like a live credential of its owner. Equal (hash, owner,
+repository) rows are summed up first, so a value that a third of all documents
+hold is spread over its documents until only counts are left. The verdict goes
+back to the documents by hash: values that make up more than one in
+``MOST_COMMON`` of all spans, which cannot be more than ``MOST_COMMON`` values,
+are sent to all tasks, so what is joined by shuffle has no large group. Texts
+are read once and never shuffled: what goes on is one row per document with
+its spans, written to the shared folder.
 
 Only DataFrame functions are used.
 
-Defined results: null text is empty; null owner counts as one owner; rows
-with the same doc_id are scanned one by one; empty tables give empty results;
-extra columns are ignored.
+Defined results: null text is empty; null repositories, and null owners, count
+as one; rows with the same doc_id are scanned one by one; empty tables give
+empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +49,12 @@ MORE_KINDS = {
 }
 KINDS = BASE_KINDS | MORE_KINDS
 MIN_VALUE = 12
-#: Owners from which on a value counts as widely copied.
-SHARED_OWNERS = 2
+#: Owners and repositories from which on, both together, a value counts as widely copied.
+SHARED_OWNERS, SHARED_REPOSITORIES = 2, 3
+#: Matches of one text whose places are summed in one go.
+CHUNK = 256
+#: Most values whose verdict is sent to all tasks, and the share of all spans above which a value is one of them.
+MOST_COMMON = 10_000
 
 _SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,value:string>"
 
@@ -53,7 +63,9 @@ def _spans(text: Column, kind: str, pattern: str, rank: int) -> Column:
     """All leftmost non-overlapping matches of one kind as an array of spans."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else found
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    # there is one gap more than hits: the last one has no hit and is left out
+    zipped = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("gap"), found.alias("hit"), value.alias("value"))
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + F.char_length(m["gap"])
@@ -61,49 +73,59 @@ def _spans(text: Column, kind: str, pattern: str, rank: int) -> Column:
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(span.cast(_SPAN))).alias("out"))
 
-    # there is one gap more than hits: the last one has no hit and is left out
-    zipped = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("gap"), found.alias("hit"), value.alias("value"))
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def chunk(hits: Column, first: Column) -> Column:
+        """The spans of one chunk, counted from its own beginning, and its length."""
+        return F.aggregate(F.slice(hits, first, F.lit(CHUNK)), F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)
+
+    def moved(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value")).cast(_SPAN)
+
+    def join(acc: Column, c: Column) -> Column:
+        here = F.array(F.transform(c["out"], lambda s: moved(s, acc["at"]))).cast(f"array<array<{_SPAN}>>")
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], here).alias("out"))
+
+    # within a function of an array its elements are at hand, while what stands outside would be worked out again for each of them
+    cut = lambda hits: F.transform(F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), F.lit(CHUNK)), lambda first: chunk(hits, first))
+    chunks = F.element_at(F.transform(F.array(zipped), cut), 1)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+    spans = F.flatten(F.aggregate(chunks, start, join, lambda acc: acc["out"]))
     if kind == "assign":
         spans = F.filter(spans, lambda s: F.char_length(s["value"]) >= MIN_VALUE)
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, source, spans (start, rank, kind, end, value; by start, then kind): one row per row of ``docs``."""
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
+    """doc_id, repository, owner, spans (start, rank, kind, end, value; by start, then kind): one row per row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     every = F.concat(*[_spans(text, kind, pattern, k) for k, (kind, pattern) in enumerate(KINDS.items())])
-    return docs.select("doc_id", "source", F.array_sort(every).alias("spans"))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000")).alias
+    return docs.select("doc_id", named(repository)("repository"), named(owner)("owner"), F.array_sort(every).alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Values over the corpus: value_hash, n_documents, n_owners, n_spans, status."""
-    each = found.select("doc_id", "source", F.explode("spans").alias("s")).select("doc_id", "source", F.sha2("s.value", 256).alias("value_hash"))
-    per_document = each.groupBy("value_hash", "source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    per_owner = per_document.groupBy("value_hash", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-    return per_owner.groupBy("value_hash").agg(
-        F.sum("docs").alias("n_documents"),
-        F.count(F.lit(1)).alias("n_owners"),
-        F.sum("n").alias("n_spans"),
-        F.when(F.count(F.lit(1)) >= SHARED_OWNERS, "example").otherwise("live").alias("status"),
-    )
-
-
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, source, spans, n_live, n_example: every span of the document and how
-    many of its values look live or are widely copied."""
-    found = materialize(scan(docs).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
-    status = ownership(found).select("value_hash", "status")
-    judged = (
-        found.select("row", F.explode("spans").alias("s"))
-        .select("row", F.sha2("s.value", 256).alias("value_hash"))
-        .join(status, "value_hash")
-        .groupBy("row")
-        .agg(F.count_if(F.col("status") == "live").alias("n_live"), F.count_if(F.col("status") == "example").alias("n_example"))
-    )
-    return found.join(judged, "row", "left").select(
-        "doc_id", "source", "spans", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example")
-    )
+    """Values over the corpus: value_hash, n_repositories, n_owners, n_spans, status."""
+    each = found.select("repository", "owner", F.explode("spans").alias("s")).select("repository", "owner", F.sha2("s.value", 256).alias("value_hash"))
+    per = each.groupBy("value_hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
+    counted = per.groupBy("value_hash").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n_spans"))
+    shared = (F.col("n_owners") >= SHARED_OWNERS) & (F.col("n_repositories") >= SHARED_REPOSITORIES)
+    return counted.withColumn("status", F.when(shared, "example").otherwise("live"))
+
+
+def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
+    """doc_id, spans, n_live, n_example: every span of the document and how many of
+    its values look live or are widely copied."""
+    found = materialize(scan(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
+    status = materialize(ownership(found).select("value_hash", "n_spans", "status"), "secret-status")
+    total = status.agg(F.sum("n_spans")).first()[0] or 0
+    # they hold more than total / MOST_COMMON spans each, so there are fewer than MOST_COMMON of them
+    common = F.col("n_spans") * MOST_COMMON > total
+    light = ["value_hash", "status"]
+    each = found.select("row", F.explode("spans").alias("s")).select("row", F.sha2("s.value", 256).alias("value_hash"))
+    told = each.join(F.broadcast(status.where(common).select(*light)), "value_hash", "left")
+    asked = told.where("status is null").drop("status").join(status.where(~common).select(*light), "value_hash")
+    judged = told.where("status is not null").unionByName(asked).groupBy("row")
+    judged = judged.agg(F.count_if(F.col("status") == "live").alias("n_live"), F.count_if(F.col("status") == "example").alias("n_example"))
+    return found.join(judged, "row", "left").select("doc_id", "spans", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
 
 def _listed(spans: Column) -> Column:
@@ -136,12 +158,14 @@ s AS (
          list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS st
   FROM u),
 k AS (SELECT *, kind || ':' || st::BIGINT || ':' || (st + n)::BIGINT AS listed FROM s WHERE kind <> 'assign' OR length(v) >= {MIN_VALUE}),
-own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM k JOIN d USING (row) GROUP BY v),
-j AS (SELECT k.*, owners FROM k JOIN own USING (v))
+own AS (
+  SELECT v, count(DISTINCT coalesce(source, chr(0))) >= {SHARED_OWNERS} AND count(DISTINCT coalesce(doc_id::VARCHAR, chr(0))) >= {SHARED_REPOSITORIES} AS shared
+  FROM k JOIN d USING (row) GROUP BY v),
+j AS (SELECT k.*, shared FROM k JOIN own USING (v))
 SELECT any_value(d.doc_id) AS doc_id,
        count(*) FILTER (WHERE kind = 'assign')::BIGINT AS n_assign, count(*) FILTER (WHERE kind = 'access')::BIGINT AS n_access, count(*) FILTER (WHERE kind = 'hex')::BIGINT AS n_hex,
        sha256(coalesce(string_agg(listed, ',' ORDER BY st, rank) FILTER (WHERE rank < {len(BASE_KINDS)}), '')) AS base_sha256,
        coalesce(string_agg(listed, ',' ORDER BY st, rank), '') AS spans,
-       count(*) FILTER (WHERE owners < {SHARED_OWNERS})::BIGINT AS n_live, count(*) FILTER (WHERE owners >= {SHARED_OWNERS})::BIGINT AS n_example
+       count(*) FILTER (WHERE NOT shared)::BIGINT AS n_live, count(*) FILTER (WHERE shared)::BIGINT AS n_example
 FROM d LEFT JOIN j USING (row) GROUP BY row
 """

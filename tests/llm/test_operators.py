@@ -562,3 +562,33 @@ def test_secrets(spark, docs, empty):
     assert all(got[d].listed == brute_spans(t or "") for d, t, _ in rows)
     assert got[2].n_example == 2 and got[2].n_live == 0 and got[4].n_live == 2
     assert secrets.scan_secrets(empty).count() == 0 and secrets.scan_secrets(docs).count() == docs.count()
+
+
+def test_secrets_need_owners_and_repositories(spark):
+    texts = {"a": "token = aaaaaaaaaaaa", "b": "token = bbbbbbbbbbbb", "c": "token = cccccccccccc", "n": "token = nnnnnnnnnnnn"}
+    where = [("a", 1, "s"), ("a", 2, "s"), ("a", 3, "s"), ("b", 4, "s"), ("b", 5, "t"), ("c", 6, "s"), ("c", 7, "t"), ("c", 7, "u"), ("c", 8, "t"), ("n", None, None), ("n", None, "s"), ("n", 9, None), ("n", 9, None)]
+    df = spark.createDataFrame([(d, texts[v], o, v) for v, d, o in where], "doc_id long, text string, source string, spans string")
+    status = {r.value_hash: (r.n_repositories, r.n_owners, r.n_spans, r.status) for r in secrets.ownership(secrets.scan(df)).collect()}
+    digest = lambda v: hashlib.sha256((v * 12).encode()).hexdigest()
+    assert status == {digest("a"): (3, 1, 3, "live"), digest("b"): (2, 2, 2, "live"), digest("c"): (3, 3, 4, "example"), digest("n"): (2, 2, 4, "live")}
+    done = secrets.scan_secrets(df).groupBy("n_live", "n_example").count().collect()
+    assert {tuple(r) for r in done} == {(1, 0, 9), (0, 1, 4)}
+
+
+def test_secrets_in_a_text_with_very_many_matches(spark):
+    import time
+
+    rng = random.Random(6)
+    text = " ".join(f"{rng.randrange(10**15, 10**16)}abcd" if k % 3 else f"token=value{rng.randrange(10**9)}é" for k in range(100_000))
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    began = time.perf_counter()
+    r = secrets.scan_secrets(df).select("n_live", secrets._listed(secrets.F.col("spans")).alias("listed")).first()
+    assert r.listed == brute_spans(text) and r.n_live > 90_000 and time.perf_counter() - began < 60
+
+
+def test_secrets_all_values_rare_or_common(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_COMMON", 4)
+    texts = ["token = aaaaaaaaaaaa"] * 30 + [f"token = rarevalue{k:05d}" for k in range(40)]
+    df = spark.createDataFrame([(k, t, f"s{k % 3}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    done = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(df).collect()}
+    assert done == {k: (0, 1) if k < 30 else (1, 0) for k in range(70)}
