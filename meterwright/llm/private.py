@@ -24,15 +24,18 @@ import datetime
 import hashlib
 import math
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import release_memory
+from ._common import release_memory, unused
 
-#: Key for tests and examples; production jobs pass their own.
+#: Spark setting that holds the key of the registered query and the pipeline.
+KEY_SETTING = "spark.meterwright.privateKey"
+#: Key for tests and examples only: whoever knows it can invert the pseudonyms.
 DEFAULT_KEY = "not-a-secret"
 ROUNDS = 6
 
@@ -230,17 +233,18 @@ def _ssn(m: re.Match, p: Permuter, back: bool) -> str | None:
 
 
 def _good_phone(d: str) -> bool:
-    return d[0] in "23456789" and d[3] in "23456789"
+    return len(d) == 10 and d[0] in "23456789" and d[3] in "23456789"
 
 
 def _phone(m: re.Match, p: Permuter, back: bool) -> str | None:
-    """Area, exchange and line; the country code stays. Ten national digits form a number as in North America."""
+    """Area, exchange and line; the country code stays. Ten national digits form a number as in North America;
+    other numbers never become one, so that each is inverted as what it was."""
     own = m["national"]
     d = _only_digits(own)
-    if len(d) == 10 and _good_phone(d):
+    if _good_phone(d):
         new = p.digits("phone10", d, _good_phone, back)
     elif m["country"] and 7 <= len(d) <= 12:
-        new = p.digits(f"phone+{_only_digits(m['country'])}", d, back=back)
+        new = p.digits(f"phone+{_only_digits(m['country'])}", d, lambda x: not _good_phone(x), back)
     else:
         return None
     return m[0][: m.start("national") - m.start()] + _fill(own, new)
@@ -313,8 +317,17 @@ def pseudonymize(text: str, permuter: Permuter, back: bool = False) -> tuple[str
     return "".join([*out, text[at:]]), [(s, e, k) for s, e, k, _ in taken]
 
 
-def hide_private(docs: DataFrame, key: str = DEFAULT_KEY, back: bool = False) -> DataFrame:
-    """``docs`` with its text pseudonymized, and pii_spans (start, end, kind) of the text before."""
+def key_of(spark: SparkSession) -> str:
+    """The key named in the session's ``KEY_SETTING``; without it the published example key, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the published example key and can be inverted by anyone", stacklevel=2)
+    return key or DEFAULT_KEY
+
+
+def hide_private(docs: DataFrame, key: str | None = None, back: bool = False) -> DataFrame:
+    """``docs`` with its text pseudonymized, and pii_spans (start, end, kind) of the text before; the key is the session's unless given."""
+    key = key or key_of(docs.sparkSession)
 
     @F.pandas_udf("struct<text:string,spans:array<struct<start:int,end:int,kind:string>>>")
     def hidden(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -324,9 +337,9 @@ def hide_private(docs: DataFrame, key: str = DEFAULT_KEY, back: bool = False) ->
             yield pd.DataFrame({"text": [t for t, _ in done], "spans": [[dict(zip(("start", "end", "kind"), x, strict=True)) for x in s] for _, s in done]})
         release_memory()
 
-    work = "_hidden_text"
+    work = unused("hidden", docs.columns)
     out = docs.withColumn(work, hidden("text"))
-    return out.withColumns({"text": F.col(f"{work}.text"), "pii_spans": F.col(f"{work}.spans")}).drop(work)
+    return out.withColumns({"text": F.col(work)["text"], "pii_spans": F.col(work)["spans"]}).drop(work)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
