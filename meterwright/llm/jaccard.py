@@ -289,7 +289,6 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
 
 def links(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): links whose connected components are those of all links between distinct texts."""
-    spark = docs.sparkSession
     table = table.where("n > 0")
     by_key = Window.partitionBy("key", "key2", "n")
     table = materialize(table.withColumn("rep", F.min("doc_id").over(by_key)), "set-classes")
@@ -305,19 +304,14 @@ def links(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: in
     member = F.struct("doc_id", "n", "tokens")
     blocks = sets.groupBy("grp", "salt").agg(F.collect_list(member).cast(_MEMBERS).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
     blocks = materialize(blocks.withColumn("block", F.xxhash64("grp", "salt")).select("block", "least", "most", "members"), "blocks")
-    wide = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)  # rows are whole blocks
-    try:
-        inner = materialize(blocks.select("members").mapInArrow(tidy(_block_links(percent)), "a long, b long"), "inner-links")
-        unions = blocks.select("block", "members").mapInArrow(tidy(_unions), "token long, block long")
-        # in how many blocks a token is: counted first by partial sums, then given back to its blocks
-        matrix = unions.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("blocks > 1")
-        shared = matrix.groupBy("block").agg(F.collect_list(F.struct("token", "blocks")).alias("shared"))
-        shared = materialize(shared, "matrix")
-        probes = blocks.join(shared, "block").select("block", "members", "shared").mapInArrow(tidy(_probes(percent)), "token long, block long")
-        probes = materialize(probes, "probes")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", wide)
+    inner = materialize(blocks.select("members").mapInArrow(tidy(_block_links(percent)), "a long, b long"), "inner-links")
+    unions = blocks.select("block", "members").mapInArrow(tidy(_unions), "token long, block long")
+    # in how many blocks a token is: counted first by partial sums, then given back to its blocks
+    matrix = unions.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("blocks > 1")
+    shared = matrix.groupBy("block").agg(F.collect_list(F.struct("token", "blocks")).alias("shared"))
+    shared = materialize(shared, "matrix")
+    probes = blocks.join(shared, "block").select("block", "members", "shared").mapInArrow(tidy(_probes(percent)), "token long, block long")
+    probes = materialize(probes, "probes")
     index = shared.select(F.col("block").alias("to"), F.explode("shared").alias("s")).select("to", "s.token")
     held = probes.join(index, "token").where("to < block").groupBy("block", "to").agg(F.collect_list("token").alias("held"))
     sizes = blocks.select(F.col("block").alias("to"), F.col("least").alias("to_least"), F.col("most").alias("to_most"))
@@ -325,11 +319,7 @@ def links(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: in
     # only the queries in question travel to the block that is opened
     asked = held.mapInArrow(tidy(_choose(percent)), f"to long, queries {_MEMBERS}")
     opened = asked.join(blocks.select(F.col("block").alias("to"), "members"), "to").select("queries", "members")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
-    try:
-        outer = materialize(opened.mapInArrow(tidy(_open(percent)), "a long, b long"), "outer-links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", wide)
+    outer = materialize(opened.mapInArrow(tidy(_open(percent)), "a long, b long"), "outer-links")
     return equal.unionByName(inner).unionByName(outer)
 
 
@@ -349,14 +339,22 @@ def join_similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows that link to a document of lower id; of rows with one id, one stays.
+    """``docs`` without the rows that link to a document of lower id; of rows with one id and one text, one stays.
 
-    Rows without an id link with nothing and stay.
+    Rows without an id link with nothing and stay; so do rows of one id that hold different texts.
     """
     judged = join_similar(docs, shingle, percent)
-    gone = judged.where("component_id <> doc_id").select("doc_id").distinct()
-    gone = materialize(gone, "near-copies")
-    return docs.join(small_side(gone), "doc_id", "left_anti")
+    gone = materialize(judged.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    # a whole row is one column from here on, so none of its names meets one of ours
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    held = held.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("row.text", F.lit("")).cast("binary")).alias("h"))
+    kept = held.join(small_side(gone), "doc_id", "left_anti")
+    several = kept.where("doc_id is not null").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    several = small_side(materialize(several, "repeated"))
+    keys = ["doc_id", "h"]
+    # equal rows are brought down to one before they meet
+    first = kept.join(several, keys, "left_semi").groupBy(*keys).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.join(several, keys, "left_anti").select("row").unionByName(first.select("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
