@@ -3,9 +3,12 @@
 1. Vectors are scaled to length one, and equal ones go on as one counted
    vector. A forest of sign codes (random hyperplanes) deals them into blocks,
    and each vector takes its best neighbours of the blocks as its first list.
+   The forest has as many trees as it takes to bring an isolated pair at the
+   threshold together with a chance of 1 - ``MISS``, so it grows with the table.
 2. NN-descent: around every vector its neighbours, and those that hold it as a
    neighbour, are compared with each other; what beats the end of a list
-   enters it. A list that is full of links is enlarged.
+   enters it. A list that is full of links is enlarged. The rounds go on until
+   less than ``DELTA`` of the lists' places change.
 3. Lists are bounded, so a group can fill its members' lists. Every block that
    is compared therefore also gives ties: edges that hold the classes of all
    its links together, at most one per member, whether or not the links find
@@ -45,11 +48,13 @@ from ._graph import components
 from .jaccard import _classes
 
 THRESHOLD = 0.9
-#: First length of the neighbour lists, trees of the forest, vectors in a block, members compared at once.
+#: First length of the neighbour lists, least trees of the forest, vectors in a block, members compared at once.
 NEIGHBOURS, TREES, BLOCK, PAIR_BLOCK = 8, 12, 128, 512
-ROUNDS, RESTARTS = 2, 3
+#: Chance that one forest misses an isolated pair, and share of changed places at which NN-descent has converged.
+MISS, DELTA = 0.05, 0.001
+RESTARTS = 3
 #: Vectors of each sample of the audit, and the share of their links that has to be found.
-AUDIT, TARGET = 256, 0.97
+AUDIT, TARGET = 1024, 0.97
 SEED = 11
 #: Slack of the single-precision search; the last step compares in double precision.
 SLACK = 1e-4
@@ -63,10 +68,10 @@ def _units(batches):
         ids, nodes, units, dims, keys = [], [], [], [], []
         for vec_id, node, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             x = np.array([np.nan if c is None else c for c in v], dtype=np.float64) if v else np.zeros(0)
-            norm = np.linalg.norm(x) if len(x) and np.isfinite(x).all() else 0.0
-            if norm > 0 and not np.isfinite(norm):  # components near the largest number
-                x = x / np.abs(x).max()
-                norm = np.linalg.norm(x)
+            most = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
+            if most > 0:  # squares of the largest and the smallest components stay within range
+                x = np.ldexp(x, -int(np.frexp(most)[1]))
+            norm = np.linalg.norm(x) if most > 0 else 0.0
             ids.append(vec_id)
             nodes.append(node)
             units.append((x / norm).astype("<f8").tobytes() if norm > 0 else None)
@@ -88,10 +93,16 @@ def distinct_units(table: DataFrame) -> DataFrame:
     return materialize(rows.agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id")), "distinct-units")
 
 
+def trees_needed(threshold: float, bits: int) -> int:
+    """Trees of ``bits`` random hyperplanes in which a pair at the threshold shares a block at least once, but for a chance of ``MISS``."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return TREES if together > 1 - MISS else max(TREES, int(np.ceil(np.log(MISS) / np.log1p(-together))))
+
+
 def _codes(trees: int, bits: int, seed: int):
     def work(batches):
         planes: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             for dim in set(batch.column("dim").to_pylist()):
                 some = batch.filter(pa.compute.equal(batch.column("dim"), dim))
                 if dim not in planes:
@@ -176,17 +187,6 @@ def _blocks(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
     return rows.groupBy(*keys, "salt").agg(F.collect_list(F.struct("node", "unit", *more)).alias("members"))
 
 
-def _few_rows(spark, df: DataFrame, label: str) -> DataFrame:
-    """Materializes with small Arrow batches: a row is a whole block."""
-    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(name)
-    conf.set(name, 32)
-    try:
-        return materialize(df, label)
-    finally:
-        conf.set(name, usual)
-
-
 def _counted(threshold: float):
     """Pairs of member blocks -> (node, n, other): links of each node (copies counted), and the edges that hold their classes together."""
 
@@ -222,7 +222,7 @@ def _counted(threshold: float):
     return work
 
 
-def _exact(spark, units: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+def _exact(units: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """Candidate components -> (node, n, other) of their true links."""
     members = units.join(groups, "node").select("node", "unit", "copies", F.col("component").alias("comp"))
     rows = materialize(_blocks(_salted(members, ["comp"], PAIR_BLOCK), ["comp"], "copies"), "component-blocks")
@@ -234,11 +234,12 @@ def _exact(spark, units: DataFrame, groups: DataFrame, threshold: float) -> Data
     second = pairs.where("salt > 0").select("comp", F.explode(F.expr("sequence(0, salt - 1)")).alias("i"), F.col("salt").alias("j"), F.col("members").alias("right"))
     across = first.join(second, ["comp", "i", "j"]).select("left", "right", F.lit(False).alias("same"))
     within = left.select("left", F.col("left").alias("right"), F.lit(True).alias("same"))
-    return _few_rows(spark, within.unionByName(across).mapInArrow(_counted(threshold), "node long, n long, other long"), "link-counts")
+    return materialize(within.unionByName(across).mapInArrow(_counted(threshold), "node long, n long, other long"), "link-counts")
 
 
-def _audit(units: DataFrame, counts: DataFrame, threshold: float, size: int) -> float:
-    """Recall against all rows, the least of: share of the sample's links, mean share of a vector's links, and that mean for vectors with few links."""
+def _audit(units: DataFrame, counts: DataFrame, threshold: float, size: int) -> tuple[float, int]:
+    """(recall against all rows, links it rests on). The recall is the least of: share of the sample's links, mean share
+    of a vector's links, and that mean for vectors with few links; 1 where the samples have no links."""
     per_node = counts.groupBy("node").agg(F.sum("n").alias("n"))
     known = units.select("node", "unit", "dim").join(per_node, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     draw = lambda some: some.orderBy(F.xxhash64("node")).limit(size).collect()  # noqa: E731  # bounded by `size`
@@ -267,13 +268,20 @@ def _audit(units: DataFrame, counts: DataFrame, threshold: float, size: int) ->
             shares.append(float(np.mean([found[k] / true[k] for k in linked])))
             if sample is every:
                 shares.append(sum(found[k] for k in linked) / sum(true[k] for k in linked))
-    return min(shares, default=1.0)
+    return min(shares, default=1.0), sum(true[k] for k in found)
 
 
 def _flat(lists: DataFrame) -> DataFrame:
     return lists.select(F.col("node").alias("u"), F.explode("list").alias("e")).select("u", "e.v", "e.sim", F.lit(False).alias("tie"))
 
 
+def _changed(was: DataFrame, now: DataFrame) -> int:
+    """Places of the lists that a round has filled with another neighbour."""
+    both = now.select("node", F.transform("list", lambda e: e["v"]).alias("now")).join(was.select("node", F.transform("list", lambda e: e["v"]).alias("was")), "node", "left")
+    new = F.size(F.array_except("now", F.coalesce("was", F.array().cast("array<long>"))))
+    return both.agg(F.sum(new)).first()[0] or 0
+
+
 def _tied(lists: DataFrame) -> DataFrame:
     return lists.select(F.col("node").alias("a"), F.explode("ties").alias("b"))
 
@@ -284,27 +292,29 @@ def _with_roots(links: DataFrame) -> DataFrame:
     return groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
 
 
-def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = SEED) -> tuple[DataFrame, float]:
-    """(vec_id, n_links, component_id, kept for every row; audited recall)."""
+def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = SEED) -> tuple[DataFrame, float, int]:
+    """(vec_id, n_links, component_id, kept for every row; audited recall; links of the audit)."""
     spark = vectors.sparkSession
     table = unit_table(vectors)
     units = distinct_units(table)
     n = units.count()
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK)))) if n else 0
-    near, edges, ties, keep, recall = threshold - SLACK, None, None, NEIGHBOURS, 1.0
+    trees = trees_needed(threshold, bits)
+    near, edges, ties, keep, recall, audited = threshold - SLACK, None, None, NEIGHBOURS, 1.0, 0
     counts = spark.createDataFrame([], "node long, n long, other long")
 
     def forest(number: int) -> DataFrame:
-        return units.select("node", "unit", "dim").mapInArrow(_codes(TREES, bits, seed + 1000 * number), "node long, tree long, code long, unit binary")
+        return units.select("node", "unit", "dim").mapInArrow(_codes(trees, bits, seed + 1000 * number), "node long, tree long, code long, unit binary")
 
     number = 0  # of the forest
     for _ in range(RESTARTS if n > 1 else 0):
         new = _blocks(_salted(forest(number), ["tree", "code"], 2 * BLOCK), ["tree", "code"]).select("members").mapInArrow(_best(near, keep), "u long, v long, sim float, tie boolean")
-        new = _few_rows(spark, new, "forest")
+        new = materialize(new, "forest")
         edges = new if edges is None else edges.unionByName(new)
         lists = materialize(_lists(edges, near, keep), "lists")
         ties = _tied(lists) if ties is None else ties.unionByName(_tied(lists))
-        for _ in range(ROUNDS):
+        changed = n * keep
+        while changed > DELTA * n * keep:
             flat = _flat(lists)
             around = flat.select(F.col("u").alias("pivot"), F.col("v").alias("node"))
             around = around.unionByName(flat.select(F.col("v").alias("pivot"), F.col("u").alias("node"))).distinct()
@@ -315,7 +325,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
             last = lists.select(F.col("node").alias("u"), F.when(F.size("list") < keep, F.lit(-2.0)).otherwise(F.element_at("list", -1)["sim"]).alias("last"))
             found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
             found = found.join(last, "u").where((F.col("sim") > F.col("last")) | (F.col("sim") >= near) | F.col("tie")).select("u", "v", "sim", "tie")
-            lists = _few_rows(spark, _lists(flat.unionByName(found), near, keep), "lists")
+            was, lists = lists, materialize(_lists(flat.unionByName(found), near, keep), "lists")
+            changed = _changed(was, lists)
             ties = ties.unionByName(_tied(lists))
         edges = _flat(lists)
         links = edges.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ties)
@@ -324,21 +335,21 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
             number += 1
             coded = forest(number).join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
             blocks = _blocks(_salted(coded, ["tree", "code"], 2 * BLOCK), ["tree", "code"], "comp").select("members")
-            more = _few_rows(spark, blocks.mapInArrow(_between(near), "a long, b long"), "between")
+            more = materialize(blocks.mapInArrow(_between(near), "a long, b long"), "between")
             if not more.limit(1).count():
                 break
             # what is joined so far goes on as stars
             links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         ties = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        counts = _exact(spark, units, groups, threshold)
-        recall = _audit(units, counts, threshold, AUDIT)
+        counts = _exact(units, groups, threshold)
+        recall, audited = _audit(units, counts, threshold, AUDIT)
         if recall >= TARGET:
             break
         keep *= 2
         number += 1
     if recall < TARGET:  # the search has failed: everything against everything
-        counts = _exact(spark, units, units.select("node", F.col("dim").cast("long").alias("component")), threshold)
-        recall = _audit(units, counts, threshold, AUDIT)
+        counts = _exact(units, units.select("node", F.col("dim").cast("long").alias("component")), threshold)
+        recall, audited = _audit(units, counts, threshold, AUDIT)
     per_node = counts.groupBy("node").agg(F.sum("n").alias("others"))
     true = components(counts.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     rows = units.select("key", "node", "copies", "first_id").join(per_node, "node", "left").join(true, "node", "left")
@@ -353,10 +364,10 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     rows = light.join(many, "key").unionByName(light.join(many, "key", "left_anti").join(usual, "key", "left"))
     n_links = F.coalesce("n_links", F.lit(0))
     component_id = F.when(n_links > 0, F.col("lowest")).otherwise(F.col("vec_id"))
-    return rows.select("vec_id", n_links.alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept")), recall
+    return rows.select("vec_id", n_links.alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept")), recall, audited
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: links and component of every vector, and the audited recall of the run."""
-    rows, recall = near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return rows.withColumn("recall", F.lit(recall))
+    """op7: links and component of every vector, the audited recall of the run and the number of links it rests on."""
+    rows, recall, audited = near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumns({"recall": F.lit(recall), "audited_links": F.lit(audited).cast("long")})
