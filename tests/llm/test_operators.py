@@ -178,11 +178,20 @@ def test_jaccard_family_over_many_blocks(spark):
 def test_jaccard_keeps_one_of_each(docs, rows, empty):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    want = sorted(str(d) for d, _, c in brute_components(rows) if c is None or c == d)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == want
+    stay = [(d, t) for (d, t), (_, _, c) in zip(rows, brute_components(rows)) if c is None or c == d]
+    want = sorted(map(str, {x for x in stay if x[0] is not None})) + [str(x) for x in stay if x[0] is None]
+    assert sorted(map(str, map(tuple, kept.select("doc_id", "text").collect()))) == sorted(want)
     assert jaccard.join_similar(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
+def test_jaccard_keeps_one_of_equal_rows(spark):
+    rows = [(1, "a b c d e f", "x", {"k": 1})] * 50 + [(1, "a b c d e f", "y", {"k": 0}), (1, "g h i j k l", "z", None), (2, "A b c d e f", "x", None), (None, "q", "x", None), (None, "q", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, row map<string,int>")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == [(1, "a b c d e f"), (1, "g h i j k l"), (None, "q"), (None, "q")]
+
+
 # --- chat
 
 
@@ -333,6 +342,82 @@ def test_private_values_before_other_groups():
         assert spans and private.pseudonymize(new, p, True)[0] == text
 
 
+def word_values(text):
+    """Mail and network addresses and ISO dates among the words of a text, without patterns."""
+    import datetime
+    import ipaddress
+
+    found = set()
+    for word in re.split(r"[\s,;:!?$%&*#()\[\]<>\"'=]+", text):
+        word = word.strip(".")
+        local, _, host = word.partition("@")
+        if local and "." in host and host.rpartition(".")[2].isalpha() and word.isascii():
+            found.add(("email", word))
+        for kind, check in (("ipv4", ipaddress.IPv4Address), ("date", datetime.date.fromisoformat)):
+            try:
+                check(word)
+            except ValueError:
+                continue
+            if kind == "ipv4" or len(word) == 10:
+                found.add((kind, word))
+    return found
+
+
+def test_private_values_against_a_search_by_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    done = private.hide_private(docs, key="k")
+    n = 0
+    for r in done.collect():
+        text = texts[r.doc_id]
+        if text is None:
+            assert r.text is None
+            continue
+        spans = {(s.kind, text[s.start : s.end]) for s in r.pii_spans}
+        simple = {(k, v) for k, v in spans if k in ("email", "ipv4") or (k == "date" and len(v) == 10 and v[4] == "-")}
+        assert simple == word_values(text), r.doc_id
+        assert all(v not in r.text or k == "phone" for k, v in spans)
+        n += len(simple)
+        # what lies between the spans is untouched
+        at, shape = 0, ""
+        for s in sorted(r.pii_spans, key=lambda s: s.start):
+            shape += re.escape(text[at : s.start]) + r"[A-Za-z0-9 .@_%+()/-]+"
+            at = s.end
+        assert re.fullmatch(shape + re.escape(text[at:]), r.text, re.S)
+    assert n > 5
+    back = {r.doc_id: r.text for r in private.hide_private(done.drop("pii_spans"), key="k", back=True).collect()}
+    assert back == texts
+
+
+def test_feistel_against_a_plain_version():
+    import math
+
+    p = private.Permuter("k")
+
+    def plain(kind, size, x):
+        side = math.isqrt(size - 1) + 1
+        while True:
+            a, b = x // side, x % side
+            for n in range(private.ROUNDS):
+                f = int.from_bytes(hashlib.blake2b(f"{kind}|{size}|{n}|{b}".encode(), key=hashlib.sha256(b"k").digest(), digest_size=16).digest(), "big")
+                a, b = b, (a + f) % side
+            x = a * side + b
+            if x < size:
+                return x
+
+    assert all(p.permute("x", size, k) == plain("x", size, k) for size in (2, 10, 97, 1000) for k in range(size))
+
+
+def test_key_of_the_session(spark):
+    with pytest.warns(UserWarning, match="published example key"):
+        assert private.key_of(spark) == private.DEFAULT_KEY
+    spark.conf.set(private.KEY_SETTING, "own")
+    try:
+        assert private.key_of(spark) == "own"
+    finally:
+        spark.conf.unset(private.KEY_SETTING)
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
 def test_permutation(size):
     p = private.Permuter("k")
@@ -351,7 +436,7 @@ def test_embeddings(spark):
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
     rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [None] * 16, 1), (1004, [1.0, 2.0], 1), (1005, [], 1), (None, x[0].tolist(), 1), (5, x[5].tolist(), 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    out, recall = embeddings.near_embeddings(df)
+    out, recall, _ = embeddings.near_embeddings(df)
     got = sorted(map(tuple, out.collect()), key=str)
     full = [(v, np.array(e, dtype=float) if e and len(e) == 16 and None not in e else None) for v, e, _ in rows]
     unit = [(v, e / np.linalg.norm(e)) if e is not None and np.isfinite(e).all() and np.linalg.norm(e) > 0 else (v, None) for v, e in full]
@@ -389,7 +474,7 @@ def test_embeddings_groups_that_fill_all_lists(spark):
     x = two_tight_groups(200)
     want = brute_links(x)
     assert (want[:400] == 449).all()  # each is linked with all of both groups and the copies
-    out, recall = embeddings.near_embeddings(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    out, recall, _ = embeddings.near_embeddings(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
     got = {r.vec_id: r for r in out.collect()}
     assert recall == 1 and [got[k].n_links for k in range(len(x))] == want.tolist()
     assert {got[k].component_id for k in range(450)} == {0} and [k for k in range(450) if got[k].kept] == [0]
@@ -410,13 +495,43 @@ def test_embeddings_failed_search_is_not_returned(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "RESTARTS", 1)
     monkeypatch.setattr(embeddings, "_best", nothing)
     monkeypatch.setattr(embeddings, "_between", nothing, raising=False)
-    out, recall = embeddings.near_embeddings(df)
+    out, recall, _ = embeddings.near_embeddings(df)
     assert recall == 1 and {r.vec_id: r.n_links for r in out.collect()} == dict(enumerate(brute_links(x).tolist()))
 
 
 def test_embeddings_query_tells_its_recall(spark):
     row = embeddings.query(spark, "/root/testdata/sf0.001").first()
-    assert row.recall >= 0.9
+    assert row.recall >= 0.9 and row.audited_links >= 0
+
+
+def test_embeddings_of_the_smallest_and_largest_numbers(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e-200, 2e-200]), (3, [2e-200, 4e-200]), (4, [1e300, 2e300]), (5, [5e-324, 1e-323]), (6, [-1e308, 1e308]), (7, [0.0, 0.0]), (8, [1.0])]
+    out, recall, audited = embeddings.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == {**{k: (4, 1) for k in range(1, 6)}, 6: (0, 6), 7: (0, 7), 8: (0, 8)}
+    assert recall == 1 and audited == 0  # equal vectors are one in the audit
+
+
+def test_embeddings_pairs_one_cluster_and_lengths(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1600, 24))
+    x[1:200:2] = x[0:200:2] + 0.05 * rng.standard_normal((100, 24))  # isolated pairs
+    x[400:700] = x[400] + 0.2 * rng.standard_normal((300, 24))
+    y = rng.standard_normal((400, 10))
+    y[:40] = y[0] + 0.1 * rng.standard_normal((40, 10))
+    rows = [(k, v.tolist()) for k, v in enumerate([*x, *y])]
+    out, recall, audited = embeddings.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r.vec_id: r.n_links for r in out.collect()}
+    want = np.concatenate([brute_links(x), brute_links(y)])
+    linked = np.flatnonzero(want)
+    assert all(got[k] <= want[k] for k in range(2000)) and np.mean([got[k] / want[k] for k in linked]) >= 0.97 and recall >= 0.97 and audited > 0
+
+
+def test_embeddings_forest_grows_with_the_table():
+    for n in (10**4, 10**6, 10**8, 10**9):
+        bits = int(np.ceil(np.log2(n / embeddings.BLOCK)))
+        together = (1 - np.arccos(0.9) / np.pi) ** bits
+        assert (1 - together) ** embeddings.trees_needed(0.9, bits) <= embeddings.MISS + 1e-9
+    assert embeddings.trees_needed(0.9, 0) == embeddings.TREES
 
 
 # --- fingerprints
