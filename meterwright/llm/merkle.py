@@ -1,15 +1,23 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and leaves.
 
-A text is cut into paragraphs (lines), each into sentence leaves of bounded
-size; a section ends with a paragraph whose own hash says so, so that sections
-find their ends again after an insertion. The fingerprint writes the tree as
+A text is cut into paragraphs (lines with their line ends), each into leaves
+of a few sentences; a leaf ends with a sentence whose own hash says so and a
+section with a paragraph whose hash says so, so that they find their ends
+again after an insertion. Every character is in one leaf. A leaf's hash is
+that of its text, a paragraph's that of its leaves' hashes, a section's that of
+its paragraphs', and the root's that of the sections' hashes: roots are equal
+where texts are equal. The fingerprint writes the root and the leaves,
 
-    ROOT/SECTION:PARAGRAPH=LEAF.SIZE,LEAF.SIZE;PARAGRAPH=.../SECTION:...
+    ROOT:LEAF,LEAF;LEAF/LEAF;...
 
-in hexadecimal hashes (sizes in base 36). Roots hash the whole text: equal
-roots test equality. Two trees are compared from the top; branches with equal
-hashes are passed over, differing ones are gone down to the leaves, which
-locates the edit. Likeness is the weighted share of leaves in common.
+with ``/`` between sections, ``;`` between paragraphs, and a leaf as 16
+hexadecimal digits and its size in base 36. The hashes in between follow from
+the leaves, and reading a fingerprint works them out and checks the root.
+
+Two trees are compared from the top: sections of equal hash are passed over
+whole, then paragraphs of equal hash in what is left, then leaves. What stays
+without a partner is where the texts differ. Likeness is the share of
+characters that found a partner.
 
 To fingerprint each document against the next by doc_id, documents are range
 partitioned and sorted once; within a task the next row is at hand, and only
@@ -17,9 +25,12 @@ the last row of each task waits for the first row of the next one: as many
 rows as there are partitions.
 
 Defined results: null text is empty, an empty text has a root only, and two
-empty texts are alike (1.0); rows are ordered by doc_id (null first), then
-text, so ties and repeated rows follow each other; one row alone is its own
-next document; an empty table gives an empty result; extra columns are ignored.
+empty texts are alike (1.0), while an empty and another text are not (0.0);
+texts of the same leaves in another order are a little less than alike; rows
+are ordered by doc_id (null first), then text, so ties and repeated rows follow
+each other, and many rows of one doc_id are dealt over tasks by the beginning
+of their text; one row alone is its own next document; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,24 +38,83 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ._common import materialize, tidy
 
-#: Longest leaf in characters where no sentence ends.
-LEAF = 256
+#: Longest piece in characters where no sentence ends.
+PIECE = 256
+#: One piece in so many ends a leaf, and a leaf has at most so many pieces.
+LEAF, MOST_PIECES = 3, 24
 #: One paragraph in so many ends a section.
 SECTION = 4
+#: Leading characters of a text by which rows of one doc_id are dealt over tasks.
+TIE_CHARS = 64
 
-_LEAF = re.compile(rf"[^.!?\n]{{0,{LEAF}}}[.!?]+|[^.!?\n]{{1,{LEAF}}}")
+_PIECE = re.compile(rf"[^.!?\n]{{0,{PIECE}}}(?:[.!?]+\n?|\n)|[^.!?\n]{{1,{PIECE}}}")
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
+class Node(NamedTuple):
+    """A branch of the tree: its hash, characters below it, branches below it (none below a leaf)."""
+
+    digest: int
+    size: int
+    below: tuple[Node, ...] = ()
+
+
+def _joined(below: Iterable[Node]) -> Node:
+    below = tuple(below)
+    return Node(xxh3_64_intdigest(b"".join(n.digest.to_bytes(8, "big") for n in below)), sum(n.size for n in below), below)
+
+
+def root(sections: list[Node]) -> str:
+    """The hash over the sections' hashes, in hexadecimal."""
+    return hashlib.blake2b(b"".join(n.digest.to_bytes(8, "big") for n in sections), digest_size=16).hexdigest()
+
+
+def grow(text: str) -> list[Node]:
+    """The sections of a text's tree."""
+    sections, section, paragraph, pieces = [], [], [], []
+
+    def end_section() -> None:
+        sections.append(_joined(section))
+        section.clear()
+
+    def end_paragraph() -> None:
+        section.append(_joined(paragraph))
+        paragraph.clear()
+        if section[-1].digest % SECTION == 0:
+            end_section()
+
+    def end_leaf() -> None:
+        leaf = "".join(pieces)
+        paragraph.append(Node(xxh3_64_intdigest(leaf), len(leaf)))
+        pieces.clear()
+
+    for piece in _PIECE.findall(text):
+        pieces.append(piece)
+        last = piece[-1] == "\n"
+        if last or len(pieces) == MOST_PIECES or xxh3_64_intdigest(piece) % LEAF == 0:
+            end_leaf()
+            if last:
+                end_paragraph()
+    if pieces:
+        end_leaf()
+    if paragraph:
+        end_paragraph()
+    if section:
+        end_section()
+    return sections
+
+
 def _base36(n: int) -> str:
     out = ""
     while True:
@@ -54,96 +124,118 @@ def _base36(n: int) -> str:
             return out
 
 
-_SIZES = [_base36(n) for n in range(4 * LEAF)]
+def write(sections: list[Node]) -> str:
+    """A tree as fingerprint."""
+    named = "/".join(";".join(",".join(f"{leaf.digest:016x}{_base36(leaf.size)}" for leaf in p.below) for p in s.below) for s in sections)
+    return f"{root(sections)}:{named}"
 
 
-def _leaf(s: str) -> str:
-    n = len(s)
-    return f"{xxhash.xxh3_64_intdigest(s) & 0xFFFFFF:06x}.{_SIZES[n] if n < len(_SIZES) else _base36(n)}"
+def read(mark: str) -> list[Node]:
+    """A fingerprint's tree; raises if the root is not that of the leaves."""
+    name, _, body = mark.partition(":")
+    leaf = lambda x: Node(int(x[:16], 16), int(x[16:], 36))
+    sections = [_joined(_joined(map(leaf, p.split(","))) for p in s.split(";")) for s in body.split("/")] if body else []
+    if root(sections) != name:
+        raise ValueError("the root does not belong to these leaves")
+    return sections
 
 
 def fingerprint(text: str) -> str:
-    sections, section = [], []
-    for line in text.split("\n"):
-        if not line:
-            continue
-        leaves = ",".join(map(_leaf, _LEAF.findall(line)))
-        own = xxhash.xxh3_64_intdigest(leaves)
-        section.append(f"{own & 0xFFFFFFFF:08x}={leaves}")
-        if own % SECTION == 0:
-            sections.append(section)
-            section = []
-    if section:
-        sections.append(section)
-    named = (f"{xxhash.xxh3_64_intdigest(body) & 0xFFFFFFFF:08x}:{body}" for body in map(";".join, sections))
-    return "/".join([hashlib.md5(text.encode()).hexdigest(), *named])
-
-
-def tree(mark: str) -> list[tuple[str, list[tuple[str, list[str]]]]]:
-    """A fingerprint's sections: (hash, paragraphs (hash, leaves))."""
+    return write(grow(text))
+
+
+def _unmatched(a: list, b: list) -> tuple[list, list]:
+    """(start, node) branches of either side that have no partner of equal hash on the other, each partner used once."""
+    here, there = Counter(n.digest for _, n in a), Counter(n.digest for _, n in b)
+    both = here & there
+    rest = []
+    for side in (a, b):
+        used = both.copy()
+        left = []
+        for at, n in side:
+            if used[n.digest] > 0:
+                used[n.digest] -= 1
+            else:
+                left.append((at, n))
+        rest.append(left)
+    return rest[0], rest[1]
+
+
+def _opened(branches: list) -> list:
+    """The branches below, each with its place in the text."""
     out = []
-    for section in mark.split("/")[1:]:
-        name, _, body = section.partition(":")
-        out.append((name, [(p.partition("=")[0], p.partition("=")[2].split(",")) for p in body.split(";")]))
+    for at, n in branches:
+        for child in n.below:
+            out.append((at, child))
+            at += child.size
     return out
 
 
-def _leaves(mark: str) -> Counter:
-    return Counter(re.findall(r"[0-9a-f]{6}\.[0-9a-z]+", mark.partition("/")[2]))
+def differing(a: list[Node], b: list[Node]) -> tuple[list, list]:
+    """Leaves of two trees without a partner, as (start, leaf): only branches that differ are opened."""
+    left = _unmatched(_opened([(0, _joined(a))]), _opened([(0, _joined(b))]))
+    for _ in range(2):
+        left = _unmatched(_opened(left[0]), _opened(left[1]))
+    return left
 
 
-def _weight(leaf: str) -> int:
-    return int(leaf[7:], 36)
-
-
-def _likeness(a: str, ca: Counter, b: str, cb: Counter) -> float:
-    if a[:32] == b[:32]:
+def _likeness(a: list[Node], b: list[Node]) -> float:
+    if [n.digest for n in a] == [n.digest for n in b]:
         return 1.0
-    both = sum(_weight(x) * min(n, cb[x]) for x, n in ca.items() if x in cb)
-    total = sum(_weight(x) * n for c in (ca, cb) for x, n in c.items())
-    # texts that differ only in what no leaf holds (empty lines) are a little less than alike
-    return min(2 * both / total, 0.999999) if total else 0.0
+    gone, new = differing(a, b)
+    total = sum(n.size for n in a) + sum(n.size for n in b)
+    # the same leaves in another order are a little less than alike
+    return min(1 - sum(n.size for _, n in gone + new) / total, 0.999999)
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of two fingerprints' text, by size, that lies in equal leaves: 0 to 1."""
-    return _likeness(a, _leaves(a), b, _leaves(b))
+    """Share of two fingerprints' characters that lie in branches with a partner of equal hash: 0 to 1."""
+    return _likeness(read(a), read(b))
 
 
-def edits(a: str, b: str) -> list[tuple[int, int, list[str]]]:
-    """Where a differs from b: (section, paragraph, leaves that b lacks), found by going down differing branches only."""
-    if a[:32] == b[:32]:
-        return []
-    sections, paragraphs, leaves = {s for s, _ in tree(b)}, {p for _, ps in tree(b) for p, _ in ps}, _leaves(b)
-    out = []
-    for i, (section, inside) in enumerate(tree(a)):
-        if section in sections:
-            continue
-        for j, (paragraph, own) in enumerate(inside):
-            if paragraph not in paragraphs and (gone := [x for x in own if x not in leaves]):
-                out.append((i, j, gone))
+def _spans(leaves: list) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for at, n in leaves:
+        if out and out[-1][1] == at:
+            out[-1] = (out[-1][0], at + n.size)
+        else:
+            out.append((at, at + n.size))
     return out
 
 
+def edits(a: str, b: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Where two texts differ, from their fingerprints: (spans of the first without a partner, spans of the second), in
+    code points. Where only the order differs, the spans between the common beginning and the common end."""
+    trees = read(a), read(b)
+    gone, new = differing(*trees)
+    if gone or new or a == b:
+        return _spans(gone), _spans(new)
+    rows = [_opened(_opened(_opened([(0, _joined(t))]))) for t in trees]
+    same = [x.digest == y.digest for (_, x), (_, y) in zip(*rows, strict=True)]
+    if all(same):  # the leaves are the same, only their paragraphs or sections are not
+        return _spans(rows[0]), _spans(rows[1])
+    first, last = same.index(False), len(same) - same[::-1].index(False)
+    return _spans(rows[0][first:last]), _spans(rows[1][first:last])
+
+
 class _Document:
     def __init__(self, doc_id, text):
         self.doc_id, self.text = doc_id, text or ""
-        self.mark = fingerprint(self.text)
-        self.leaves = _leaves(self.mark)
+        self.tree = grow(self.text)
 
 
 def _compared(doc: _Document, following: _Document) -> dict:
     n, half = len(doc.text), len(doc.text) // 2
     edited = doc.text[: n - half] + following.text[:half]
-    mark = fingerprint(edited)
+    changed = grow(edited)
     return {
         "doc_id": doc.doc_id,
         "n_chars": n,
         "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(),
-        "fingerprint": doc.mark,
-        "edited_fingerprint": mark,
-        "near_edited": _likeness(doc.mark, doc.leaves, mark, _leaves(mark)),
-        "near_next": _likeness(doc.mark, doc.leaves, following.mark, following.leaves),
+        "fingerprint": write(doc.tree),
+        "edited_fingerprint": write(changed),
+        "near_edited": _likeness(doc.tree, changed),
+        "near_next": _likeness(doc.tree, following.tree),
     }
 
 
@@ -158,8 +250,8 @@ def _neighbours(batches):
     """Sorted documents -> a result for all but the last, and the first and last texts of the task."""
     part, before, out = TaskContext.get().partitionId(), None, []
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns), strict=True):
+        for k in range(0, batch.num_rows, 200):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True):
                 doc = _Document(doc_id, text)
                 if before is None:
                     out.append({"doc_id": doc_id, "part": part, "first_text": doc.text})
@@ -181,7 +273,7 @@ def _ends(batches):
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: its fingerprint, that of its text with the later half
     taken from the next document's beginning, and the likenesses."""
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, TIE_CHARS))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     done = materialize(ordered.mapInArrow(tidy(_neighbours), f"{_RESULT}, part long, first_text string, last_text string"), "fingerprints")
     # one light row per task; the last task is followed by the first
