@@ -537,7 +537,66 @@ def test_embeddings_forest_grows_with_the_table():
 # --- fingerprints
 
 
-def test_fingerprints(docs, rows, empty):
+def plain_tree(text):
+    """Sections of paragraphs of leaf texts, character by character."""
+    from xxhash import xxh3_64_intdigest as h
+
+    node = lambda parts: h(b"".join(x.to_bytes(8, "big") for x in parts))
+    pieces, now = [], ""
+    for k, c in enumerate(text):
+        after = text[k + 1] if k + 1 < len(text) else ""
+        now += c
+        ended = now.rstrip(".!?") != now
+        if c == "\n" or (ended and after not in (".", "!", "?", "\n") or ended and after == "") or (not ended and len(now) == 256 and after not in (".", "!", "?", "\n")):
+            pieces.append(now)
+            now = ""
+    pieces += [now] if now else []
+    lines, leaf, line = [], [], []
+    for p in pieces:
+        leaf.append(p)
+        if p.endswith("\n") or len(leaf) == 24 or h(p) % 3 == 0:
+            line.append("".join(leaf))
+            leaf = []
+        if p.endswith("\n"):
+            lines.append(line)
+            line = []
+    line += ["".join(leaf)] if leaf else []
+    lines += [line] if line else []
+    sections, section = [], []
+    for line in lines:
+        section.append(line)
+        if node(map(h, line)) % 4 == 0:
+            sections.append(section)
+            section = []
+    return sections + ([section] if section else [])
+
+
+def plain_fingerprint(text):
+    from xxhash import xxh3_64_intdigest as h
+
+    node = lambda parts: h(b"".join(x.to_bytes(8, "big") for x in parts))
+    tree = plain_tree(text)
+    top = b"".join(node(node(map(h, p)) for p in s).to_bytes(8, "big") for s in tree)
+    body = "/".join(";".join(",".join(f"{h(x):016x}{np.base_repr(len(x), 36).lower()}" for x in p) for p in s) for s in tree)
+    return f"{hashlib.blake2b(top, digest_size=16).hexdigest()}:{body}"
+
+
+def plain_likeness(a, b):
+    """Equal sections, then equal paragraphs, then equal leaves are struck out one by one."""
+    if a == b:
+        return 1.0
+    left, right = plain_tree(a), plain_tree(b)
+    for level in range(3):
+        for x in list(left):
+            if x in right:
+                left.remove(x)
+                right.remove(x)
+        if level < 2:
+            left, right = [y for x in left for y in x], [y for x in right for y in x]
+    return min(1 - sum(map(len, left + right)) / (len(a) + len(b)), 0.999999)
+
+
+def test_fingerprints(docs, rows, empty, spark):
     got = merkle.compare_with_next(docs).toPandas()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want = []
@@ -545,18 +604,44 @@ def test_fingerprints(docs, rows, empty):
         a, b = a or "", b or ""
         h = len(a) // 2
         e = a[: len(a) - h] + b[:h]
-        want.append((str(d), len(a), hashlib.sha256(e.encode()).hexdigest(), merkle.fingerprint(a), merkle.fingerprint(e), round(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(e)), 9), round(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)), 9)))
+        want.append((str(d), len(a), hashlib.sha256(e.encode()).hexdigest(), plain_fingerprint(a), plain_fingerprint(e), round(plain_likeness(a, e), 9), round(plain_likeness(a, b), 9)))
     have = [("None" if r.doc_id != r.doc_id else str(int(r.doc_id)), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got.itertuples()]
     assert sorted(have) == sorted(want)
     assert merkle.compare_with_next(empty).count() == 0
 
 
+def test_fingerprints_of_the_given_texts(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    for a, b in zip(texts, texts[1:]):
+        assert merkle.fingerprint(a) == plain_fingerprint(a)
+        assert abs(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) - plain_likeness(a, b)) < 1e-12
+
+
+def test_fingerprints_of_many_rows_of_one_id(spark):
+    rows = [(None if k % 2 else 7, f"Row {k:04d}. Says this.") for k in range(600)]
+    got = merkle.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[1]))
+    want = {a[1]: merkle.likeness(plain_fingerprint(a[1]), plain_fingerprint(b[1])) for a, b in zip(order, order[1:] + order[:1])}
+    assert sorted((r.fingerprint, r.near_next) for r in got.collect()) == sorted((plain_fingerprint(t), x) for t, x in want.items())
+
+
 def test_fingerprint_locates_an_edit():
+    f = merkle.fingerprint
     a = "\n".join(f"Line {k} says this. And that." for k in range(30))
     b = a.replace("Line 17 says this", "Line 17 said it")
-    fa, fb = merkle.fingerprint(a), merkle.fingerprint(b)
-    assert fa != fb and 0.9 < merkle.likeness(fa, fb) < 1 and len(merkle.edits(fa, fb)) == 1 and merkle.edits(fa, fa) == []
-    assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1.0
+    gone, new = merkle.edits(f(a), f(b))
+    assert f(a) != f(b) and 0.9 < merkle.likeness(f(a), f(b)) < 1 and merkle.edits(f(a), f(a)) == ([], [])
+    assert len(gone) == len(new) == 1 and a[slice(*gone[0])].startswith("Line 17 says this") and b[slice(*new[0])].startswith("Line 17 said it")
+    # a blank line more, or lines in another order
+    blank = a.replace("\nLine 9 ", "\n\nLine 9 ")
+    assert merkle.edits(f(a), f(blank))[0] == [] and blank[slice(*merkle.edits(f(a), f(blank))[1][0])] == "\n"
+    gone, new = merkle.edits(f("One.\nTwo.\nThree.\n"), f("One.\nThree.\nTwo.\n"))
+    assert (gone, new) == ([(5, 17)], [(5, 17)]) and 0.99 < merkle.likeness(f("b\na\n"), f("a\nb\n")) < 1
+    assert merkle.likeness(f(""), f("")) == 1.0 and merkle.likeness(f(""), f("a")) == 0.0
+    assert abs(merkle.likeness(f("\n\n\n"), f("\n\n")) - 0.8) < 1e-12
+    with pytest.raises(ValueError):
+        merkle.read(f(a)[:33] + ("0" if f(a)[33] != "0" else "1") + f(a)[34:])
+    assert [len(x) for x in map(merkle.grow, ("ha. " * 200_000, "x" * 10**6, "!" * 10**6, "\n" * 10**5))]
 
 
 # --- languages
