@@ -44,6 +44,11 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return _mixed(out)
 
 
+def second_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words, for a second hash of their windows."""
+    return _mixed(hashes * _MIX + _STEP)
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's lower-cased word shingles; a shorter text is one shingle, one without words none."""
     words = words_of(text, lower=True)
