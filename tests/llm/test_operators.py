@@ -264,9 +264,50 @@ def test_substrings_within_one_document(spark):
     assert sorted(got) == sorted(brute_substrings(rows))
 
 
-def test_factors_follow_one_place():
-    found = substrings.parse(np.array([3, 4, 5, 9, 10]), [1, 1, 1, 1, 2], np.array([7, 8, 9, 0, 0]), 20)
-    assert found == [(3, 25, 1, 7), (9, 29, 1, 0), (10, 30, 2, 0)]
+def test_parse_is_greedy_and_looks_over_factor_ends():
+    w = [b"w%d" % k for k in range(60)]
+    text = lambda some: b" ".join(some).decode()
+    # two places, which overlap in what the document says: 0-39 from document 1, 25-59 from document 2
+    reference = substrings.Reference([(1, 100, text(w[:40])), (2, 7, text(w[25:]))], 20)
+    assert substrings.parse(w, 9, reference) == [(0, 40, 1, 100), (25, 60, 2, 7)]
+    assert substrings.parse(w[:24] + [b"x"] + w[25:], 9, reference) == [(0, 24, 1, 100), (25, 60, 2, 7)]
+    # only earlier places count: document 2 may refer to document 1, and to itself at an earlier start
+    assert substrings.parse(w, 2, reference) == [(0, 40, 1, 100), (25, 60, 2, 7)] and substrings.parse(w, 1, reference) == []
+    assert substrings.parse(w[25:45], 2, reference) == []
+    # words decide, not hashes
+    reference.words[0][30] = b"other"
+    assert substrings.parse(w[:40], 9, reference) == [(0, 30, 1, 100)]
+    reference.words[0][5] = b"other"
+    assert substrings.parse(w[:20], 9, reference) == []
+
+
+def test_substrings_come_from_the_parse(docs, rows, monkeypatch):
+    """In small blocks, with nothing but excerpts of 20 words as window index; without the parse nothing is found."""
+    got = [tuple(r) for r in substrings.dedup_substrings(docs, block_bytes=2000).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[3])
+    assert sorted(got, key=key) == sorted(brute_substrings(rows), key=key)
+    table = substrings.factor_documents(docs)[2].where("n_removed > 0").collect()
+    assert table and all(f.end - f.start >= 20 for r in table for f in r.factors)
+    monkeypatch.setattr(substrings, "parse", lambda *_: [])
+    assert substrings.factor_documents(docs)[2].where("n_removed > 0").count() == 0
+
+
+def test_substrings_of_repeated_rows_and_hot_passages(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "REQUESTS", 3)
+    rng = random.Random(4)
+    passage = words(rng, 50, 10**6)
+    rows = [(k, f"{words(rng, 15, 10**6)} {passage} {words(rng, 15, 10**6)}") for k in range(60)]
+    rows += [rows[0]] * 5 + [rows[30]] * 5 + [(None, words(rng, 30, 10**6) + " " + passage)] * 3 + [(7, words(rng, 10) + " " + passage), (70, "short"), (71, None)]
+    got = [tuple(r) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=1000).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[3])
+    assert sorted(got, key=key) == sorted(brute_substrings(rows), key=key)
+
+
+def test_substrings_of_the_given_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = [tuple(r) for r in substrings.dedup_substrings(docs, block_bytes=100_000).collect()]
+    assert sorted(got) == sorted(brute_substrings(rows)) and any(r[2] for r in got)
 
 
 # --- mixing
