@@ -11,17 +11,21 @@ goes from cheap to dear, and every filter is a bound, so no link is lost:
    that holds a shingle several times sends it once.
 3. Equal sets are joined, and similar ones are put into groups: same lowest
    shared shingle, cut into blocks of a bounded number of sets.
-4. Inside a block all sets are compared by one matrix product.
+4. Inside a block all sets are compared by one matrix product. The first of
+   every large cluster of a block speaks for it: these few are linked among
+   themselves first, in the same way. So the blocks of one family of near
+   copies become one component before any two of them are compared.
 5. *Token-group matrix.* Each block's union of shingles is stored. The query
    sets of a block are sent by their rarest shingles, once for all of them, to
    the blocks whose union holds one; the overlap of query and union bounds the
    overlap with every member, and only for queries that reach the threshold
-   the block is opened.
+   the block is opened. Blocks that lie in one component have nothing to tell
+   each other: only shingles that several components hold are sent.
 6. Links become connected components.
 
 Within a block (and between a query and a block) one link for each cluster of
-members is enough for the components, so links do not grow with the square of
-a group of copies.
+members is enough for the components, so neither links nor pairs of blocks
+grow with the square of a group of copies.
 
 Defined results: null text, or one without words, has an empty set and links
 with nothing; rows that share a doc_id are one node of the graph and get a row
@@ -44,8 +48,8 @@ from ._words import first_of_equal, shingle_set
 SHINGLE = 5
 #: The threshold as a percentage.
 PERCENT = 80
-#: Sets in a block, about.
-BLOCK = 128
+#: Sets in a block, about, and the least members of a cluster whose first one speaks for it.
+BLOCK, FAMILY = 128, 8
 
 
 def overlap_needed(n, percent: int = PERCENT):
@@ -172,13 +176,14 @@ def _block_links(percent: int):
 
 
 def _unions(batches):
-    """Blocks -> (token, block): each block's union of shingles."""
+    """Blocks -> (token, block, comp): each block's union of shingles."""
     for batch in batches:
         for k in range(batch.num_rows):
-            members, block = batch.column("members")[k].as_py(), batch.column("block")[k].as_py()
+            members, block, comp = (batch.column(c)[k].as_py() for c in ("members", "block", "comp"))
             union = np.unique(np.concatenate(_sets(m["tokens"] for m in members))).view(np.int64)
             for j in range(0, len(union), 200_000):
-                yield pa.RecordBatch.from_arrays([union[j : j + 200_000], np.full(len(union[j : j + 200_000]), block)], names=["token", "block"])
+                n = len(union[j : j + 200_000])
+                yield pa.RecordBatch.from_arrays([union[j : j + 200_000], np.full(n, block), np.full(n, comp)], names=["token", "block", "comp"])
 
 
 def _probes(percent: int):
@@ -296,31 +301,54 @@ def links(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: in
     # fewest shared shingles in the prefix: a partner may be as small as ceil(n * percent / 100), and its l is a tenth of that
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
     ask = table.where((F.col("doc_id") == F.col("rep")) & (F.col("hits") >= need)).select("doc_id", "key", "grp")
-    per = ask.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    ask = materialize(ask.join(per, "grp").select("doc_id", "key", "grp", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("salt")), "asked")
+    ask = materialize(_salted(ask, block), "asked")
     n_ask = ask.count()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ask, n_ask), "doc_id")
     sets = texts.select("doc_id", "text", "key", "grp", "salt").mapInArrow(tidy(_token_sets(shingle)), "doc_id long, grp long, salt int, n long, tokens binary")
+    return equal.unionByName(_link_sets(sets, percent, block))
+
+
+def _salted(rows: DataFrame, block: int) -> DataFrame:
+    """Adds ``salt``: groups of more than ``block`` sets are cut by hash."""
+    per = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    return rows.join(per, "grp").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
+
+
+def _link_sets(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(doc_id, grp, salt, n, tokens) -> (a, b): links whose connected components are those of all links between the sets."""
     member = F.struct("doc_id", "n", "tokens")
     blocks = sets.groupBy("grp", "salt").agg(F.collect_list(member).cast(_MEMBERS).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    blocks = materialize(blocks.withColumn("block", F.xxhash64("grp", "salt")).select("block", "least", "most", "members"), "blocks")
-    inner = materialize(blocks.select("members").mapInArrow(tidy(_block_links(percent)), "a long, b long"), "inner-links")
-    unions = blocks.select("block", "members").mapInArrow(tidy(_unions), "token long, block long")
-    # in how many blocks a token is: counted first by partial sums, then given back to its blocks
-    matrix = unions.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("blocks > 1")
+    blocks = materialize(blocks.withColumn("block", F.xxhash64("grp", "salt")).select("block", "grp", "least", "most", "members"), "blocks")
+    found = materialize(blocks.select("members").mapInArrow(tidy(_block_links(percent)), "a long, b long"), "inner-links")
+    # the first ones of large clusters are linked first; each time there are at most one in FAMILY left
+    first = materialize(found.groupBy("b").count().where(F.col("count") >= FAMILY - 1).select(F.col("b").alias("doc_id")), "first-ones")
+    n_first = first.count()
+    if n_first > block:
+        inside = blocks.select("grp", F.explode("members").alias("m")).select("grp", "m.*").join(small_side(first, n_first), "doc_id", "left_semi")
+        salts = _salted(inside.select("doc_id", "grp"), block).select("doc_id", "salt")
+        found = found.unionByName(_link_sets(inside.join(small_side(salts, n_first), "doc_id"), percent, block))
+    # a block whose members are all in one component bears its name, any other a name of its own
+    each = blocks.select("block", F.explode("members.doc_id").alias("doc_id")).join(components(found), F.col("doc_id") == F.col("node"), "left")
+    of = each.groupBy("block").agg(F.min(F.coalesce("component", "doc_id")).alias("low"), F.max(F.coalesce("component", "doc_id")).alias("high"))
+    named = F.when(F.col("low") == F.col("high"), F.xxhash64(F.lit("component"), "low")).otherwise(F.xxhash64(F.lit("block"), "block"))
+    comps = small_side(materialize(of.select("block", named.alias("comp")), "block-components"))
+    unions = blocks.join(comps, "block").select("block", "comp", "members").mapInArrow(tidy(_unions), "token long, block long, comp long")
+    # in how many blocks a token is, and whether of several components: counted first by partial sums, then given back to its blocks
+    same = Window.partitionBy("token")
+    matrix = unions.withColumns({"blocks": F.count(F.lit(1)).over(same), "low": F.min("comp").over(same), "high": F.max("comp").over(same)}).where("low <> high")
     shared = matrix.groupBy("block").agg(F.collect_list(F.struct("token", "blocks")).alias("shared"))
     shared = materialize(shared, "matrix")
     probes = blocks.join(shared, "block").select("block", "members", "shared").mapInArrow(tidy(_probes(percent)), "token long, block long")
-    probes = materialize(probes, "probes")
-    index = shared.select(F.col("block").alias("to"), F.explode("shared").alias("s")).select("to", "s.token")
-    held = probes.join(index, "token").where("to < block").groupBy("block", "to").agg(F.collect_list("token").alias("held"))
+    probes = materialize(probes, "probes").join(comps, "block")
+    index = shared.select(F.col("block").alias("to"), F.explode("shared").alias("s")).select("to", "s.token").join(comps.withColumnsRenamed({"block": "to", "comp": "to_comp"}), "to")
+    held = probes.join(index, "token").where("to < block and comp <> to_comp").groupBy("block", "to").agg(F.collect_list("token").alias("held"))
     sizes = blocks.select(F.col("block").alias("to"), F.col("least").alias("to_least"), F.col("most").alias("to_most"))
     held = held.join(sizes, "to").join(blocks.select("block", "members"), "block").select("to", "to_least", "to_most", "held", "members")
     # only the queries in question travel to the block that is opened
     asked = held.mapInArrow(tidy(_choose(percent)), f"to long, queries {_MEMBERS}")
     opened = asked.join(blocks.select(F.col("block").alias("to"), "members"), "to").select("queries", "members")
     outer = materialize(opened.mapInArrow(tidy(_open(percent)), "a long, b long"), "outer-links")
-    return equal.unionByName(inner).unionByName(outer)
+    return found.unionByName(outer)
 
 
 def join_similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
