@@ -175,6 +175,23 @@ def test_jaccard_family_over_many_blocks(spark):
     assert all(label.get(first[t], first[t]) == want[d] for d, t in rows)
 
 
+def test_jaccard_opens_no_blocks_of_one_family(spark, monkeypatch):
+    """A family of copies with one changed word each: its blocks become one component before any two are compared."""
+    base = [f"t{k}" for k in range(100)]
+    rows = [(k, " ".join([*base[: 5 + k % 60], f"x{k}", *base[6 + k % 60 :]])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    light, table = jaccard.set_table(df)
+    made = {}
+    real = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda d, label: made.setdefault(label, []).append(real(d, label)) or made[label][-1])
+    found = jaccard.links(df, table, block=16)
+    from meterwright.llm._graph import components
+
+    label = dict((r.node, r.component) for r in components(found).collect())
+    assert len(label) == 1499 and set(label.values()) == {0}
+    assert len(made["blocks"]) > 1 and made["blocks"][0].count() > 90 and made["probes"][-1].count() == 0
+
+
 def test_jaccard_keeps_one_of_each(docs, rows, empty):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
