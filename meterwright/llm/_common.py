@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: What counts as white space between words: space and the ASCII controls tab to carriage return.
 WORD_SPACE = "\\x20\\x09-\\x0D"
+#: Most keys that are held to be common, and the share of all rows above which a key is one of them.
+MOST_COMMON = 10_000
 #: Rows up to which a side of a join may be broadcast after it has been counted; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -68,6 +70,21 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+def common_keys(counts: DataFrame, n: str, total: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Keys with their numbers of rows -> (common ones, others): a common one has more than ``total / most`` of all
+    ``total`` rows, so there are fewer than ``most``, and no other one is a large group of a shuffle."""
+    common = F.col(n) * (most or MOST_COMMON) > total
+    return counts.where(common), counts.where(~common)
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined by ``key`` with ``side``, which has one row a key and in ``n`` its number of rows: common keys are
+    sent to all tasks, so that their rows do not meet in one."""
+    common, others = common_keys(side, n, total)
+    common = F.broadcast(common)
+    return rows.join(common, key).unionByName(rows.join(common, key, "left_anti").join(others, key))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """A column name like ``name`` that none of ``columns`` has, whatever the case."""
     taken = {c.lower() for c in columns}

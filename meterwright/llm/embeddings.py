@@ -7,8 +7,9 @@
    threshold together with a chance of 1 - ``MISS``, so it grows with the table.
 2. NN-descent: around every vector its neighbours, and those that hold it as a
    neighbour, are compared with each other; what beats the end of a list
-   enters it. A list that is full of links is enlarged. The rounds go on until
-   less than ``DELTA`` of the lists' places change.
+   enters it. A list that is full of links is enlarged. A round goes only to
+   vectors around which something is new, as the others have been compared, and
+   the rounds go on until less than ``DELTA`` of the lists' places change.
 3. Lists are bounded, so a group can fill its members' lists. Every block that
    is compared therefore also gives ties: edges that hold the classes of all
    its links together, at most one per member, whether or not the links find
@@ -275,13 +276,6 @@ def _flat(lists: DataFrame) -> DataFrame:
     return lists.select(F.col("node").alias("u"), F.explode("list").alias("e")).select("u", "e.v", "e.sim", F.lit(False).alias("tie"))
 
 
-def _changed(was: DataFrame, now: DataFrame) -> int:
-    """Places of the lists that a round has filled with another neighbour."""
-    both = now.select("node", F.transform("list", lambda e: e["v"]).alias("now")).join(was.select("node", F.transform("list", lambda e: e["v"]).alias("was")), "node", "left")
-    new = F.size(F.array_except("now", F.coalesce("was", F.array().cast("array<long>"))))
-    return both.agg(F.sum(new)).first()[0] or 0
-
-
 def _tied(lists: DataFrame) -> DataFrame:
     return lists.select(F.col("node").alias("a"), F.explode("ties").alias("b"))
 
@@ -313,11 +307,14 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
         edges = new if edges is None else edges.unionByName(new)
         lists = materialize(_lists(edges, near, keep), "lists")
         ties = _tied(lists) if ties is None else ties.unionByName(_tied(lists))
-        changed = n * keep
+        fresh, changed = None, n * keep
         while changed > DELTA * n * keep:
             flat = _flat(lists)
             around = flat.select(F.col("u").alias("pivot"), F.col("v").alias("node"))
             around = around.unionByName(flat.select(F.col("v").alias("pivot"), F.col("u").alias("node"))).distinct()
+            if fresh is not None:
+                ends = fresh.select(F.col("u").alias("pivot")).unionByName(fresh.select(F.col("v").alias("pivot"))).distinct()
+                around = around.join(ends, "pivot", "left_semi")
             single = units.select("node", "dim", "unit").mapInArrow(_codes(1, 0, 0), "node long, tree long, code long, unit binary").select("node", "unit")
             compared = _blocks(_salted(around.join(single, "node"), ["pivot"], 2 * BLOCK), ["pivot"]).select("members")
             found = compared.mapInArrow(_best(near, keep), "u long, v long, sim float, tie boolean")
@@ -326,7 +323,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
             found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
             found = found.join(last, "u").where((F.col("sim") > F.col("last")) | (F.col("sim") >= near) | F.col("tie")).select("u", "v", "sim", "tie")
             was, lists = lists, materialize(_lists(flat.unionByName(found), near, keep), "lists")
-            changed = _changed(was, lists)
+            fresh = materialize(_flat(lists).select("u", "v").join(_flat(was).select("u", "v"), ["u", "v"], "left_anti"), "fresh")
+            changed = fresh.count()
             ties = ties.unionByName(_tied(lists))
         edges = _flat(lists)
         links = edges.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ties)

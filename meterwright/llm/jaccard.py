@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_side, tidy
+from ._common import common_keys, join_counted, materialize, small_side, tidy
 from ._graph import components
 from ._words import first_of_equal, shingle_set
 
@@ -271,11 +271,12 @@ _MEMBERS = "array<struct<doc_id:bigint,n:bigint,tokens:binary>>"
 _ARROW_MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))
 
 
-def set_table(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(every row's doc_id and text digest, every distinct text: doc_id, h, n, key, key2, hits, grp)."""
+def set_table(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every row's doc_id and text digest; every distinct text: doc_id, h, n, key, key2, hits, grp; rows of each text digest that has several)."""
     light = materialize(docs.select(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")), "texts")
     first = light.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    copies = light.join(first.where("rows > 1").select("h", "first"), "h").where("doc_id > first").select("doc_id", "h").distinct()
+    first = materialize(first.where("rows > 1"), "first-texts")
+    copies = join_counted(light, first, "h", "rows", light.count()).where("doc_id > first").select("doc_id", "h").distinct()
     copies = materialize(copies, "copies")
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).where("doc_id is not null")
     texts = texts.join(small_side(copies), ["doc_id", "h"], "left_anti")
@@ -289,7 +290,7 @@ def set_table(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
         F.count_if(F.col("h").isNull()).alias("hits"),
         F.min(F.when(F.col("h").isNull(), F.col("token"))).alias("grp"),
     )
-    return light, materialize(table, "sets")
+    return light, materialize(table, "sets"), first.select("h", "rows")
 
 
 def links(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -353,17 +354,29 @@ def _link_sets(sets: DataFrame, percent: int, block: int) -> DataFrame:
 
 def join_similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    light, table = set_table(docs, shingle, percent)
+    light, table, counts = set_table(docs, shingle, percent)
     found = links(docs, table, shingle, percent)
     # rows of one text point at its first document
     per_text = table.where("n > 0").withColumn("h", F.explode("h")).groupBy("h").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    rows = light.join(per_text, "h", "left").select("doc_id", "first", F.coalesce("n", F.lit(0)).alias("n_shingles"))
+    per_text = per_text.join(counts, "h", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
+    per_text = materialize(per_text, "text-sets")
+    total = light.count()
     # one document with several texts ties their classes together
-    tied = rows.where("doc_id <> first").join(table.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    several = light.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id")
+    tied = join_counted(light.join(small_side(materialize(several, "several-texts")), "doc_id", "left_semi"), per_text, "h", "rows", total)
+    tied = tied.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     groups = components(found.unionByName(tied))
-    rows = rows.join(groups, F.coalesce("first", "doc_id") == F.col("node"), "left")
-    lowest = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", lowest.otherwise(F.coalesce("component", "first")).alias("component_id"))
+    per_text = materialize(per_text.join(groups, F.col("first") == F.col("node"), "left").select("h", "first", "n", "rows", "component"), "text-components")
+    rows = join_counted(light, per_text, "h", "rows", total)
+    known = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first")).alias("component_id"))
+    # the others have no words
+    return known.unionByName(_without(light, per_text, total).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _without(light: DataFrame, per_text: DataFrame, total: int) -> DataFrame:
+    """Rows whose text has no set."""
+    common, others = common_keys(per_text.select("h", "rows"), "rows", total)
+    return light.join(F.broadcast(common), "h", "left_anti").join(others, "h", "left_anti")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -44,7 +44,7 @@ FAMILY_OF = {language: family for family, languages in FAMILIES.items() for lang
 FEATURES = 4096
 UNKNOWN = "und"
 #: Leading bits of a document's hash that name its cell in the histogram of a language.
-CELL_BITS = 16
+CELL_BITS = 12
 #: Slope by which a margin becomes a score.
 SLOPE = 3.0
 #: Margin weight, epochs and seed of the training.

@@ -12,9 +12,9 @@ several owners hold in several repositories is a widely copied example; any
 other looks like a live credential of its owner. Equal (hash, owner,
 repository) rows are summed up first, so a value that a third of all documents
 hold is spread over its documents until only counts are left. The verdict goes
-back to the documents by hash: values that make up more than one in
-``MOST_COMMON`` of all spans, which cannot be more than ``MOST_COMMON`` values,
-are sent to all tasks, so what is joined by shuffle has no large group. Texts
+back to the documents by hash: the few values that make up more than a fixed
+share of all spans are sent to all tasks, so what is joined by shuffle has no
+large group. Texts
 are read once and never shuffled: what goes on is one row per document with
 its spans, written to the shared folder.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hex_digest, materialize
+from ._common import hex_digest, join_counted, materialize
 
 #: The patterns by kind, in listed order. In `assign` the whole
 #: statement is the match and group 2 the value; short values are dropped afterwards,
@@ -53,8 +53,6 @@ MIN_VALUE = 12
 SHARED_OWNERS, SHARED_REPOSITORIES = 2, 3
 #: Matches of one text whose places are summed in one go.
 CHUNK = 256
-#: Most values whose verdict is sent to all tasks, and the share of all spans above which a value is one of them.
-MOST_COMMON = 10_000
 
 _SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,value:string>"
 
@@ -117,13 +115,8 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     found = materialize(scan(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
     status = materialize(ownership(found).select("value_hash", "n_spans", "status"), "secret-status")
     total = status.agg(F.sum("n_spans")).first()[0] or 0
-    # they hold more than total / MOST_COMMON spans each, so there are fewer than MOST_COMMON of them
-    common = F.col("n_spans") * MOST_COMMON > total
-    light = ["value_hash", "status"]
     each = found.select("row", F.explode("spans").alias("s")).select("row", F.sha2("s.value", 256).alias("value_hash"))
-    told = each.join(F.broadcast(status.where(common).select(*light)), "value_hash", "left")
-    asked = told.where("status is null").drop("status").join(status.where(~common).select(*light), "value_hash")
-    judged = told.where("status is not null").unionByName(asked).groupBy("row")
+    judged = join_counted(each, status, "value_hash", "n_spans", total).groupBy("row")
     judged = judged.agg(F.count_if(F.col("status") == "live").alias("n_live"), F.count_if(F.col("status") == "example").alias("n_example"))
     return found.join(judged, "row", "left").select("doc_id", "spans", F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
