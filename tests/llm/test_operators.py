@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from meterwright.llm import chat, embeddings, jaccard, languages, merkle, mixing, packing, private, secrets, substrings
+from meterwright.llm import _common, chat, embeddings, jaccard, languages, merkle, mixing, packing, private, secrets, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, score double, salt int"
 
@@ -163,7 +163,7 @@ def test_jaccard_family_over_many_blocks(spark):
             w[rng.randrange(60)] = f"x{rng.randrange(50)}"
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    light, table = jaccard.set_table(df)
+    _, table, _ = jaccard.set_table(df)
     found = jaccard.links(df, table, block=8)
     from meterwright.llm._graph import components
 
@@ -180,7 +180,7 @@ def test_jaccard_opens_no_blocks_of_one_family(spark, monkeypatch):
     base = [f"t{k}" for k in range(100)]
     rows = [(k, " ".join([*base[: 5 + k % 60], f"x{k}", *base[6 + k % 60 :]])) for k in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    light, table = jaccard.set_table(df)
+    _, table, _ = jaccard.set_table(df)
     made = {}
     real = jaccard.materialize
     monkeypatch.setattr(jaccard, "materialize", lambda d, label: made.setdefault(label, []).append(real(d, label)) or made[label][-1])
@@ -845,7 +845,7 @@ def test_secrets_in_a_text_with_very_many_matches(spark):
 
 
 def test_secrets_all_values_rare_or_common(spark, monkeypatch):
-    monkeypatch.setattr(secrets, "MOST_COMMON", 4)
+    monkeypatch.setattr(_common, "MOST_COMMON", 4)
     texts = ["token = aaaaaaaaaaaa"] * 30 + [f"token = rarevalue{k:05d}" for k in range(40)]
     df = spark.createDataFrame([(k, t, f"s{k % 3}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
     done = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(df).collect()}
