@@ -52,7 +52,7 @@ def filled(rows: DataFrame, column: str, keys: list[str] = ("sid",), order: str
     return rows.withColumn(column, F.last(column, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def sparse(rows: DataFrame, column: str, keys: list[str] = ("sid",), order: str = "line") -> DataFrame:
+def sparse(rows: DataFrame, column: str, keys: list[str] = ("sid",), order: str | list[str] = "line") -> DataFrame:
     """A value is written only where it changes."""
     before = F.lag(column).over(Window.partitionBy(*keys).orderBy(order))
     return rows.withColumn("_before", before).withColumn(column, F.when(~F.col(column).eqNullSafe(F.col("_before")), F.col(column))).drop("_before")

@@ -93,6 +93,36 @@ def report_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def on_day():
+    return F.date_format(F.timestamp_seconds("ts_s"), "yyyy-MM-dd").alias("day")
+
+
+def daily_cost(rated: DataFrame) -> DataFrame:
+    """The day's cost by component, of calls with their rates (r_<component>)."""
+    part = lambda *cs: F.sum(sum((F.col(c) * F.col(f"r_{c}") for c in cs), F.lit(0)))
+    return rated.groupBy(on_day()).agg(
+        F.sum("cost_e8").alias("cost_e8"), part("input").alias("input_e8"), part("cc5m", "cc1h").alias("write_e8"), part("cr").alias("read_e8"), part("out").alias("output_e8")
+    )
+
+
+def daily_tokens(rows: DataFrame) -> DataFrame:
+    """The day's tokens and calls."""
+    return rows.groupBy(on_day()).agg(F.sum(all_tokens()).alias("tokens"), F.count(F.lit(1)).alias("calls"))
+
+
+def union_ledger(calls: DataFrame, **events: DataFrame) -> DataFrame:
+    """Calls and events (by kind) as one stream of rows; events carry no cost and no tokens."""
+    out = calls.select("sid", "ts_s", "line", F.lit("call").alias("kind"), "cost_e8", "input")
+    for kind, rows in events.items():
+        out = out.unionByName(rows.select("sid", "ts_s", "line", F.lit(kind).alias("kind")), allowMissingColumns=True)
+    return out.fillna(0, ["cost_e8", "input"])
+
+
+def vanished(before: DataFrame, known: DataFrame) -> DataFrame:
+    """Sessions of one listing that are not in the other."""
+    return before.select("sid").distinct().join(known.select("sid"), "sid", "left_anti")
+
+
 def primary_model(rows: DataFrame) -> DataFrame:
     """The model with most calls of a session; the one seen first wins a tie."""
     per = rows.groupBy("sid", "model").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))

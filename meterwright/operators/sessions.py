@@ -29,6 +29,11 @@ def session_order(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(rank, F.desc("cost_e8"), "sid")))
 
 
+def scope_project(rows: DataFrame, name: str, column: str = "project") -> DataFrame:
+    """The rows of one project."""
+    return rows.where(F.col(column) == name)
+
+
 def host_overlap(first: DataFrame, second: DataFrame) -> DataFrame:
     """U4: sessions that both hosts claim; empty if all is well."""
     return first.select("sid").intersect(second.select("sid"))

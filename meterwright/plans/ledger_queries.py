@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import predicates
 from ..operators import accounts, ledger, pricing, windows
 from . import adapter
 from .adapter import accounted, priced_usage, settled, sql, usage
@@ -120,11 +121,11 @@ QUERIES = {
         sql("SELECT sid, model FROM (SELECT sid, model, count(*) AS n, min(line) AS f FROM settled GROUP BY sid, model) QUALIFY row_number() OVER (PARTITION BY sid ORDER BY n DESC, f) = 1"),
     ),
     "a15_daily_cost": (
-        lambda s, d: _daily_cost(s, d),
+        lambda s, d: ledger.daily_cost(_rates(s, d)),
         sql("SELECT strftime(to_timestamp(ts_s), '%Y-%m-%d') AS day, sum(cost_e8)::BIGINT AS cost_e8, sum(input * r_input)::BIGINT AS input_e8, sum(cc5m * r_cc5m + cc1h * r_cc1h)::BIGINT AS write_e8, sum(cr * r_cr)::BIGINT AS read_e8, sum(out * r_out)::BIGINT AS output_e8 FROM settled JOIN prices USING (model) GROUP BY 1"),
     ),
     "a16_daily_tokens": (
-        lambda s, d: settled(s, d).groupBy(_day()).agg(F.sum(ledger.all_tokens()).alias("tokens"), F.count(F.lit(1)).alias("calls")),
+        lambda s, d: ledger.daily_tokens(settled(s, d)),
         sql(f"SELECT strftime(to_timestamp(ts_s), '%Y-%m-%d') AS day, sum({ALL})::BIGINT AS tokens, count(*)::BIGINT AS calls FROM settled GROUP BY 1"),
     ),
     "w17_account_changes": (
@@ -226,40 +227,21 @@ QUERIES = {
         sql("SELECT lane, resets_at, ts_s, line, used_percent FROM samples QUALIFY coalesce(used_percent > max(used_percent) OVER (PARTITION BY lane, resets_at ORDER BY ts_s, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)", *JIT),
     ),
     "u1_union_ledger": (
-        lambda s, d: _union_ledger(s, d),
+        lambda s, d: ledger.union_ledger(settled(s, d), account=adapter.account_changes(s, d)),
         sql("SELECT sid, ts_s, line, 'call' AS kind, cost_e8, input FROM settled UNION ALL SELECT sid, ts_s, line, 'account', 0, 0 FROM changes"),
     ),
     "u5_vanished": (
-        lambda s, d: _vanished(s, d),
+        lambda s, d: ledger.vanished(ledger.drop_parent_replays(usage(s, d)), settled(s, d)),
         sql("SELECT DISTINCT sid FROM no_replay WHERE sid NOT IN (SELECT sid FROM settled)"),
     ),
     "p12_visible": (
-        lambda s, d: settled(s, d).where("cost_e8 > 0").groupBy("host").agg(F.count(F.lit(1)).alias("n")),
-        sql("SELECT host, count(*)::BIGINT AS n FROM settled WHERE cost_e8 > 0 GROUP BY host"),
+        lambda s, d: _two_hosts(s, d).where(predicates.visible(F.col("host"), F.col("shown_e8"), F.expr(ALL))).select("host", "sid", "line"),
+        sql(f"SELECT CASE WHEN k % 2 = 0 THEN 'codex' ELSE host END AS host, sid, line FROM settled WHERE CASE WHEN k % 2 = 0 THEN {ALL} > 0 ELSE CASE WHEN k % 3 = 0 THEN 0 ELSE cost_e8 END > 0 END"),
     ),
 }
 
 
-def _day():
-    return F.date_format(F.timestamp_seconds("ts_s"), "yyyy-MM-dd").alias("day")
-
-
-def _daily_cost(spark, d):
-    """The day's cost by component."""
-    part = lambda *cs: F.sum(sum((F.col(c) * F.col(f"r_{c}") for c in cs), F.lit(0)))
-    return _rates(spark, d).groupBy(_day()).agg(
-        F.sum("cost_e8").alias("cost_e8"), part("input").alias("input_e8"), part("cc5m", "cc1h").alias("write_e8"), part("cr").alias("read_e8"), part("out").alias("output_e8")
-    )
-
-
-def _union_ledger(spark, d):
-    """Calls and events as one stream of rows; events carry no tokens."""
-    calls = settled(spark, d).select("sid", "ts_s", "line", F.lit("call").alias("kind"), "cost_e8", "input")
-    marks = adapter.account_changes(spark, d).select("sid", "ts_s", "line", F.lit("account").alias("kind"))
-    return calls.unionByName(marks, allowMissingColumns=True).fillna(0, ["cost_e8", "input"])
-
-
-def _vanished(spark, d):
-    """Sessions that are in one listing and not in the other."""
-    known = settled(spark, d).select("sid")
-    return ledger.drop_parent_replays(usage(spark, d)).select("sid").distinct().join(known, "sid", "left_anti")
+def _two_hosts(spark, d):
+    """Calls of two hosts, of which some cost nothing."""
+    rows = settled(spark, d)
+    return rows.withColumns({"host": F.when(F.col("k") % 2 == 0, "codex").otherwise(F.col("host")), "shown_e8": F.when(F.col("k") % 3 == 0, 0).otherwise(F.col("cost_e8"))})

@@ -33,7 +33,7 @@ def _tagged_samples(spark, d):
 
 def _messages(spark, d):
     rows = accounted(spark, d)
-    return rows.where("line % 3 = 0").select("account", "ts_s", "line", F.col("req").alias("text"))
+    return rows.select("account", "ts_s", "line", F.col("req").alias("text"))
 
 
 QUERIES = {
@@ -50,11 +50,11 @@ QUERIES = {
         wsql("SELECT account, win, sid, row_number() OVER (PARTITION BY account, win ORDER BY sid LIKE 'agent%', c DESC, sid)::INT AS place FROM (SELECT account, win, sid, sum(cost_e8) AS c FROM windowed GROUP BY ALL)"),
     ),
     "u4_host_overlap": (
-        lambda s, d: sessions.host_overlap(settled(s, d), settled(s, d).where("line % 2 = 0").withColumn("sid", F.concat(F.lit("x"), "sid"))),
-        sql("SELECT sid FROM settled INTERSECT SELECT 'x' || sid FROM settled WHERE line % 2 = 0"),
+        lambda s, d: sessions.host_overlap(settled(s, d), settled(s, d).withColumn("sid", F.when(F.col("model").contains("opus"), F.col("sid")).otherwise(F.concat(F.lit("x"), "sid")))),
+        sql("SELECT sid FROM settled INTERSECT SELECT CASE WHEN model LIKE '%opus%' THEN sid ELSE 'x' || sid END FROM settled"),
     ),
     "p2_scope_project": (
-        lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(F.col("source") == "src1").select("doc_id"),
+        lambda s, d: sessions.scope_project(s.read.parquet(f"{d}/documents.parquet"), "src1", "source").select("doc_id"),
         "SELECT doc_id FROM documents WHERE source = 'src1'",
     ),
     "p14_drop_sidechain": (
@@ -79,7 +79,7 @@ QUERIES = {
     ),
     "j15_window_messages": (
         lambda s, d: sessions.window_messages(_messages(s, d), _split(s, d), ["account"]),
-        sql("SELECT account, win, arg_min(req, (ts_s, line)) AS first_text, arg_max(req, (ts_s, line)) AS last_text, count(*)::BIGINT AS messages FROM held WHERE win IS NOT NULL AND line % 3 = 0 GROUP BY account, win", SPLIT, HELD),
+        sql("SELECT account, win, arg_min(req, (ts_s, line)) AS first_text, arg_max(req, (ts_s, line)) AS last_text, count(*)::BIGINT AS messages FROM held WHERE win IS NOT NULL GROUP BY account, win", SPLIT, HELD),
     ),
     "j17_blocked_samples": (
         lambda s, d: sessions.blocked_samples(accounted(s, d).withColumn("used_percent", F.col("k") + 1), _split(s, d), ["account"]),

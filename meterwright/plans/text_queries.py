@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import counters
+from ..sources import transcripts
 from . import adapter
 from .adapter import sql
 
@@ -69,6 +70,10 @@ COUNTERS = [
 SAMPLES = "samples AS (SELECT 's' || user_id AS sid, event_id AS line, ts_s, CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS lane, 'main' AS limit_id, (k + 1)::DOUBLE AS used_percent, 300 AS window_minutes, (ts_s // 18000 + 1) * 18000 + event_id % 7 AS resets_at FROM ev WHERE event_type = 'view')"
 
 
+def _limit_log(spark, d):
+    return adapter.limit_samples(spark, d).select("sid", "line", "ts_s", F.col("used_percent").alias("pct_5h"), F.col("resets_at").alias("reset_5h"))
+
+
 def _deltas(spark, d):
     return counters.counter_delta(_counters(spark, d), ["input", "output"])
 
@@ -99,7 +104,12 @@ QUERIES = {
         _on_docs(lambda: dict(a=S.est_tokens_a(F.col("text")), b=S.est_tokens_b(F.col("text")))),
         f"SELECT doc_id, ceil(n / 4.0::DOUBLE + (length(text) - n) / 1.5::DOUBLE)::BIGINT AS a, ceil(n / 2.1::DOUBLE + (length(text) - n) * 1.35::DOUBLE)::BIGINT AS b FROM (SELECT *, {ASCII} AS n FROM documents)",
     ),
-    "f10_script_scale": (lambda s, d: _docs(s, d).select("doc_id", S.script_scale(F.col("text")).alias("scale")), "SELECT doc_id, 1.0::DOUBLE AS scale FROM documents"),
+    "f10_script_scale": (
+        # texts whose vowels are written in dense scripts, in every second document
+        lambda s, d: _docs(s, d).select("doc_id", S.script_scale(F.when(F.col("doc_id") % 2 == 0, F.translate("text", "aeiou", "漢かカ한ก")).otherwise(F.col("text"))).alias("scale")),
+        r"""WITH t AS (SELECT doc_id, regexp_replace(left(CASE WHEN doc_id % 2 = 0 THEN translate(text, 'aeiou', '漢かカ한ก') ELSE text END, 2000), '\s', '', 'g') AS seen FROM documents)
+        SELECT doc_id, CASE WHEN length(seen) > 0 AND length(regexp_replace(seen, '[^漢かカ한ก]', '', 'g')) / length(seen)::DOUBLE >= 0.2 THEN 2 / 3::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM t""",
+    ),
     "f11_fold": (
         _on_docs(lambda: dict(t=S.fold(F.col("text"), 500, 300, 200))),
         r"SELECT doc_id, CASE WHEN length(t) <= 500 THEN t ELSE regexp_replace(left(t, 300), '\s+$', '') || ' …[+' || (length(t) - 500) || ' chars, read L{n} for the rest] ' || regexp_replace(right(t, 200), '^\s+', '') END AS t FROM (SELECT doc_id, " + STRIP.format("text") + " AS t FROM documents)",
@@ -162,6 +172,10 @@ QUERIES = {
         lambda s, d: counters.sparse(adapter.settled(s, d), "model").groupBy("sid").agg(F.count("model").alias("written"), F.count(F.lit(1)).alias("n")),
         sql("SELECT sid, count(*) FILTER (WHERE fresh)::BIGINT AS written, count(*)::BIGINT AS n FROM (SELECT sid, coalesce(model <> lag(model) OVER (PARTITION BY sid ORDER BY line), true) AS fresh FROM settled) GROUP BY sid"),
     ),
+    "s8_ratelimit_log": (
+        lambda s, d: transcripts.dense_log(counters.sparse(_limit_log(s, d), "reset_5h", order=["ts_s", "line"]), ("reset_5h",)).select("sid", "line", "pct_5h", "reset_5h"),
+        sql("SELECT sid, line, used_percent AS pct_5h, resets_at AS reset_5h FROM samples", SAMPLES),
+    ),
     "s6_sparse_read": (
         lambda s, d: counters.filled(counters.sparse(adapter.settled(s, d), "model"), "model").select("sid", "req", "model"),
         sql("SELECT sid, req, model FROM settled"),

@@ -7,16 +7,27 @@ from pyspark.sql import functions as F
 
 
 def scan_transcripts(spark: SparkSession, globs: list[str], modified_after: str | None = None) -> DataFrame:
-    """Path, line_no, raw. Files are read whole, a file per row, and split where they are read.
+    """Path, mtime, size, line_no, raw; blank lines are counted, but not returned.
 
-    Line numbers are part of the data, so a file is not cut between tasks.
+    Large files are read in splits. Within a split the lines come in order; the
+    lines of the splits before it, one light row a split, give it its first number.
     """
     reader = spark.read
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    files = reader.text(globs, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), "value")
-    lines = files.select("path", "mtime", "size", F.posexplode(F.split("value", "\n", -1)).alias("n", "raw"))
-    return lines.select("path", "mtime", "size", (F.col("n") + 1).cast("long").alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw")).where("raw <> ''")
+    read = reader.text(globs, lineSep="\n").select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    split = ["file_path", "file_block_start"]
+    counts = read.groupBy(*split).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*split, "first_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    lines = read.join(firsts, split).select(
+        F.col("file_path").alias("path"),
+        F.col("file_modification_time").alias("mtime"),
+        F.col("file_size").alias("size"),
+        (F.col("before") + F.col("id") - F.col("first_id") + 1).alias("line_no"),
+        F.regexp_replace("value", "\r$", "").alias("raw"),
+    )
+    return lines.where("raw <> ''")
 
 
 def union_roots(frames: list[DataFrame]) -> DataFrame:
@@ -32,6 +43,30 @@ def parse_tolerant(lines: DataFrame) -> DataFrame:
     return lines.withColumn("v", F.try_parse_json("raw")).where("v is not null")
 
 
+def malformed_lines(lines: DataFrame) -> DataFrame:
+    """Path, lines, malformed: how many lines of each file are no JSON."""
+    bad = F.count_if(F.try_parse_json("raw").isNull())
+    return lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), bad.alias("malformed"))
+
+
+#: Fixed value: columns of a session's rate-limit log.
+RATELIMIT_SCHEMA = "ts string, pct_5h double, reset_5h long, pct_7d double, reset_7d long, alert string, version string"
+
+
+def read_ratelimit_log(spark: SparkSession, globs: list[str]) -> DataFrame:
+    """The sessions' rate-limit logs (CSV with a header), one file a session, resets filled in."""
+    log = spark.read.schema(RATELIMIT_SCHEMA).csv(globs, header=True, mode="DROPMALFORMED")
+    sid = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
+    log = log.select(sid.alias("sid"), F.unix_timestamp(F.to_timestamp("ts")).alias("ts_s"), F.monotonically_increasing_id().alias("line"), "*").drop("ts")
+    return dense_log(log)
+
+
+def dense_log(log: DataFrame, columns: tuple[str, ...] = ("reset_5h", "reset_7d")) -> DataFrame:
+    """Resets are written only where they change; here each reading bears the one in force."""
+    order = Window.partitionBy("sid").orderBy("ts_s", "line").rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in columns})
+
+
 def path_dims(path: Column) -> dict[str, Column]:
     """S3: project (after the last ``/projects/``), agent and parent session of a file's path."""
     tail = F.element_at(F.split(path, "/projects/"), -1)

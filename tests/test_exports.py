@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from meterwright.operators import exports
+from meterwright.sources import transcripts
 
 
 def variants(spark, objects, **more):
@@ -55,3 +56,31 @@ def test_alert_lines(spark):
     t = spark.createDataFrame([("s", 4, "x"), ("s", 6, "y")], "sid string, turn long, text string")
     m = spark.createDataFrame([("s", 4, "@@++~"), ("s", 6, "@")], "sid string, turn long, markers string")
     assert {r.turn: r.kinds for r in exports.alert_lines(t, m).collect()} == {4: "clear+autocompact+reload", 6: "start"}
+
+
+def test_line_numbers_over_several_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join("\n" if k % 7 == 3 else '{"n": %d, "t": "%s"}\r\n' % (k, "é" * (k % 50)) for k in range(4000)), encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text('{"n": 0}\nno json\n\n{"n": 3}', encoding="utf-8")
+    (tmp_path / "c.jsonl").write_text("")
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = transcripts.scan_transcripts(spark, [f"file://{tmp_path}/*.jsonl"])
+        assert lines.rdd.getNumPartitions() > 3
+        got = lines.select(F.element_at(F.split("path", "/"), -1).alias("f"), "line_no", F.get_json_object("raw", "$.n").cast("int").alias("n"), "raw").collect()
+        bad = {r.path.rsplit("/", 1)[1]: (r.lines, r.malformed) for r in transcripts.malformed_lines(lines).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    a = sorted((r.line_no, r.n) for r in got if r.f == "a.jsonl")
+    assert a == [(k + 1, k) for k in range(4000) if k % 7 != 3]
+    assert sorted((r.line_no, r.raw) for r in got if r.f == "b.jsonl") == [(1, '{"n": 0}'), (2, "no json"), (4, '{"n": 3}')]
+    assert bad == {"a.jsonl": (len(a), 0), "b.jsonl": (3, 1)}
+
+
+def test_ratelimit_log(spark, tmp_path):
+    (tmp_path / "s1.csv").write_text("ts,5h,5h_reset,7d,7d_reset,alert,version\n2026-01-01T00:00:00Z,1.5,1767243600,2,1767600000,,1\n2026-01-01T00:01:00Z,2,,2,,warn,1\n2026-01-01T00:02:00Z,3,1767250000,3,,,1\n")
+    (tmp_path / "s2.csv").write_text("ts,5h,5h_reset,7d,7d_reset,alert,version\n2026-01-01T00:00:30Z,9,,1,,,1\n")
+    rows = transcripts.read_ratelimit_log(spark, [f"file://{tmp_path}/*.csv"]).collect()
+    assert sorted((r.sid, r.ts_s % 86400, r.pct_5h, r.reset_5h, r.reset_7d, r.alert) for r in rows) == [
+        ("s1", 0, 1.5, 1767243600, 1767600000, None), ("s1", 60, 2.0, 1767243600, 1767600000, "warn"), ("s1", 120, 3.0, 1767250000, 1767600000, None), ("s2", 30, 9.0, None, None, None)
+    ]
