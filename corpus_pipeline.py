@@ -19,9 +19,15 @@ from meterwright.llm._common import materialize
 ORACLE_SQL = None
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """row (a whole document as one column, so that none of its names meets an added one) and text."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a language (no text, or no letter in it) go."""
-    return languages.identify(docs).where(F.col("lang_pred") != languages.UNKNOWN).select(*docs.columns)
+    judged = languages.identify(_held(docs), languages.fit(docs))
+    return judged.where(F.col("lang_pred") != languages.UNKNOWN).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +37,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: private values become pseudonyms of the same format."""
-    hidden = private.hide_private(docs).select(*docs.columns)
-    return hidden.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else hidden
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return private.hide_private(_held(docs)).select(row.alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
