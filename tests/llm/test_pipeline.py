@@ -15,3 +15,51 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert packed[["doc_id", "piece"]].drop_duplicates().doc_id.nunique() == docs.select("doc_id").distinct().count()
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, spans string, hidden string, row string, copies int, salt int"
+
+
+def odd_rows():
+    """Nulls in every column, empty texts, repeated rows, equal texts, rows of one id, a long text."""
+    extra = ("a", "b", "c", "d", 7, 8)
+    text = "The river runs past the old mill and on to the sea, where boats lie. Mail anna.b@example.com or call."
+    rows = [(k, f"{text} Number {'abcdefghij'[k % 10] * 3} {k}.", "en", "ab"[k % 2], 1, *extra) for k in range(8)]
+    rows += [(20, "", "en", "a", 0, *extra), (21, None, None, None, None, *[None] * 6), (22, "123 !?", "de", "b", 6, *extra), (None, text, None, "a", 1, *extra), (None, None, "en", None, None, *extra)]
+    rows += [rows[3]] * 4 + [(30, rows[5][1], "en", "b", 1, *extra), (5, "other words of the same id that differ from the first", "en", "b", 1, *extra), (40, "word " * 30_000, "en", None, 1, *extra)]
+    return rows
+
+
+def test_stages_on_odd_tables(spark):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "unused")
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        assert out.count() > 0 and stage(spark, empty, "unused").count() == 0, name
+    name, pack = corpus_pipeline.STAGES[-1]
+    assert pack(spark, docs, "unused").count() >= docs.count() and pack(spark, empty, "unused").count() == 0
+
+
+def test_stages_one_by_one_against_plain_versions(spark):
+    from test_operators import brute_components
+
+    from meterwright.llm import languages, packing, private
+
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted(map(str, map(tuple, df.collect())))
+    # a text with a letter is of some language
+    assert plain(stages["language_id"](spark, docs, "")) == sorted(str(r) for r in rows if languages.has_letter(r[1]))
+    judged = brute_components([r[:2] for r in rows])
+    stay = {str(r) for r, (_, _, c) in zip(rows, judged) if r[0] is not None and (c is None or c == r[0])}
+    assert plain(stages["near_duplicates"](spark, docs, "")) == sorted([*stay, *(str(r) for r in rows if r[0] is None)])
+    p = private.Permuter(private.DEFAULT_KEY)
+    hidden = [(r[0], t := None if r[1] is None else private.pseudonymize(r[1], p)[0], *r[2:4], None if t is None else len(t), *r[5:]) for r in rows]
+    assert plain(stages["private_values"](spark, docs, "")) == sorted(map(str, hidden))
+    mixed = stages["mixing"](spark, docs, "").collect()
+    assert {str(tuple(r)) for r in mixed} <= {str(r) for r in rows}
+    packed = stages["packing"](spark, docs, "").toPandas()
+    ids = sum(len(packing.encoder(packing.default_tokenizer())(r[1] or "")) // 4 + 1 for r in rows)
+    assert packed.length.sum() == ids and (packed.groupby("sequence_id").length.sum() <= 1024).all()
