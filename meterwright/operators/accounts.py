@@ -29,18 +29,22 @@ def account_in_session(rows: DataFrame, changes: DataFrame) -> DataFrame:
 def account_anywhere(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """The last change of any session at or before the row's time.
 
-    There is no key to part by, so the rows are parted by day: each day starts
-    with the last change before it, carried forward over the days.
+    There is no key to part by, so the rows are parted by day: each day up to
+    the last one with a change starts with the last change before it. Later rows
+    have the last change of all.
     """
     day = lambda c: F.floor(F.col(c) / DAY)
     marks = changes.select(day("ts_s").alias("_day"), F.col("ts_s").alias("_at"), "account", "line")
     ends = marks.groupBy("_day").agg(F.max_by("account", F.struct("_at", "line")).alias("account"))
-    days = rows.select(day("ts_s").alias("_day")).distinct().join(ends, "_day", "full")
-    # one row a day goes through this window
-    earlier = F.last("account", ignorenulls=True).over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
-    carried = days.select("_day", earlier.alias("account")).where("account is not null").select("_day", (F.col("_day") * DAY - 1).alias("_at"), "account", F.lit(-1).cast("long").alias("line"))
+    # one row a day with a change goes through this window
+    until = ends.withColumn("_next", F.lead("_day").over(Window.orderBy("_day"))).where("_next is not null")
+    carried = until.select(F.explode(F.sequence(F.col("_day") + 1, F.col("_next"))).alias("_day"), "account")
+    carried = carried.select("_day", (F.col("_day") * DAY - 1).alias("_at"), "account", F.lit(-1).cast("long").alias("line"))
+    last = F.broadcast(changes.agg(F.max(day("ts_s")).alias("_last_day"), F.max_by("account", F.struct("ts_s", "line")).alias("_last")))  # one row
     keyed = rows.withColumn("_day", day("ts_s"))
-    return last_before(keyed, marks.unionByName(carried), ["_day"], "ts_s", "_at", {"account": "any_account"}, ["line"]).drop("_day")
+    held = last_before(keyed, marks.unionByName(carried), ["_day"], "ts_s", "_at", {"account": "any_account"}, ["line"]).crossJoin(last)
+    later = F.when(F.col("_day") > F.col("_last_day"), F.col("_last"))
+    return held.withColumn("any_account", F.coalesce("any_account", later)).drop("_day", "_last_day", "_last")
 
 
 def assign_account(rows: DataFrame, changes: DataFrame) -> DataFrame:

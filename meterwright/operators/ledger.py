@@ -17,19 +17,24 @@ def last_chunk_per_request(rows: DataFrame) -> DataFrame:
 
 
 def drop_parent_replays(rows: DataFrame) -> DataFrame:
-    """An agent's row goes if its parent session has the same request."""
-    of_parent = rows.where("parent is null and req is not null").select(F.col("sid").alias("p_sid"), F.col("req").alias("p_req")).distinct()
-    near = (F.col("parent") == F.col("p_sid")) & (F.col("req") == F.col("p_req"))
-    return rows.join(of_parent, near, "left_anti")
+    """An agent's row goes if its parent session has the same request.
+
+    A session's rows and its agents' rows of one request meet in one small
+    group, so the rows are read once; rows without a request are dealt by line.
+    """
+    request = Window.partitionBy(F.coalesce("parent", "sid"), "req", F.when(F.col("req").isNull(), F.col("line")))
+    in_main = F.coalesce(F.max(F.col("parent").isNull()).over(request), F.lit(False))
+    return rows.withColumn("_in_main", in_main).where("parent is null or req is null or not _in_main").drop("_in_main")
 
 
 def count_request_once(rows: DataFrame) -> DataFrame:
     """A4: a request belongs to the session that starts first (ties: by id); rows without a request all stay."""
-    start = rows.groupBy("sid").agg(F.min("ts_s").alias("start"))
-    known = rows.where("req is not null and req <> ''").join(start, "sid")
-    first = Window.partitionBy("req").orderBy("start", "sid", "ts_s", "line")
-    owned = known.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "start")
-    return owned.select(*rows.columns).unionByName(rows.where("req is null or req = ''"))
+    start = rows.groupBy(F.col("sid").alias("_sid")).agg(F.min("ts_s").alias("start"))
+    unknown = F.coalesce(F.col("req"), F.lit("")) == ""
+    # rows without a request are dealt by session and line, and none of them goes
+    first = Window.partitionBy("req", F.when(unknown, F.struct("sid", "line"))).orderBy("start", "sid", "ts_s", "line")
+    owned = rows.join(start, F.col("sid").eqNullSafe(F.col("_sid")), "left").withColumn("nth", F.row_number().over(first))
+    return owned.where(unknown | (F.col("nth") == 1)).select(*rows.columns)
 
 
 def rows_since(rows: DataFrame, cutoff_s: int) -> DataFrame:

@@ -45,7 +45,12 @@ def assign_stated_window(rows: DataFrame, windows: DataFrame, keys: list[str], t
 
 
 def anchored_blocks(rows: DataFrame, keys: list[str], length: int = FIVE_HOURS, time: str = "ts_s") -> DataFrame:
-    """Adds block: each block starts at its first row and lasts ``length``.
+    """Adds block: each block starts at its first row and lasts ``length``."""
+    return last_before(rows, anchors(rows, keys, length, time), keys, time, "start", {"start": "block"})
+
+
+def anchors(rows: DataFrame, keys: list[str], length: int = FIVE_HOURS, time: str = "ts_s") -> DataFrame:
+    """The starts of W3's blocks.
 
     A row that comes ``length`` or more after the one before it always starts a
     block, so stretches between such gaps are folded on their own; a fold sees
@@ -55,8 +60,8 @@ def anchored_blocks(rows: DataFrame, keys: list[str], length: int = FIVE_HOURS,
     order = Window.partitionBy(*keys).orderBy("_t")
     gap = F.col("_t") - F.lag("_t").over(order)
     islands = seconds.withColumn("_gap", gap).withColumn("_island", F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") >= length), 1).otherwise(0)).over(order))
-    anchors = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-    anchors = anchors.withColumn(
+    stretches = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+    stretches = stretches.withColumn(
         "_anchors",
         F.aggregate(
             "_ts",
@@ -64,17 +69,15 @@ def anchored_blocks(rows: DataFrame, keys: list[str], length: int = FIVE_HOURS,
             lambda acc, t: F.when((F.size(acc) > 0) & (t < F.element_at(acc, -1) + length), acc).otherwise(F.concat(acc, F.array(t))),
         ),
     )
-    blocks = anchors.select(*keys, F.explode("_anchors").alias("start"))
-    return last_before(rows, blocks, keys, time, "start", {"start": "block"})
+    return stretches.select(*keys, F.explode("_anchors").alias("start"))
 
 
 def window_or_block(rows: DataFrame, windows: DataFrame, keys: list[str], length: int = FIVE_HOURS, time: str = "ts_s") -> DataFrame:
     """Stated windows first; the rows outside them fall in anchored blocks. Adds win and stated."""
     held = assign_stated_window(rows, windows, keys, time)
-    inside = held.where("win is not null").withColumn("stated", F.lit(True))
-    outside = anchored_blocks(held.where("win is null"), keys, length, time)
-    outside = outside.withColumn("win", F.col("block")).drop("block").withColumn("stated", F.lit(False))
-    return inside.unionByName(outside)
+    blocks = anchors(held.where("win is null"), keys, length, time)
+    both = last_before(held, blocks, keys, time, "start", {"start": "_block"}).withColumn("stated", F.col("win").isNotNull())
+    return both.withColumn("win", F.coalesce("win", "_block")).drop("_block")
 
 
 def hour_to_window(rows: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:

@@ -47,10 +47,13 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "k",
     )
-    calls = base.where("event_type <> 'error'")
-    forks = calls.where("line % 17 = 0").withColumn("sid", F.concat(F.lit("s"), F.col("user_id") + 1000))
-    replays = calls.where("line % 19 = 0").withColumns({"sid": F.concat(F.lit("agent-"), "user_id"), "parent": F.concat(F.lit("s"), "user_id")})
-    return base.unionByName(forks).unionByName(replays)
+    # a row, its fork and its replay come from one read
+    owner = lambda sid, parent: F.struct(sid.alias("sid"), parent.alias("parent"))
+    call, none = F.col("event_type") != "error", F.lit(None).cast("string")
+    fork = F.when(call & (F.col("line") % 17 == 0), owner(F.concat(F.lit("s"), F.col("user_id") + 1000), none))
+    replay = F.when(call & (F.col("line") % 19 == 0), owner(F.concat(F.lit("agent-"), "user_id"), F.concat(F.lit("s"), "user_id")))
+    copies = base.withColumn("own", F.explode(F.array_compact(F.array(owner(F.col("sid"), F.col("parent")), fork, replay))))
+    return copies.withColumns({"sid": F.col("own.sid"), "parent": F.col("own.parent")}).drop("own")
 
 
 def account_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
