@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, jaccard, languages, merkle, mixing, packing, private, secrets, substrings
+from . import chat, embeddings, jaccard, languages, merkle, mixing, packing, private, secrets, sharding, substrings, trie, whitening
 
 
 def queries():
@@ -17,8 +17,17 @@ def queries():
         "op8_merkle": merkle.query,
         "op9_languages": languages.query,
         "op10_secrets": secrets.query,
+        "op11_trie": trie.query,
+        "op12_whitening": whitening.query,
+        "op13_sharding": sharding.query,
     }
 
 
 def oracle_sql():
-    return {"op3_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op10_secrets": secrets.ORACLE}
+    return {
+        "op3_chat": chat.ORACLE,
+        "op5_mixing": mixing.ORACLE,
+        "op10_secrets": secrets.ORACLE,
+        "op11_trie": trie.ORACLE,
+        "op13_sharding": sharding.ORACLE,
+    }
