@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import read_lines
 
-def scan_transcripts(spark: SparkSession, globs: list[str], modified_after: str | None = None) -> DataFrame:
-    """Path, mtime, size, line_no, raw; blank lines are counted, but not returned.
 
-    Large files are read in splits. Within a split the lines come in order; the
-    lines of the splits before it, one light row a split, give it its first number.
-    """
-    reader = spark.read
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    read = reader.text(globs, lineSep="\n").select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
-    split = ["file_path", "file_block_start"]
-    counts = read.groupBy(*split).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(*split, "first_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    lines = read.join(firsts, split).select(
-        F.col("file_path").alias("path"),
-        F.col("file_modification_time").alias("mtime"),
-        F.col("file_size").alias("size"),
-        (F.col("before") + F.col("id") - F.col("first_id") + 1).alias("line_no"),
-        F.regexp_replace("value", "\r$", "").alias("raw"),
-    )
-    return lines.where("raw <> ''")
+def scan_transcripts(spark: SparkSession, globs: list[str], modified_after: str | None = None, split: int | None = None) -> DataFrame:
+    """Path, mtime, size, line_no, raw from one scan; blank lines are counted, but not returned."""
+    return read_lines(spark, globs, modified_after, split)
 
 
 def union_roots(frames: list[DataFrame]) -> DataFrame:
@@ -38,13 +21,17 @@ def union_roots(frames: list[DataFrame]) -> DataFrame:
     return out.dropDuplicates(["path", "line_no"])
 
 
-def parse_tolerant(lines: DataFrame) -> DataFrame:
-    """Adds v (VARIANT); lines that are no JSON go."""
-    return lines.withColumn("v", F.try_parse_json("raw")).where("v is not null")
+def parse_tolerant(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """Adds v (VARIANT); lines that are no JSON go. ``counts`` gets the numbers ``lines`` and ``malformed`` from the
+    same pass, to be read after the action."""
+    parsed = lines.withColumn("v", F.try_parse_json("raw"))
+    if counts is not None:
+        parsed = parsed.observe(counts, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("v").isNull()).alias("malformed"))
+    return parsed.where("v is not null")
 
 
 def malformed_lines(lines: DataFrame) -> DataFrame:
-    """Path, lines, malformed: how many lines of each file are no JSON."""
+    """P4, by file: path, lines, malformed."""
     bad = F.count_if(F.try_parse_json("raw").isNull())
     return lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), bad.alias("malformed"))
 
@@ -53,11 +40,19 @@ def malformed_lines(lines: DataFrame) -> DataFrame:
 RATELIMIT_SCHEMA = "ts string, pct_5h double, reset_5h long, pct_7d double, reset_7d long, alert string, version string"
 
 
-def read_ratelimit_log(spark: SparkSession, globs: list[str]) -> DataFrame:
-    """The sessions' rate-limit logs (CSV with a header), one file a session, resets filled in."""
-    log = spark.read.schema(RATELIMIT_SCHEMA).csv(globs, header=True, mode="DROPMALFORMED")
-    sid = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
-    log = log.select(sid.alias("sid"), F.unix_timestamp(F.to_timestamp("ts")).alias("ts_s"), F.monotonically_increasing_id().alias("line"), "*").drop("ts")
+def read_ratelimit_log(spark: SparkSession, globs: list[str], counts: Observation | None = None) -> DataFrame:
+    """The sessions' rate-limit logs (CSV, one file a session), resets filled in; ``line`` is the file's own line.
+
+    Lines that are no reading go: ``counts`` gets ``lines`` and ``malformed``, headers being neither.
+    """
+    read = read_lines(spark, globs).where("not startswith(raw, 'ts,')")
+    row = F.from_csv("raw", RATELIMIT_SCHEMA + ", bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    read = read.withColumn("row", row).withColumn("at", F.unix_timestamp(F.try_to_timestamp("row.ts")))
+    broken = F.col("row.bad").isNotNull() | F.col("at").isNull()
+    if counts is not None:
+        read = read.observe(counts, F.count(F.lit(1)).alias("lines"), F.count_if(broken).alias("malformed"))
+    sid = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
+    log = read.where(~broken).select(sid.alias("sid"), F.col("at").alias("ts_s"), F.col("line_no").alias("line"), *[f"row.{c}" for c in ("pct_5h", "reset_5h", "pct_7d", "reset_7d", "alert", "version")])
     return dense_log(log)
 
 

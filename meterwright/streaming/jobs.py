@@ -10,10 +10,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.lines import tail_lines
+
 
 class Fold(StatefulProcessor):
     """Folds each key's rows through ``step(state, row) -> (state, [output rows])``.
@@ -132,8 +134,110 @@ def turn_cost_stream(calls: DataFrame, gap: str = "61 seconds", late: str = "10
     return calls.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "sid").agg(F.sum("cost_e8").alias("cost_e8"), F.count(F.lit(1)).alias("calls"))
 
 
-def request_once_stream(calls: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The first copy of a request within the watermark; that the earliest session owns it holds in batch (A4) only."""
+def running_turn_cost_stream(calls: DataFrame, gap: int = 60) -> DataFrame:
+    """Each call with the running cost of its stretch, while the stretch is still open. Calls of a session come in order, as in its log."""
+
+    def step(state, row):
+        now = int(row["ts_s"])
+        fresh = "last" not in state or now - state["last"] > gap
+        turn, cost = state.get("turn", 0) + fresh, (0 if fresh else state["cost"]) + int(row["cost_e8"])
+        return {"last": now, "turn": turn, "cost": cost}, [(row["line"], now, turn, cost)]
+
+    return folded(calls, "sid", "sid string, line long, ts_s long, turn long, turn_cost_e8 long", step)
+
+
+class SessionStart(StatefulProcessor):
+    """Gives a session's rows the session's start. A row waits until the watermark has passed it: then all rows before it are there."""
+
+    COLUMNS = ["sid", "req", "ts_s", "line", "start", "payload", "due"]
+    SCHEMA = "sid string, req string, ts_s long, line long, start long, payload string, due timestamp"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.start = handle.getValueState("start", "start long")
+        self.waiting = handle.getListState("waiting", "req string, ts_s long, line long, payload string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start = self.start.get()[0] if self.start.exists() else None
+        for some in rows:
+            self.waiting.appendList([(r.req, int(r.ts_s), int(r.line), r.payload) for r in some.itertuples(index=False)])
+            first = int(some["ts_s"].min())
+            start = first if start is None else min(start, first)
+            for ts in some["ts_s"].unique():
+                self.handle.registerTimer(int(ts) * 1000)
+        self.start.update((start,))
+        yield pd.DataFrame(columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(r) for r in self.waiting.get()]
+        ready, later = [r for r in rows if r[1] * 1000 <= now], [r for r in rows if r[1] * 1000 > now]
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        start, due = self.start.get()[0], pd.Timestamp(now + 1, unit="ms")
+        yield pd.DataFrame([(key[0], req, ts, line, start, payload, due) for req, ts, line, payload in ready], columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+class RequestOwner(StatefulProcessor):
+    """Of a request's copies the one of the session that starts first. Sessions are kept by id until the timer fires;
+    ``hold`` milliseconds after that the request is forgotten, and copies until then go."""
+
+    def __init__(self, hold: int):
+        self.hold = hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.copies = handle.getMapState("copies", "sid string", "start long, ts_s long, line long, payload string")
+        self.settled = handle.getValueState("settled", "settled boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.settled.exists():
+            for some in rows:
+                for r in some.itertuples(index=False):
+                    own, new = (r.sid or "",), (int(r.start), int(r.ts_s), int(r.line), r.payload)
+                    if not self.copies.containsKey(own) or new[1:3] < tuple(self.copies.getValue(own))[1:3]:
+                        self.copies.updateValue(own, new)
+                    if not list(self.handle.listTimers()):
+                        self.handle.registerTimer(max(int(r.ts_s) * 1000, timerValues.getCurrentWatermarkInMs()) + self.hold)
+        yield pd.DataFrame(columns=["req", "payload"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.settled.exists():
+            self.settled.clear()
+        else:
+            best = min((tuple(v)[0], tuple(k)[0], *tuple(v)[1:]) for k, v in self.copies.iterator())
+            out = [(key[0], best[-1])]
+            self.copies.clear()
+            self.settled.update((True,))
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.hold)
+        yield pd.DataFrame(out, columns=["req", "payload"])
+
+    def close(self) -> None:
+        pass
+
+
+def request_once_stream(calls: DataFrame, late: str = "1 hour", hold_s: int = 3600) -> DataFrame:
+    """Of a request's copies the one of the session that starts first (ties by id, time, line), as A4 has it in batch.
+
+    ``calls`` has ts (timestamp), sid, req, ts_s, line. Rows may be ``late`` behind; a request is settled ``hold_s``
+    seconds after its first copy, and copies that come after twice that are new requests. Rows without a request all stay.
+    """
+    marked = calls.withWatermark("ts", late)
+    known = F.coalesce(F.col("req"), F.lit("")) != ""
+    light = marked.where(known).select("ts", "sid", "req", "ts_s", "line", F.to_json(F.struct(*calls.columns)).alias("payload"))
+    started = light.groupBy("sid").transformWithStateInPandas(SessionStart(), SessionStart.SCHEMA, "append", "EventTime", eventTimeColumnName="due")
+    owned = started.groupBy("req").transformWithStateInPandas(RequestOwner(hold_s * 1000), "req string, payload string", "append", "EventTime")
+    return owned.select(F.from_json("payload", calls.schema).alias("c")).select("c.*").unionByName(calls.where(~known))
+
+
+def first_copy_stream(calls: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The first copy of each request to arrive, at once; who owns it is not asked."""
     return calls.withWatermark("ts", late).dropDuplicatesWithinWatermark(["req"])
 
 
@@ -143,7 +247,39 @@ def hourly_usage_stream(calls: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Reads what is unread since the checkpoint, writes it, and gives the whole output table."""
+    """Reads what is unread since the checkpoint, writes it, and gives the whole output table."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+LINES, CURSORS = "path string, line_no long, raw string, batch long", "path string, lines long, batch long"
+
+
+def ledger_append_stream(spark: SparkSession, patterns: list[str], out: str, checkpoint: str, split: int | None = None) -> None:
+    """Appends to ``out/lines`` the lines (path, line_no, raw) that were added to the files since the last run.
+
+    The source's offsets say which bytes a batch has; ``out/cursors`` says how many lines each file had after it. Both
+    outputs of a batch go to folders of its number, which a batch that is run again overwrites: no line comes twice, whenever a run is stopped.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        known = session.createDataFrame([], CURSORS)
+        if number:
+            known = session.read.schema(CURSORS).parquet(f"{out}/cursors").where(F.col("batch") < number)
+        before = known.groupBy("path").agg(F.max("lines").alias("before"))
+        order = Window.partitionBy("path").orderBy("byte")
+        nth = F.row_number().over(order) + F.coalesce("before", F.lit(0))
+        lines = batch.join(before, "path", "left").select("path", nth.cast("long").alias("line_no"), "raw")
+        lines.write.mode("overwrite").parquet(f"{out}/lines/batch={number}")
+        done = session.read.parquet(f"{out}/lines/batch={number}").groupBy("path").agg(F.max("line_no").alias("lines"))
+        done.write.mode("overwrite").parquet(f"{out}/cursors/batch={number}")
+
+    query = tail_lines(spark, patterns, split).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def appended_lines(spark: SparkSession, out: str) -> DataFrame:
+    """What ``ledger_append_stream`` has written, without blank lines."""
+    return spark.read.schema(LINES).parquet(f"{out}/lines").where("raw <> ''").drop("batch")

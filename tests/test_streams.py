@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meterwright.operators import counters, limits, windows
+from meterwright.operators import counters, ledger, limits, windows
 from meterwright.streaming import jobs
 
 
@@ -64,10 +64,41 @@ def test_idle_guard(spark, stream, run):
     assert sorted((r.line, r.idle_at) for r in run(jobs.idle_guard_stream(df)))[-1] == (9000, 12590)
 
 
+def test_running_turn_cost(spark, stream, run):
+    times = [0, 30, 90, 151, 300, 300, 500, 560, 700]
+    df = spark.createDataFrame([(s, n, t, 10 + n) for s in ("s", "z") for n, t in enumerate(times)], "sid string, line long, ts_s long, cost_e8 long")
+    got = run(jobs.running_turn_cost_stream(stream(df)))
+    batch = limits.idle_turn_cost(df).collect()
+    assert sorted((r.sid, r.line, r.turn, r.turn_cost_e8) for r in got) == sorted((r.sid, r.line, r.turn, r.turn_cost_e8) for r in batch)
+
+
+def test_requests_go_to_the_session_that_starts_first(spark, tmp_path, run):
+    """As A4 in batch, with copies in other micro-batches, before and after their owner's."""
+    rows, base = [], 10**6
+    for n in range(60):
+        rows.append((f"s{n % 4}", f"r{n}", base + 60 * n + 7 * (n % 4), n))
+        if n % 3 == 0:  # copies under other sessions, some of which start earlier
+            rows.append((f"s{(n + 1) % 4}", f"r{n}", base + 60 * n + 400, 100 + n))
+            rows.append(("a late one", f"r{n}", base + 60 * n + 900, 200 + n))
+    rows += [("s0", None, base + 50, 1000), ("s1", "", base + 60, 1001)]
+    schema = "sid string, req string, ts_s long, line long"
+    ordered, source = sorted(rows, key=lambda r: r[2]), str(tmp_path / "in")
+    files = [ordered[k : k + 25] for k in range(0, len(ordered), 25)] + [[("end", f"end{k}", k * 10**7, 0)] for k in (1, 2, 3)]
+    files[1], files[2] = files[1] + files[2][:5], files[2][5:]
+    files[0], files[1] = files[0][:-3], files[0][-3:] + files[1]  # some are late
+    for some in files:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(source)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn("ts", F.timestamp_seconds("ts_s"))
+    got = run(jobs.request_once_stream(live, "20 minutes", 3600))
+    batch = ledger.count_request_once(spark.createDataFrame(rows, schema)).collect()
+    key = lambda r: (r.req or "", r.sid, r.line)
+    assert sorted(map(key, (r for r in got if r.sid != "end"))) == sorted(map(key, batch))
+
+
 def test_request_once_and_hours(spark, stream, tmp_path):
     df = spark.createDataFrame([(f"r{n % 4}", 600 * n, n, 1) for n in range(20)], "req string, ts_s long, cost_e8 long, tokens long")
     live = stream(df).withColumn("ts", F.timestamp_seconds("ts_s"))
-    once = jobs.run_to_end(jobs.request_once_stream(live, "10 days"), str(tmp_path / "o1"), str(tmp_path / "c1"))
+    once = jobs.run_to_end(jobs.first_copy_stream(live, "10 days"), str(tmp_path / "o1"), str(tmp_path / "c1"))
     assert sorted(r.req for r in once.collect()) == ["r0", "r1", "r2", "r3"]
     hours = jobs.run_to_end(jobs.hourly_usage_stream(live, "10 minutes"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     want = {}
