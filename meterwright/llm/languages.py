@@ -166,7 +166,8 @@ def draw_sample(light: DataFrame, per_language: int) -> DataFrame:
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """Trains on a bounded sample of the labelled documents outside the held-out fifth."""
     open_rows = docs.where("crc32(cast(doc_id as string)) % 5 <> 0 and lang is not null").select(F.col("doc_id").cast("long"), "lang", "text")
-    # of several rows of one document, the lowest label
+    # drawn among lettered rows only, so that letterless ones do not use up the bound; of several rows of one document, the lowest label
+    open_rows = open_rows.where(F.col("text").rlike(r"\p{L}"))
     light = open_rows.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     drawn = materialize(draw_sample(light, per_language), "drawn")
     sample = open_rows.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")  # at most per_language rows a language
