@@ -25,6 +25,7 @@ import hashlib
 import math
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -177,7 +178,18 @@ def _ends(kind: str, m: re.Match) -> list[int]:
     return [m.start() + k for k, n in sorted(ends, key=lambda e: (e[1] != own, -e[0]))]
 
 
-def _grouped(kind: str, pattern: re.Pattern, text: str, taken: list, good, change, p: Permuter, back: bool) -> Iterator[tuple[int, int, str]]:
+class Taken:
+    """Disjoint spans that are taken, in order: whether a span meets one of them takes a bisection."""
+
+    def __init__(self, spans: list[tuple]):
+        self.starts, self.ends = [s for s, *_ in spans], [e for _, e, *_ in spans]
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
+def _grouped(kind: str, pattern: re.Pattern, text: str, taken: Taken, good, change, p: Permuter, back: bool) -> Iterator[tuple[int, int, str]]:
     """Cards and IBANs: what follows (an expiry date, a code, a word) may look like one more group.
 
     A candidate is tried at all its ends, then from its next group on. What
@@ -188,9 +200,10 @@ def _grouped(kind: str, pattern: re.Pattern, text: str, taken: list, good, chang
     at, failed = 0, []
     while m := pattern.search(text, at):
         at = next((m.start() + k + 1 for k, c in enumerate(m[0]) if c in " -"), m.end())
+        start = m.start()
+        failed = [(s, e) for s, e in failed if e > start]  # those before can be crossed no more
         for end in _ends(kind, m):
-            start = m.start()
-            if any(start < e and s < end for s, e, *_ in taken):
+            if taken.meets(start, end):
                 continue
             if not good(text[start:end]):
                 failed.append((start, end))
@@ -198,8 +211,9 @@ def _grouped(kind: str, pattern: re.Pattern, text: str, taken: list, good, chang
             crossed = [(s, e) for s, e in failed if s < end and start < e]
 
             def fits(new: str, start=start, end=end, crossed=crossed) -> bool:
-                put = text[:start] + new + text[end:] if crossed else ""
-                return not any(good(put[s:e]) for s, e in crossed)
+                low, high = min((s for s, _ in crossed), default=start), max((e for _, e in crossed), default=end)
+                put = text[low:start] + new + text[end:high]
+                return not any(good(put[s - low : e - low]) for s, e in crossed)
 
             yield start, end, change(text[start:end], p, back, fits)
             at = end
@@ -300,16 +314,16 @@ def pseudonymize(text: str, permuter: Permuter, back: bool = False) -> tuple[str
     for kind, pattern, change in KINDS:
         if kind == "email" and "@" not in text or kind not in ("email", "iban") and not numbers:
             continue
+        before = Taken(taken)  # one kind's own spans are disjoint
         if kind in GROUPED:
-            taken += [(s, e, kind, new) for s, e, new in _grouped(kind, pattern, text, taken, GROUPED[kind], change, permuter, back)]
-            continue
-        for m in pattern.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e, _, _ in taken):
-                continue
-            new = change(m, permuter, back)
-            if new is not None:
-                taken.append((m.start(), m.end(), kind, new))
-    taken.sort()
+            taken += [(s, e, kind, new) for s, e, new in _grouped(kind, pattern, text, before, GROUPED[kind], change, permuter, back)]
+        else:
+            for m in pattern.finditer(text):
+                if not before.meets(*m.span()):
+                    new = change(m, permuter, back)
+                    if new is not None:
+                        taken.append((*m.span(), kind, new))
+        taken.sort()
     out, at = [], 0
     for s, e, _, new in taken:
         out += [text[at:s], new]
