@@ -65,7 +65,7 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, turn, role, text or parts) rows -> one row per conversation:
 
     conv_id, n_turns, formatted, loss_spans (start, length in code points of
-    ``formatted``), attachments (ordinal, kind, ref, turn, part, tokens),
+    ``formatted``), loss_turns (for every turn, whether its text is under the loss mask), attachments (ordinal, kind, ref, turn, part, tokens),
     attachment_tokens.
     """
     text_part = F.array(
@@ -122,6 +122,7 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
         F.size("t").cast("long").alias("n_turns"),
         F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("formatted"),
         F.transform(F.filter("t", lambda t: t["in_loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss_spans"),
+        F.transform("t", lambda t: t["in_loss"]).alias("loss_turns"),
         F.transform(refs, lambda a, k: F.struct((k + 1).alias("ordinal"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["turn"].alias("turn"), a["part"].alias("part"), a["tokens"].alias("tokens"))).alias("attachments"),
         F.aggregate(refs, F.lit(0).cast("long"), lambda n, a: n + F.coalesce(a["tokens"], F.lit(0))).alias("attachment_tokens"),
     )
@@ -141,10 +142,15 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
+    """All text under the loss mask, unescaped; each span is looked for from the beginning, so this is for short conversations."""
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
 
 
+def loss_text_of_turns(turns: Column, loss_turns: Column) -> Column:
+    """The same from the turns read back, in one pass over them."""
+    return F.array_join(F.zip_with(turns, loss_turns, lambda t, m: F.when(m, t["text"]).otherwise("")), "")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: digests read back from the formatted conversations."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -155,7 +161,7 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.lit(CONTROL_TEXT).alias("text"),
     )
     done = format_chat(rows.unionByName(extra))
-    done = done.withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    done = done.withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", loss_text_of_turns(F.col("turns"), F.col("loss_turns")))
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return done.select(
         "conv_id",
