@@ -9,7 +9,7 @@ a shard is a stretch of the order, so it holds of every source its share of a
 shard, within a few rows: it matches the mixture.
 
 Neither a source nor the order as a whole is sorted in one task. The random
-order is that of a digest, which is cut into cells of about ``CELL_ROWS`` rows;
+order is that of a digest, which is cut into as many cells as a cell has rows, but of no more than ``CELL_ROWS``;
 cells are counted, the counts summed up along the order, and rows are numbered
 within their cell only. The same is done again with cells of fractional rank.
 Rows that are repeated (same doc_id, source and text) are counted as one row
@@ -28,6 +28,8 @@ gives an empty result; other columns are ignored, and kept by ``write_shards``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ SHARDS = 24
 SEED = "shard-1"
 #: Bytes that a document has besides its text.
 FRAME = 8
-#: Rows that are numbered in one group, and copies of one row that one task deals out.
+#: Most rows that are numbered in one group on average, and copies of one row that one task deals out.
 CELL_ROWS, RUN = 50_000, 10_000
 #: The random order is that of a number of so many bits.
 DRAW_BITS = 60
@@ -80,7 +82,8 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> Data
     light = light_rows(docs, seed).groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
     light = materialize(light, "shard-rows")
     total = light.agg(F.sum("copies")).first()[0] or 0
-    cells = -(-max(total, 1) // CELL_ROWS)
+    # as many cells as rows in a cell, so that neither a cell nor the list of cells is large
+    cells = max(-(-max(total, 1) // CELL_ROWS), math.isqrt(max(total, 1)))
     width = -(-(1 << DRAW_BITS) // cells)
     # ranks within the source
     celled = light.withColumn("cell", F.expr(f"draw div {width}L"))
