@@ -1,20 +1,22 @@
 """Embedding near-dedup by NN-descent.
 
 1. Vectors are scaled to length one, and equal ones go on as one counted
-   vector. A forest of sign codes (random hyperplanes) deals them into blocks,
-   and each vector takes its best neighbours of the blocks as its first list.
-   The forest has as many trees as it takes to bring an isolated pair at the
-   threshold together with a chance of 1 - ``MISS``, so it grows with the table.
-2. NN-descent: around every vector its neighbours, and those that hold it as a
+   vector. One tree of sign codes (random hyperplanes) deals them into blocks,
+   and each vector takes its best neighbours of its block as its first list. That
+   brings few of the links: two vectors at the threshold seldom share a block of a large table.
+2. NN-descent finds the others: around every vector its neighbours, and those that hold it as a
    neighbour, are compared with each other; what beats the end of a list
    enters it. A list that is full of links is enlarged. A round goes only to
    vectors around which something is new, as the others have been compared, and
-   the rounds go on until less than ``DELTA`` of the lists' places change.
-3. Lists are bounded, so a group can fill its members' lists. Every block that
+   the rounds go on until one brings no new link.
+   Lists are bounded, so a group can fill its members' lists. Every block that
    is compared therefore also gives ties: edges that hold the classes of all
    its links together, at most one per member, whether or not the links find
-   room in a list. Links and ties make candidate components, and fresh forests
-   look for links between components until one finds none.
+   room in a list. Links and ties make candidate components.
+3. A vector with a single partner may have no neighbour that leads to it. A forest of fresh trees, as many as it takes
+   to bring an isolated pair at the threshold together with a chance of 1 - ``MISS``, looks at the components from
+   outside: where a block has a link between two of them, the pair becomes a suggestion. A suggestion is no result: it
+   is a new neighbour from which NN-descent goes on, until a forest has none.
 4. Within a component all members are compared block by block in double
    precision: this gives every vector's exact number of links there, and keeps
    threshold edges only.
@@ -51,9 +53,10 @@ from .jaccard import _classes
 THRESHOLD = 0.9
 #: First length of the neighbour lists, least trees of the forest, vectors in a block, members compared at once.
 NEIGHBOURS, TREES, BLOCK, PAIR_BLOCK = 8, 12, 128, 512
-#: Chance that one forest misses an isolated pair, and share of changed places at which NN-descent has converged.
-MISS, DELTA = 0.05, 0.001
-RESTARTS = 3
+#: Chance that one forest misses an isolated pair.
+MISS = 0.05
+#: Most rounds of one descent (later forests and the audit look after what they leave), and searches.
+ROUNDS, RESTARTS = 20, 3
 #: Vectors of each sample of the audit, and the share of their links that has to be found.
 AUDIT, TARGET = 1024, 0.97
 SEED = 11
@@ -286,6 +289,32 @@ def _with_roots(links: DataFrame) -> DataFrame:
     return groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
 
 
+def _descended(units: DataFrame, lists: DataFrame, fresh: DataFrame, near: float, keep: int) -> tuple[DataFrame, DataFrame, bool]:
+    """NN-descent from the neighbours (u, v) that are ``fresh``, until a round brings no new link: (lists, ties found, whether there was a new link)."""
+    ties = units.sparkSession.createDataFrame([], "a long, b long")
+    single = units.select("node", "dim", "unit").mapInArrow(_codes(1, 0, 0), "node long, tree long, code long, unit binary").select("node", "unit")
+    for k in range(ROUNDS):
+        flat = _flat(lists)
+        both = flat.select("u", "v").unionByName(fresh)
+        around = both.select(F.col("u").alias("pivot"), F.col("v").alias("node")).unionByName(both.select(F.col("v").alias("pivot"), F.col("u").alias("node")))
+        ends = fresh.select(F.col("u").alias("pivot")).unionByName(fresh.select(F.col("v").alias("pivot"))).distinct()
+        # a vector meets its fresh neighbours too, as a suggested one has not been compared
+        around = around.unionByName(ends.select("pivot", F.col("pivot").alias("node"))).distinct().join(ends, "pivot", "left_semi")
+        compared = _blocks(_salted(around.join(single, "node"), ["pivot"], 2 * BLOCK), ["pivot"]).select("members")
+        found = compared.mapInArrow(_best(near, keep), "u long, v long, sim float, tie boolean")
+        # only what beats the end of a list, or ties, goes on
+        last = lists.select(F.col("node").alias("u"), F.when(F.size("list") < keep, F.lit(-2.0)).otherwise(F.element_at("list", -1)["sim"]).alias("last"))
+        found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
+        found = found.join(last, "u", "left").where(F.col("last").isNull() | (F.col("sim") > F.col("last")) | (F.col("sim") >= near) | F.col("tie")).select("u", "v", "sim", "tie")
+        was, lists = lists, materialize(_lists(flat.unionByName(found), near, keep), "lists")
+        ties = ties.unionByName(_tied(lists))
+        fresh = materialize(_flat(lists).select("u", "v", "sim").join(_flat(was).select("u", "v"), ["u", "v"], "left_anti"), "fresh")
+        if not fresh.where(F.col("sim") >= near).limit(1).count():
+            return lists, ties, k > 0
+        fresh = fresh.select("u", "v")
+    return lists, ties, ROUNDS > 0
+
+
 def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = SEED) -> tuple[DataFrame, float, int]:
     """(vec_id, n_links, component_id, kept for every row; audited recall; links of the audit)."""
     spark = vectors.sparkSession
@@ -294,51 +323,34 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     n = units.count()
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / BLOCK)))) if n else 0
     trees = trees_needed(threshold, bits)
-    near, edges, ties, keep, recall, audited = threshold - SLACK, None, None, NEIGHBOURS, 1.0, 0
+    near, ties, keep, recall, audited = threshold - SLACK, None, NEIGHBOURS, 1.0, 0
     counts = spark.createDataFrame([], "node long, n long, other long")
 
-    def forest(number: int) -> DataFrame:
-        return units.select("node", "unit", "dim").mapInArrow(_codes(trees, bits, seed + 1000 * number), "node long, tree long, code long, unit binary")
+    def forest(number: int, size: int) -> DataFrame:
+        return units.select("node", "unit", "dim").mapInArrow(_codes(size, bits, seed + 1000 * number), "node long, tree long, code long, unit binary")
 
-    number = 0  # of the forest
+    number, lists = 0, None  # number of the forest
     for _ in range(RESTARTS if n > 1 else 0):
-        new = _blocks(_salted(forest(number), ["tree", "code"], 2 * BLOCK), ["tree", "code"]).select("members").mapInArrow(_best(near, keep), "u long, v long, sim float, tie boolean")
-        new = materialize(new, "forest")
-        edges = new if edges is None else edges.unionByName(new)
-        lists = materialize(_lists(edges, near, keep), "lists")
+        new = _blocks(_salted(forest(number, 1), ["tree", "code"], 2 * BLOCK), ["tree", "code"]).select("members").mapInArrow(_best(near, keep), "u long, v long, sim float, tie boolean")
+        lists = materialize(_lists(new if lists is None else _flat(lists).unionByName(new), near, keep), "lists")
         ties = _tied(lists) if ties is None else ties.unionByName(_tied(lists))
-        fresh, changed = None, n * keep
-        while changed > DELTA * n * keep:
-            flat = _flat(lists)
-            around = flat.select(F.col("u").alias("pivot"), F.col("v").alias("node"))
-            around = around.unionByName(flat.select(F.col("v").alias("pivot"), F.col("u").alias("node"))).distinct()
-            if fresh is not None:
-                ends = fresh.select(F.col("u").alias("pivot")).unionByName(fresh.select(F.col("v").alias("pivot"))).distinct()
-                around = around.join(ends, "pivot", "left_semi")
-            single = units.select("node", "dim", "unit").mapInArrow(_codes(1, 0, 0), "node long, tree long, code long, unit binary").select("node", "unit")
-            compared = _blocks(_salted(around.join(single, "node"), ["pivot"], 2 * BLOCK), ["pivot"]).select("members")
-            found = compared.mapInArrow(_best(near, keep), "u long, v long, sim float, tie boolean")
-            # only what beats the end of a list, or ties, goes on
-            last = lists.select(F.col("node").alias("u"), F.when(F.size("list") < keep, F.lit(-2.0)).otherwise(F.element_at("list", -1)["sim"]).alias("last"))
-            found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
-            found = found.join(last, "u").where((F.col("sim") > F.col("last")) | (F.col("sim") >= near) | F.col("tie")).select("u", "v", "sim", "tie")
-            was, lists = lists, materialize(_lists(flat.unionByName(found), near, keep), "lists")
-            fresh = materialize(_flat(lists).select("u", "v").join(_flat(was).select("u", "v"), ["u", "v"], "left_anti"), "fresh")
-            changed = fresh.count()
-            ties = ties.unionByName(_tied(lists))
-        edges = _flat(lists)
-        links = edges.where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ties)
+        fresh, suggested = _flat(lists).select("u", "v"), False
         while True:
-            groups = _with_roots(links)
+            lists, found, some = _descended(units, lists, fresh, near, keep)
+            ties = ties.unionByName(found)
+            links = _flat(lists).where(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ties)
+            groups = materialize(_with_roots(links), "groups")
+            # what is joined so far goes on as stars
+            ties = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            if suggested and not some:
+                break
             number += 1
-            coded = forest(number).join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+            coded = forest(number, trees).join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node"))
             blocks = _blocks(_salted(coded, ["tree", "code"], 2 * BLOCK), ["tree", "code"], "comp").select("members")
-            more = materialize(blocks.mapInArrow(_between(near), "a long, b long"), "between")
+            more = materialize(blocks.mapInArrow(_between(near), "a long, b long"), "suggestions")
             if not more.limit(1).count():
                 break
-            # what is joined so far goes on as stars
-            links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        ties = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            fresh, suggested = more.select(F.col("a").alias("u"), F.col("b").alias("v")), True
         counts = _exact(units, groups, threshold)
         recall, audited = _audit(units, counts, threshold, AUDIT)
         if recall >= TARGET:

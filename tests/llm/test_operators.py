@@ -557,6 +557,31 @@ def test_embeddings_failed_search_is_not_returned(spark, monkeypatch):
     assert recall == 1 and {r.vec_id: r.n_links for r in out.collect()} == dict(enumerate(brute_links(x).tolist()))
 
 
+def test_embeddings_links_come_from_the_rounds(spark, monkeypatch):
+    """150 isolated pairs and a cluster among 2,500 vectors: with the rounds the search ends before everything is compared
+    with everything, without them it does not."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((2500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((150, 64))
+    side -= (side * x[:300:2]).sum(axis=1, keepdims=True) * x[:300:2]
+    x[1:300:2] = 0.92 * x[:300:2] + np.sqrt(1 - 0.92**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x[1000:1300] = x[1000] + 0.035 * rng.standard_normal((300, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    groups, real = [], embeddings._exact
+    monkeypatch.setattr(embeddings, "_exact", lambda units, some, threshold: groups.append(some.select("component").distinct().count()) or real(units, some, threshold))
+    out, recall, _ = embeddings.near_embeddings(df)
+    want = brute_links(x)
+    found = sum(r.n_links for r in out.collect())
+    assert len(groups) == 1 and recall >= 0.97 and found >= 0.97 * want.sum()
+    groups.clear()
+    monkeypatch.setattr(embeddings, "ROUNDS", 0)
+    monkeypatch.setattr(embeddings, "RESTARTS", 1)
+    out, recall, _ = embeddings.near_embeddings(df)
+    # what one tree finds is not enough: all vectors of one length were compared in the end
+    assert len(groups) == 2 and groups[1] == 1 and recall == 1
+
+
 def test_embeddings_query_tells_its_recall(spark):
     row = embeddings.query(spark, "/root/testdata/sf0.001").first()
     assert row.recall >= 0.9 and row.audited_links >= 0
