@@ -59,10 +59,13 @@ def limit_type(message: Column) -> Column:
     )
 
 
+#: Fixed value: how a limit message tells its reset, a format.
+RESET_FORMAT = r"(?i)·\s*resets\s+(\S+?)(?:\s+\(([^)]+)\))?(?:\s|$)"
+
+
 def parse_reset(message: Column) -> Column:
     """``{time@zone}``, ``{time}`` or null."""
-    pattern = r"(?i)·\s*resets\s+(\S+?)(?:\s+\(([^)]+)\))?(?:\s|$)"
-    time, zone = F.regexp_extract(message, pattern, 1), F.regexp_extract(message, pattern, 2)
+    time, zone = F.regexp_extract(message, RESET_FORMAT, 1), F.regexp_extract(message, RESET_FORMAT, 2)
     return F.when(time != "", F.when(zone != "", F.concat(F.lit("{"), time, F.lit("@"), zone, F.lit("}"))).otherwise(F.concat(F.lit("{"), time, F.lit("}"))))
 
 

@@ -20,11 +20,12 @@ def drop_parent_replays(rows: DataFrame) -> DataFrame:
     """An agent's row goes if its parent session has the same request.
 
     A session's rows and its agents' rows of one request meet in one small
-    group, so the rows are read once; rows without a request are dealt by line.
+    group, so the rows are read once; rows without a request (null or blank) all stay and are dealt by line.
     """
-    request = Window.partitionBy(F.coalesce("parent", "sid"), "req", F.when(F.col("req").isNull(), F.col("line")))
+    unknown = F.coalesce(F.col("req"), F.lit("")) == ""
+    request = Window.partitionBy(F.coalesce("parent", "sid"), "req", F.when(unknown, F.col("line")))
     in_main = F.coalesce(F.max(F.col("parent").isNull()).over(request), F.lit(False))
-    return rows.withColumn("_in_main", in_main).where("parent is null or req is null or not _in_main").drop("_in_main")
+    return rows.withColumn("_in_main", in_main).where(F.col("parent").isNull() | unknown | ~F.col("_in_main")).drop("_in_main")
 
 
 def count_request_once(rows: DataFrame) -> DataFrame:

@@ -63,16 +63,29 @@ def idle_turn_cost(rows: DataFrame, gap: int = 60, key: str = "sid") -> DataFram
     return part.withColumn("turn_cost_e8", F.sum("cost_e8").over(Window.partitionBy(key, "turn").orderBy("ts_s", "line")))
 
 
-def burn_intervals(samples: DataFrame, keys: list[str], points: float = 5.0) -> DataFrame:
-    """Runs end at a fall of the limit's reading below half or a pause of two hours; on a run's upper
-    envelope an interval is cut each time ``points`` have come together."""
+def in_burn_runs(samples: DataFrame, keys: list[str], pause: int = 7200, drop: float = 8.0, ahead: int = 3) -> DataFrame:
+    """Adds run. A run ends at a pause of more than ``pause`` seconds, or at a fall of more than ``drop`` points that
+    is confirmed: none of the next ``ahead`` readings comes back to within ``drop`` of the value before."""
     order = Window.partitionBy(*keys).orderBy("ts_s", "line")
-    lag_t, lag_p = F.lag("ts_s").over(order), F.lag("used_percent").over(order)
-    ahead = F.max("used_percent").over(order.rowsBetween(0, 3))
-    marked = samples.withColumns({"_t": lag_t, "_p": lag_p, "_ahead": ahead})
-    fell = (F.col("_p") - F.col("used_percent") > 8) & (F.col("_ahead") < F.col("_p") - 8)
-    fresh = F.col("_t").isNull() | (F.col("ts_s") - F.col("_t") > 7200) | fell
-    marked = marked.withColumn("_fresh", fresh.cast("int")).withColumn("run", F.sum("_fresh").over(order))
+    before = F.lag("used_percent").over(order)
+    highest = F.max("used_percent").over(order.rowsBetween(0, ahead))
+    marked = samples.withColumns({"_pause": F.col("ts_s") - F.lag("ts_s").over(order), "_fall": before - F.col("used_percent"), "_stays": highest < before - drop})
+    fresh = F.col("_pause").isNull() | (F.col("_pause") > pause) | ((F.col("_fall") > drop) & F.col("_stays"))
+    marked = marked.withColumn("_fresh", fresh.cast("int"))
+    return marked.withColumn("run", F.sum("_fresh").over(order)).drop("_pause", "_fall", "_stays", "_fresh")
+
+
+def burn_runs(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """The runs with their times, readings, first and highest value."""
+    at = F.struct("ts_s", "line")
+    return in_burn_runs(samples, keys).groupBy(*keys, "run").agg(
+        F.min("ts_s").alias("start"), F.max("ts_s").alias("end"), F.count(F.lit(1)).alias("readings"), F.min_by("used_percent", at).alias("first"), F.max("used_percent").alias("top")
+    )
+
+
+def burn_intervals(samples: DataFrame, keys: list[str], points: float = 5.0) -> DataFrame:
+    """On the upper envelope of a run (W24) an interval is cut each time ``points`` have come together."""
+    marked = in_burn_runs(samples, keys)
     within = Window.partitionBy(*keys, "run").orderBy("ts_s", "line")
     top = marked.withColumn("top", F.max("used_percent").over(within)).groupBy(*keys, "run", "top").agg(F.min("ts_s").alias("at"))
     steps = top.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("top", "at"))).alias("s"))
@@ -99,9 +112,19 @@ def foreign_usage_filter(intervals: DataFrame, most: float = 1.0) -> DataFrame:
 
 
 def drop_near_resets(windows: DataFrame, resets: DataFrame, near: int = 3600) -> DataFrame:
-    """Windows that start within ``near`` seconds of an announced reset go; announcements are a small table."""
-    close = F.abs(windows["start"] - resets["reset"]) <= near
-    return windows.join(F.broadcast(resets), close, "left_anti")
+    """Windows that start within ``near`` seconds of an announced reset go. Resets are given to the buckets of time
+    around them, so the join is by equality and neither side has to be small."""
+    bucket = lambda t: F.floor(t / max(near, 1)).cast("long")
+    spread = resets.select("reset", F.explode(F.expr("sequence(-1, 1)")).alias("_d")).select("reset", (bucket(F.col("reset")) + F.col("_d")).alias("_bucket"))
+    left = windows.withColumn("_at", bucket(F.col("start")))
+    close = (left["_at"] == spread["_bucket"]) & (F.abs(left["start"] - spread["reset"]) <= near)
+    return left.join(spread, close, "left_anti").drop("_at")
+
+
+def exclude_event_days(windows: DataFrame, days: DataFrame, start: str = "start") -> DataFrame:
+    """M4: windows that start on a day (since 1970) with an announced event go before a rate is fitted."""
+    dated = windows.withColumn("_day", F.floor(F.col(start) / 86400).cast("long"))
+    return dated.join(days.select(F.col("day").cast("long").alias("_day")).distinct(), "_day", "left_anti").select(*windows.columns)
 
 
 def limit_ratio(windows: DataFrame, period: str) -> DataFrame:

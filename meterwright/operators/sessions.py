@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import scalars as S
 from .ledger import all_tokens
+from .restore import marked_transcripts, restore_sections, verbatim_tail  # noqa: F401
 
 
 def list_sessions(sessions: DataFrame, limit: int = 10, offset: int = 0, exclude: list[str] = (), source: str | None = None) -> DataFrame:
@@ -282,14 +283,6 @@ def ledger_segments(entries: DataFrame) -> DataFrame:
     return entries.groupBy("sid", "batch").agg(F.array_sort(F.collect_list(F.struct("line", "role", "text"))).alias("entries"))
 
 
-def verbatim_tail(lines: DataFrame, exchanges: int = 2, cap: int = 4000) -> DataFrame:
-    """The last exchanges of a session, newest kept first under a token cap."""
-    back = Window.partitionBy("sid").orderBy(F.desc("line"))
-    asked = F.sum((F.col("role") == "user").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    used = F.sum(S.est_tokens_b(F.col("text"))).over(back)
-    return lines.withColumns({"_asked": F.coalesce(asked, F.lit(0)), "used": used}).where((F.col("_asked") < exchanges) & (F.col("used") <= cap)).drop("_asked")
-
-
 def abbreviated_dialogue(lines: DataFrame) -> DataFrame:
     """Neighbouring lines of one role are joined and folded; pointers to pointers are reduced to the innermost."""
     order = Window.partitionBy("sid").orderBy("line")
@@ -301,7 +294,7 @@ def abbreviated_dialogue(lines: DataFrame) -> DataFrame:
 
 
 def compact_transcripts(lines: DataFrame) -> DataFrame:
-    """One row per turn: preview, line range, and previews of the replies with their structure counts."""
+    """One row per turn: markers, preview, line range, and previews of the replies with their structure counts."""
     from .turns import group_turns
 
     cleaned = lines.withColumn("text", S.strip_boilerplate(F.col("text"))).where("text <> ''")
@@ -311,15 +304,5 @@ def compact_transcripts(lines: DataFrame) -> DataFrame:
         n = S.structure_counts(r["text"])
         return F.struct(r["line"].alias("line"), S.truncate_reply(r["text"]).alias("text"), n["code"].alias("code"), n["table"].alias("table"), n["list"].alias("list"))
 
-    return turns.withColumn("preview", S.truncate_user(S.abstract_structures(F.col("text")))).withColumn("replies", F.transform("replies", preview)).drop("text")
-
-
-def restore_sections(entries: DataFrame, budget: int) -> DataFrame:
-    """T5: entries of sections by priority under one budget; an entry that does not fit verbatim is tried folded, else left out."""
-    folded = S.fold(F.col("text"), 200, 100, 100)
-    sized = entries.withColumns({"folded": folded, "n": S.est_tokens_a(F.col("text")), "m": S.est_tokens_a(folded)})
-    order = Window.partitionBy("sid").orderBy("priority", F.desc("line"))
-    sized = sized.withColumn("verbatim", F.sum("n").over(order) <= budget)
-    cost = F.when(F.col("verbatim"), F.col("n")).otherwise(F.col("m"))
-    sized = sized.withColumn("used", F.sum(cost).over(order))
-    return sized.where(F.col("used") <= budget).select("sid", "priority", "line", F.when(F.col("verbatim"), F.col("text")).otherwise(F.col("folded")).alias("text"), "used")
+    shown = turns.withColumn("preview", S.truncate_user(S.abstract_structures(F.col("text")))).withColumn("replies", F.transform("replies", preview)).drop("text")
+    return marked_transcripts(shown, lines)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,26 +51,33 @@ def anchored_blocks(rows: DataFrame, keys: list[str], length: int = FIVE_HOURS,
 
 
 def anchors(rows: DataFrame, keys: list[str], length: int = FIVE_HOURS, time: str = "ts_s") -> DataFrame:
-    """The starts of W3's blocks.
+    """The starts of W3's blocks, in order of time along the distinct seconds of each key.
 
-    A row that comes ``length`` or more after the one before it always starts a
-    block, so stretches between such gaps are folded on their own; a fold sees
-    the distinct seconds of one busy stretch only.
+    The walk holds one start and no list, whatever the stretch: a round-the-clock account costs no more memory than
+    another one. One key is walked by one task, as each block's start needs the one before; it has at most 86,400 seconds a day. Rows without a
+    time are in no block.
     """
-    seconds = rows.select(*keys, F.col(time).alias("_t")).distinct()
-    order = Window.partitionBy(*keys).orderBy("_t")
-    gap = F.col("_t") - F.lag("_t").over(order)
-    islands = seconds.withColumn("_gap", gap).withColumn("_island", F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") >= length), 1).otherwise(0)).over(order))
-    stretches = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-    stretches = stretches.withColumn(
-        "_anchors",
-        F.aggregate(
-            "_ts",
-            F.array().cast("array<bigint>"),
-            lambda acc, t: F.when((F.size(acc) > 0) & (t < F.element_at(acc, -1) + length), acc).otherwise(F.concat(acc, F.array(t))),
-        ),
-    )
-    return stretches.select(*keys, F.explode("_anchors").alias("start"))
+    seconds = rows.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("long").alias("start")).distinct()
+    order = seconds.repartition(*keys).sortWithinPartitions(*keys, "start")
+    return order.mapInArrow(_walk(keys, length), order.schema)
+
+
+def _walk(keys: list[str], length: int):
+    """Sorted (keys, start) -> the rows in which a block starts."""
+
+    def work(batches):
+        key, until = None, None
+        for batch in batches:
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            found = []
+            for k, (now, t) in enumerate(zip(own, batch.column("start").to_pylist(), strict=True)):
+                if until is None or now != key or t >= until:
+                    found.append(k)
+                    key, until = now, t + length
+            if found:
+                yield batch.take(pa.array(found))
+
+    return work
 
 
 def window_or_block(rows: DataFrame, windows: DataFrame, keys: list[str], length: int = FIVE_HOURS, time: str = "ts_s") -> DataFrame:
@@ -120,16 +128,15 @@ def samples_to_windows(samples: DataFrame, windows: DataFrame, keys: list[str])
 
 
 def used_in_span(samples: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """From the last value before a span (else its first inside) to the last value inside; spans are a small table."""
-    near = samples.join(F.broadcast(spans), [*keys]).where("ts_s < span_end")
-    inside = F.col("ts_s") >= F.col("span_start")
-    at = F.struct("ts_s", "line")
-    per = near.groupBy(*keys, "span_start", "span_end").agg(
-        F.max_by("used_percent", F.when(~inside, at)).alias("before"),
-        F.min_by("used_percent", F.when(inside, at)).alias("first_inside"),
-        F.max_by("used_percent", F.when(inside, at)).alias("last_inside"),
-    )
-    return per.where("last_inside is not null").withColumn("used", F.col("last_inside") - F.coalesce("before", "first_inside"))
+    """From the last value before a span (else its first inside) to the last value inside. Three as-of joins, so
+    neither side is sent whole and no key's samples meet all of its spans."""
+    values = samples.select(*keys, "ts_s", "line", "used_percent", (-F.col("ts_s")).alias("_neg"), (-F.col("line")).alias("_line"))
+    ends = spans.withColumns({"_b": F.col("span_start") - 1, "_e": F.col("span_end") - 1, "_s": -F.col("span_start")})
+    held = last_before(ends, values, keys, "_b", "ts_s", {"used_percent": "before"}, ["line"])
+    held = last_before(held, values, keys, "_e", "ts_s", {"used_percent": "last_inside", "ts_s": "_last_at"}, ["line"])
+    held = last_before(held, values, keys, "_s", "_neg", {"used_percent": "first_inside"}, ["_line"])
+    held = held.where("_last_at >= span_start").withColumn("used", F.col("last_inside") - F.coalesce("before", "first_inside"))
+    return held.select(*keys, "span_start", "span_end", "before", "first_inside", "last_inside", "used")
 
 
 def tile_from_anchor(rows: DataFrame, anchor_s: int, length: int = FIVE_HOURS) -> DataFrame:
