@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates
 from ..operators import accounts, ledger, pricing, windows
+from ..sources.committed import committed
 from . import adapter
 from .adapter import accounted, priced_usage, settled, sql, usage
 
@@ -15,9 +16,11 @@ CUTOFF = 1704067200 + 10 * 86400
 
 
 def _windowed(spark, d):
-    """Ledger rows in stated or anchored windows of their account."""
+    """Ledger rows in stated or anchored windows of their account. The rows are needed for the blocks and for what falls in
+    them, and the windows by several aggregates, so both are computed once."""
     split = windows.split_intervals(adapter.stated_starts(spark, d), ["account"])
-    return windows.window_or_block(accounted(spark, d), split, ["account"])
+    rows = committed(accounted(spark, d), "accounted")
+    return committed(windows.window_or_block(rows, split, ["account"]), "windowed")
 
 
 def _chunks(spark, d):
