@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import join_counted, materialize, release_memory, small_side, tidy
+from ._common import hex_digest, join_counted, materialize, release_memory, small_side, tidy
 from ._words import first_of_equal, second_hashes, window_hashes, word_hashes, words_of
 
 WINDOW = 20
@@ -271,7 +271,7 @@ def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def find_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(doc_id, tie of texts that equal one of a lower doc_id; doc_id, tie, times of other rows that are there several times; bytes of all texts)."""
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")
+    digest = hex_digest(F.coalesce("text", F.lit(""))).alias("h")
     light = materialize(_keyed(docs).select("doc_id", "tie", digest, F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")), "texts")
     first = light.groupBy("h").agg(F.min(F.struct("doc_id")).alias("f"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h", "rows", F.col("f.doc_id").alias("ref_doc"))
     total = light.count()
