@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import common_keys, join_counted, materialize, small_side, tidy
+from ._common import common_keys, hex_digest, join_counted, materialize, small_side, tidy
 from ._graph import components
 from ._words import first_of_equal, shingle_set
 
@@ -50,6 +50,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Sets in a block, about, and the least members of a cluster whose first one speaks for it.
 BLOCK, FAMILY = 128, 8
+#: Shingles in a block, about (8 bytes each): a block of longer sets has fewer of them, but for a single one.
+BLOCK_TOKENS = 4_000_000
+#: Columns of a matrix of sets that are held at once.
+COLUMNS = 65_536
 
 
 def overlap_needed(n, percent: int = PERCENT):
@@ -122,18 +126,35 @@ def _token_sets(shingle: int):
     return work
 
 
-def _matrix(sets: list[np.ndarray], union: np.ndarray) -> np.ndarray:
-    """0/1 rows of the sets over the union's columns; elements outside are left out."""
-    out = np.zeros((len(sets), len(union)), dtype=np.float32)
-    for k, s in enumerate(sets if len(union) else []):
-        at = np.searchsorted(union, s)
-        at[at == len(union)] = 0
-        out[k, at[union[at] == s]] = 1
+def _shared(a: list[np.ndarray], b: list[np.ndarray], union: np.ndarray) -> np.ndarray:
+    """Shared elements of each set of ``a`` with each of ``b`` among those of ``union`` (all sorted): products of 0/1
+    matrices over ``COLUMNS`` columns at a time, so memory does not grow with the sets."""
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    for k in range(0, len(union), COLUMNS):
+        columns = union[k : k + COLUMNS]
+        x = _matrix(a, columns)
+        out += np.rint(x @ (x if b is a else _matrix(b, columns)).T).astype(np.int64)
+    return out
+
+
+def _held(tokens: np.ndarray, union: np.ndarray) -> int:
+    """How many of the tokens the union holds."""
+    at = np.searchsorted(union, tokens)
+    inside = at < len(union)
+    return int((union[at[inside]] == tokens[inside]).sum())
+
+
+def _matrix(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """0/1 rows of the sets over some columns; elements outside are left out."""
+    out = np.zeros((len(sets), len(columns)), dtype=np.float32)
+    for k, s in enumerate(sets):
+        s = s[np.searchsorted(s, columns[0]) : np.searchsorted(s, columns[-1], side="right")]
+        at = np.searchsorted(columns, s)
+        out[k, at[columns[at] == s]] = 1
     return out
 
 
 def _linked(shared: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    shared = shared.astype(np.int64)
     return 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
 
 
@@ -156,8 +177,7 @@ def _sets(row_tokens) -> list[np.ndarray]:
 def _inner(sets: list[np.ndarray], ns: np.ndarray, percent: int) -> np.ndarray:
     """Classes within a block; shingles of one member only need no column."""
     union, held = np.unique(np.concatenate(sets), return_counts=True)
-    m = _matrix(sets, union[held > 1])
-    return _classes(_linked(m @ m.T, ns, ns, percent))
+    return _classes(_linked(_shared(sets, sets, union[held > 1]), ns, ns, percent))
 
 
 def _block_links(percent: int):
@@ -170,7 +190,9 @@ def _block_links(percent: int):
                 ids, ns = np.array([m["doc_id"] for m in members]), np.array([m["n"] for m in members])
                 label = _inner(_sets(m["tokens"] for m in members), ns, percent)
                 far = label != np.arange(len(label))
-                yield pa.RecordBatch.from_arrays([ids[far], ids[label[far]]], names=["a", "b"])
+                # where a block has no room for a family, one link tells as much as a family's
+                weight = FAMILY - 1 if len(members) < FAMILY and 2 * FAMILY * ns.max() > BLOCK_TOKENS else 1
+                yield pa.RecordBatch.from_arrays([ids[far], ids[label[far]], np.full(int(far.sum()), weight, np.int32)], names=["a", "b", "weight"])
 
     return work
 
@@ -251,11 +273,10 @@ def _open(percent: int):
                 sets, qsets = _sets(m["tokens"] for m in members), _sets(m["tokens"] for m in queries)
                 ns, qn = np.array([m["n"] for m in members]), np.array([m["n"] for m in queries])
                 both = np.intersect1d(np.concatenate(sets), np.concatenate(qsets))  # each token once
-                q = _matrix(qsets, both)
-                good = q.sum(axis=1) >= overlap_needed(qn, percent)  # the query-group bound
+                good = np.array([_held(x, both) for x in qsets]) >= overlap_needed(qn, percent)  # the query-group bound
                 if not good.any():
                     continue
-                links = _linked(q[good] @ _matrix(sets, both).T, qn[good], ns, percent)
+                links = _linked(_shared([x for x, g in zip(qsets, good, strict=True) if g], sets, both), qn[good], ns, percent)
                 if not links.any():
                     continue
                 label = _inner(sets, ns, percent)
@@ -273,12 +294,12 @@ _ARROW_MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()),
 
 def set_table(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(every row's doc_id and text digest; every distinct text: doc_id, h, n, key, key2, hits, grp; rows of each text digest that has several)."""
-    light = materialize(docs.select(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")), "texts")
+    light = materialize(docs.select(F.col("doc_id").cast("long"), hex_digest(F.coalesce("text", F.lit(""))).alias("h")), "texts")
     first = light.where("doc_id is not null").groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     first = materialize(first.where("rows > 1"), "first-texts")
     copies = join_counted(light, first, "h", "rows", light.count()).where("doc_id > first").select("doc_id", "h").distinct()
     copies = materialize(copies, "copies")
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).where("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", hex_digest(F.coalesce("text", F.lit(""))).alias("h")).where("doc_id is not null")
     texts = texts.join(small_side(copies), ["doc_id", "h"], "left_anti")
     rows = texts.select("doc_id", "text", "h").mapInArrow(tidy(_scan(shingle, percent)), _SCHEMA)
     held = F.sum("weight").over(Window.partitionBy("token", "salt"))
@@ -301,8 +322,8 @@ def links(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: in
     equal = table.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # fewest shared shingles in the prefix: a partner may be as small as ceil(n * percent / 100), and its l is a tenth of that
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
-    ask = table.where((F.col("doc_id") == F.col("rep")) & (F.col("hits") >= need)).select("doc_id", "key", "grp")
-    ask = materialize(_salted(ask, block), "asked")
+    ask = table.where((F.col("doc_id") == F.col("rep")) & (F.col("hits") >= need)).select("doc_id", "key", "grp", "n")
+    ask = materialize(_salted(ask, block).drop("n"), "asked")
     n_ask = ask.count()
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ask, n_ask), "doc_id")
     sets = texts.select("doc_id", "text", "key", "grp", "salt").mapInArrow(tidy(_token_sets(shingle)), "doc_id long, grp long, salt int, n long, tokens binary")
@@ -310,8 +331,9 @@ def links(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: in
 
 
 def _salted(rows: DataFrame, block: int) -> DataFrame:
-    """Adds ``salt``: groups of more than ``block`` sets are cut by hash."""
-    per = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    """Adds ``salt``: groups of more than ``block`` sets, or more than ``BLOCK_TOKENS`` shingles (n), are cut by hash."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_TOKENS))
+    per = rows.groupBy("grp").agg(parts.alias("parts"))
     return rows.join(per, "grp").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
 
 
@@ -320,13 +342,14 @@ def _link_sets(sets: DataFrame, percent: int, block: int) -> DataFrame:
     member = F.struct("doc_id", "n", "tokens")
     blocks = sets.groupBy("grp", "salt").agg(F.collect_list(member).cast(_MEMBERS).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
     blocks = materialize(blocks.withColumn("block", F.xxhash64("grp", "salt")).select("block", "grp", "least", "most", "members"), "blocks")
-    found = materialize(blocks.select("members").mapInArrow(tidy(_block_links(percent)), "a long, b long"), "inner-links")
-    # the first ones of large clusters are linked first; each time there are at most one in FAMILY left
-    first = materialize(found.groupBy("b").count().where(F.col("count") >= FAMILY - 1).select(F.col("b").alias("doc_id")), "first-ones")
+    found = materialize(blocks.select("members").mapInArrow(tidy(_block_links(percent)), "a long, b long, weight int"), "inner-links")
+    # the first ones of large clusters are linked first; each time there are at most half of them left
+    first = materialize(found.groupBy("b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= FAMILY - 1).select(F.col("b").alias("doc_id")), "first-ones")
+    found = found.select("a", "b")
     n_first = first.count()
-    if n_first > block:
+    if n_first > block or n_first > 1 and blocks.agg(F.max("most")).first()[0] * n_first > BLOCK_TOKENS:
         inside = blocks.select("grp", F.explode("members").alias("m")).select("grp", "m.*").join(small_side(first, n_first), "doc_id", "left_semi")
-        salts = _salted(inside.select("doc_id", "grp"), block).select("doc_id", "salt")
+        salts = _salted(inside.select("doc_id", "grp", "n"), block).select("doc_id", "salt")
         found = found.unionByName(_link_sets(inside.join(small_side(salts, n_first), "doc_id"), percent, block))
     # a block whose members are all in one component bears its name, any other a name of its own
     each = blocks.select("block", F.explode("members.doc_id").alias("doc_id")).join(components(found), F.col("doc_id") == F.col("node"), "left")
@@ -388,7 +411,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     gone = materialize(judged.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
     # a whole row is one column from here on, so none of its names meets one of ours
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    held = held.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("row.text", F.lit("")).cast("binary")).alias("h"))
+    held = held.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), hex_digest(F.coalesce("row.text", F.lit(""))).alias("h"))
     kept = held.join(small_side(gone), "doc_id", "left_anti")
     several = kept.where("doc_id is not null").groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
     several = small_side(materialize(several, "repeated"))
