@@ -182,18 +182,103 @@ def text_line_index(lines: DataFrame, chars: int = 120) -> DataFrame:
     return lines.where(F.col("role").isin("user", "assistant")).select("sid", "line", "role", F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, chars).alias("head"))
 
 
+#: Cells (words times queries) up to which a block of queries is one matrix in a task's memory, and turns that are scored at once.
+QUERY_CELLS, TURN_BLOCK = 4_000_000, 256
+
+
+def _words(text) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
 def topic_turns(turns: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Turns (id, text) ranked for queries (query, text) by tf-idf of the shared words; top k each.
 
-    Query words are few; turns are joined by word, and common words weigh next to nothing.
+    No word is a key of a join, however common it is. The words asked for are counted in one pass over the turns; in
+    another each turn is multiplied with the queries, and a task gives its own best k of each query only. Queries come in
+    blocks, each a matrix of bounded size, so there may be many of them: a block costs a pass.
     """
-    words = lambda df, key: df.select(key, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
-    tf = words(turns, "id").groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    asked = words(queries, "query").distinct()
-    known = tf.join(asked.select("word").distinct(), "word", "left_semi")
-    n = turns.agg(F.count(F.lit(1)).alias("n"))
-    df = known.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))
-    weight = df.select("word", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
-    scored = known.join(weight, "word").join(asked, "word").groupBy("query", "id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
+    asked = queries.select("query", F.explode(_words("text")).alias("word")).where("word <> ''").distinct()
+    blocks = _query_blocks(asked)
+    out = None
+    for names, words, matrix in blocks:
+        best = _scored(turns, names, words, matrix, k)
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        return turns.select("id").join(queries.select("query").limit(0), F.lit(True)).select("query", "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _query_blocks(asked: DataFrame):
+    """(query, word) rows, ordered by query and read bit by bit -> (queries, words, 0/1 matrix words x queries) of bounded size."""
+    import numpy as np
+
+    names: list = []
+    held: list[tuple[int, str]] = []
+    words: dict[str, int] = {}
+
+    def block():
+        matrix = np.zeros((len(words), len(names)))
+        for q, w in held:
+            matrix[words[w], q] = 1
+        return list(names), list(words), matrix
+
+    for r in asked.orderBy("query", "word").toLocalIterator():
+        if not names or r["query"] != names[-1]:
+            if names and (len(words) + 1000) * (len(names) + 1) > QUERY_CELLS:
+                yield block()
+                names, held, words = [], [], {}
+            names.append(r["query"])
+        words.setdefault(r["word"], len(words))
+        held.append((len(names) - 1, r["word"]))
+    if names:
+        yield block()
+
+
+def _scored(turns: DataFrame, names: list, words: list[str], matrix, k: int) -> DataFrame:
+    """query, id, score: of every task the best k of each query, ties and all."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    known = pa.array(words)
+    kind = turns.schema["id"].dataType.simpleString()
+
+    def counts(batch):
+        """Blocks of turns: (ids, turns x words counts)."""
+        for start in range(0, batch.num_rows, TURN_BLOCK):
+            some = batch.slice(start, TURN_BLOCK)
+            lists = some.column("words")
+            at = pc.index_in(lists.flatten(), value_set=known)
+            row = np.repeat(np.arange(some.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            there = at.is_valid().to_numpy(zero_copy_only=False)
+            cell = row[there] * len(words) + at.drop_null().to_numpy()
+            yield some.column("id"), np.bincount(cell, minlength=some.num_rows * len(words)).reshape(some.num_rows, len(words))
+
+    def holding(batches):
+        total = np.zeros(len(words), dtype=np.int64)
+        for batch in batches:
+            for _, n in counts(batch):
+                total += (n > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words)), pa.int32()), pa.array(total)], names=["word", "df"])
+
+    listed = turns.select("id", _words("text").alias("words"))
+    df = np.zeros(len(words))
+    for r in listed.mapInArrow(holding, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).collect():  # one row a word of the block
+        df[r["word"]] = r["df"]
+    weighted = matrix * np.log((turns.count() + 1) / (df + 1))[:, None]
+
+    def best(batches):
+        held: list = [[] for _ in names]
+        for batch in batches:
+            for ids, n in counts(batch):
+                score, ids = n @ weighted, ids.to_pylist()
+                shared = (n > 0) @ matrix > 0  # a turn without a word of the query has no score
+                for q in range(len(names)):
+                    rows = np.flatnonzero(shared[:, q])
+                    held[q] = sorted([*held[q], *((-round(float(score[r, q]), 6), ids[r]) for r in rows)])[:k]
+        for q, rows in enumerate(held):
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(rows)), pa.array([i for _, i in rows]), pa.array([-s for s, _ in rows])], names=["query", "id", "score"])
+
+    return listed.where("id is not null").mapInArrow(best, f"query {'string' if isinstance(names[0], str) else 'long'}, id {kind}, score double")
