@@ -126,7 +126,7 @@ QUERIES = {
         lambda s, d: sessions.fold_segments(_turns(s, d).withColumn("role", F.when(F.col("role") == "user", "User").otherwise("Assistant"))).select("sid", "line", F.char_length("text").cast("long").alias("n")),
         None,
     ),
-    "t1_compact_transcripts": (lambda s, d: sessions.compact_transcripts(_turns(s, d)).select("sid", "turn", "from_line", "to_line", "preview", F.size("replies").alias("replies")), None),
+    "t1_compact_transcripts": (lambda s, d: sessions.compact_transcripts(_turns(s, d)).select("sid", "turn", "from_line", "to_line", "markers", "preview", F.size("replies").alias("replies")), None),
     "t9_dialogue": (lambda s, d: sessions.abbreviated_dialogue(_turns(s, d)).select("sid", "run", "role", "line", "text"), None),
     "t10_verbatim_tail": (lambda s, d: sessions.verbatim_tail(_turns(s, d)).select("sid", "line", "used"), None),
     "t5_restore_sections": (lambda s, d: sessions.restore_sections(_turns(s, d).withColumn("priority", F.when(F.col("role") == "user", 0).otherwise(1)), 800).select("sid", "line", "used"), None),

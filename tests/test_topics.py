@@ -99,3 +99,25 @@ def test_sql_functions_agree_with_their_columns(spark):
     for text, column in pairs.items():
         for r in df.select(F.expr(text).alias("a"), column.alias("b")).collect():
             assert r.a == r.b, text
+
+
+def test_burn_intervals_against_a_plain_walk(spark):
+    """Within a run the upper envelope is cut each time five points have come together."""
+    rng = random.Random(11)
+    samples, t = [], 0
+    for n in range(400):
+        t += rng.choice([60, 300, 900, 8000])
+        samples.append(("x", t, n, float(rng.randrange(0, 100)) if n % 40 == 0 else min(100.0, samples[-1][3] + rng.choice([0, 1, 2, -1, 3])) if samples else 0.0))
+    want, run, top, last = [], [], None, None
+    for k, (_, at, _, used) in enumerate(samples):
+        ahead = max(u for *_, u in samples[k : k + 4])
+        if last is None or at - last[0] > 7200 or (last[1] - used > 8 and ahead < last[1] - 8):
+            run, top = [(used, at)], used
+        elif used > top:
+            top = used
+            if used - run[-1][0] >= 5:
+                want.append((run[-1][1], at, used - run[-1][0]))
+                run.append((used, at))
+        last = (at, used)
+    df = spark.createDataFrame(samples, "lane string, ts_s long, line long, used_percent double")
+    assert sorted((r.start, r.end, r.rise) for r in limits.burn_intervals(df, ["lane"]).collect()) == sorted(want) and len(want) > 20
