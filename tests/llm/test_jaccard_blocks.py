@@ -43,8 +43,7 @@ def family(rng, base, n, changes):
     return out
 
 
-@pytest.mark.parametrize("tokens", [700, 3_000, 4_000_000])
-@pytest.mark.parametrize("columns", [50, 65_536])
+@pytest.mark.parametrize("tokens, columns", [(700, 50), (3_000, 65_536), (4_000_000, 50)])
 def test_blocks_by_shingles(spark, monkeypatch, tokens, columns):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", tokens)
     monkeypatch.setattr(jaccard, "COLUMNS", columns)
