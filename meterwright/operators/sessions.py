@@ -289,7 +289,7 @@ def abbreviated_dialogue(lines: DataFrame) -> DataFrame:
     fresh = F.coalesce(F.col("role") != F.lag("role").over(order), F.lit(True)).cast("int")
     runs = lines.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(order))
     joined = runs.groupBy("sid", "run").agg(F.first("role").alias("role"), F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    inner = F.regexp_replace("text", r"(?:L\d+->)+(L\d+)", "$1")
+    inner = F.regexp_replace("text", r"L\d+->(?=L\d)", "")
     return joined.withColumn("text", F.when(F.col("role") == "user", S.fold(inner, 500, 300, 200)).otherwise(S.fold(inner, 200, 100, 100)))
 
 

@@ -8,8 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from meterwright.functions import scalars
-from meterwright.operators import limits, turns, windows
+from meterwright.functions import scalars as S
+from meterwright.operators import limits, sessions, turns, windows
 
 
 def plain_topics(docs, queries, k):
@@ -89,12 +89,12 @@ def test_burn_runs_need_a_confirmed_drop(spark):
 
 
 def test_sql_functions_agree_with_their_columns(spark):
-    scalars.register(spark)
+    S.register(spark)
     df = spark.createDataFrame([(1, " Ab12é ", 200_000, 32_000, 80.0, 1767323045), (2, "x" * 50 + "日本", 1_000_000, 8_000, 0.0, 86_399)], "id long, t string, win long, out long, pct double, ts long")
     pairs = {
-        "account_hash(t)": scalars.account_hash(F.col("t")), "short_hash(t)": scalars.short_hash(F.col("t")), "redact('sid', t)": scalars.redact("sid", F.col("t")), "round2(pct / 7)": scalars.round2(F.col("pct") / 7),
-        "mask_digits(t)": scalars.mask_digits(F.col("t")), "project_key(t)": scalars.project_key(F.col("t")), "date_label(ts)": scalars.date_key(F.col("ts")), "time_label(ts)": scalars.time_label(F.col("ts")),
-        "est_tokens_a(t)": scalars.est_tokens_a(F.col("t")), "est_tokens_b(t)": scalars.est_tokens_b(F.col("t")), "compact_threshold(win, out, pct)": scalars.compact_threshold(F.col("win"), F.col("out"), F.col("pct")),
+        "account_hash(t)": S.account_hash(F.col("t")), "short_hash(t)": S.short_hash(F.col("t")), "redact('sid', t)": S.redact("sid", F.col("t")), "round2(pct / 7)": S.round2(F.col("pct") / 7),
+        "mask_digits(t)": S.mask_digits(F.col("t")), "project_key(t)": S.project_key(F.col("t")), "date_label(ts)": S.date_key(F.col("ts")), "time_label(ts)": S.time_label(F.col("ts")),
+        "est_tokens_a(t)": S.est_tokens_a(F.col("t")), "est_tokens_b(t)": S.est_tokens_b(F.col("t")), "compact_threshold(win, out, pct)": S.compact_threshold(F.col("win"), F.col("out"), F.col("pct")),
     }
     for text, column in pairs.items():
         for r in df.select(F.expr(text).alias("a"), column.alias("b")).collect():
@@ -121,3 +121,65 @@ def test_burn_intervals_against_a_plain_walk(spark):
         last = (at, used)
     df = spark.createDataFrame(samples, "lane string, ts_s long, line long, used_percent double")
     assert sorted((r.start, r.end, r.rise) for r in limits.burn_intervals(df, ["lane"]).collect()) == sorted(want) and len(want) > 20
+
+
+LONG = [
+    # a list of more lines than a stack has room for, wide and long tables, and their neighbours
+    ("- a\n" * 30_000 + "end", "[List]end"),
+    ("|a|b|\n|" + "-|" * 20_000 + "\n" + "|1|2|\n" * 30_000 + "end", "[Table]end"),
+    ("```\n" + "x\n" * 30_000 + "``` end", "[Code] end"),
+    # an open fence is none; three marks end a fence of four
+    ("a\n```\n- b", "a\n```\n- b"),
+    ("````\n```\n x", "[Code]\n x"),
+    ("```\n- a\n- b\n- c\n``` ```x``` ```", "[Code] [Code] ```"),
+    # blank lines and up to four blanks belong to a list; two lines are none; a line that is too long is no item
+    ("x\n\n- a\n\n- b\n  - c\n1) d\n\ny", "x\n[List]\ny"),
+    ("- a\n- b\n", "- a\n- b\n"),
+    ("- a\n- b\n- " + "c" * 501 + "\n- d", "- a\n- b\n- " + "c" * 501 + "\n- d"),
+    # a table needs its rule on the second line, with a line end; what follows a row on its line stays
+    ("|a|b|\n|---|---|", "|a|b|\n|---|---|"),
+    ("|a|b|\n|---|---|\n|1|2| rest\n", "[Table] rest\n"),
+    ("|a|\n|---|\n", "|a|\n|---|\n"),
+    # the line after a table is on the placeholder's line
+    ("|a|b|\n|---|---|\n- v\n- x\n- y\n- z\n", "[Table]- v\n[List]"),
+    ("", ""),
+]
+
+
+def test_structures_of_any_length(spark):
+    got = spark.createDataFrame(list(enumerate(t for t, _ in LONG)), "n long, t string").select("n", S.abstract_structures(F.col("t")).alias("a"))
+    assert [r.a for r in got.orderBy("n").collect()] == [a for _, a in LONG]
+
+
+def _plain_cut(text, head, tail, over, note):
+    """The rule of the cut, character by character."""
+    t = " ".join(text.split())
+    if len(t) <= over:
+        return t
+
+    def snap(at, order):
+        return next((p for p in order if 0 <= p < len(t) and t[p].isspace()), at)
+
+    k, b = head, len(t) - tail
+    a = snap(k, [k - i for i in range(6)] + [k + i for i in range(1, 6)])
+    b = snap(b, [b + i for i in range(6)] + [b - i for i in range(1, 6)])
+    return t[:a].strip() + note + t[b:].strip()
+
+
+def test_cuts_against_a_plain_rule(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab 漢\n") for _ in range(rnd.choice([0, 1, 199, 200, 201, 206, 499, 500, 501, 520, 4000]))) for _ in range(80)]
+    texts += ["x" * 201, "x" * 501, "y" * 100 + " " + "x" * 300, "word " * 1_000_000]
+    got = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", S.truncate_user(F.col("t")).alias("u"), S.truncate_reply(F.col("t")).alias("r"))
+    for row, text in zip(got.orderBy("n").collect(), texts, strict=True):
+        lines = max(1, text.count("\n") - 1)
+        assert row.u == _plain_cut(text, 300, 200, 500, f" ..[{lines}lines omitted].. ")
+        assert row.r == _plain_cut(text, 100, 100, 200, " [...truncated...] ")
+    none = spark.createDataFrame([(None,)], "t string").select(S.truncate_user(F.col("t")), S.truncate_reply(F.col("t")), S.abstract_structures(F.col("t"))).first()
+    assert tuple(none) == (None, None, None)
+
+
+def test_chains_of_pointers(spark):
+    lines = spark.createDataFrame([(1, 1, "user", "L1->" * 20_000 + "L7 a"), (1, 2, "assistant", "L1->L2->x"), (1, 3, "user", "L1-> L2")], "sid long, line long, role string, text string")
+    got = sessions.abbreviated_dialogue(lines).orderBy("line").collect()
+    assert [r.text for r in got] == ["L7 a", "L2->x", "L1-> L2"]
