@@ -9,7 +9,7 @@ from ..operators import ledger, sessions, windows
 from . import adapter
 from .adapter import accounted, settled, sql
 from .ledger_queries import HELD, SPLIT, _windowed, wsql
-from .text_queries import SAMPLES
+from .text_queries import SAMPLES, STRIP
 
 ALL = "input + cc + cr + out"
 
@@ -130,7 +130,10 @@ QUERIES = {
     "t9_dialogue": (lambda s, d: sessions.abbreviated_dialogue(_turns(s, d)).select("sid", "run", "role", "line", "text"), None),
     "t10_verbatim_tail": (lambda s, d: sessions.verbatim_tail(_turns(s, d)).select("sid", "line", "used"), None),
     "t5_restore_sections": (lambda s, d: sessions.restore_sections(_turns(s, d).withColumn("priority", F.when(F.col("role") == "user", 0).otherwise(1)), 800).select("sid", "line", "used"), None),
-    "p23_first_last": (lambda s, d: sessions.first_and_last_message(_turns(s, d)), None),
+    "p23_first_last": (
+        lambda s, d: sessions.first_and_last_message(_turns(s, d)),
+        "SELECT conv_id AS sid, arg_min(t, turn) AS first_text, arg_max(t, turn) AS last_text, count(*)::BIGINT AS messages FROM (SELECT conv_id, turn, " + STRIP.format("text") + " AS t FROM conversations WHERE role = 'user') WHERE t <> '' GROUP BY conv_id",
+    ),
 }
 
 
