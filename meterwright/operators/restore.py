@@ -158,7 +158,7 @@ def verbatim_tail(lines: DataFrame, exchanges: int = 2, cap: int = 4000) -> Data
     tail = tail.withColumns({"_all": F.sum("_n").over(whole), "_first": F.min("line").over(whole)})
     opening = (F.col("line") == F.col("_first")) & (F.col("role") == "user")
     tail = tail.withColumn("_opening", opening)
-    reserve = F.least(F.max(F.when(F.col("_opening"), F.col("_n"))).over(whole), F.lit(cap // 2))
+    reserve = F.max(F.when(F.col("_opening"), F.least(F.col("_n"), F.lit(cap // 2)))).over(whole)
     newer = F.sum(F.when(F.col("_opening"), 0).otherwise(F.col("_n"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     tail = tail.withColumns({"_reserve": F.coalesce(reserve, F.lit(0)), "_newer": F.coalesce(newer, F.lit(0))})
     over = F.col("_all") > cap

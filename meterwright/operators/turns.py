@@ -101,17 +101,22 @@ def attach_nearest(items: DataFrame, rows: DataFrame, key: str, time: str = "ts_
     return both.withColumn("nearest", F.when(ahead & F.col("_ahead").isNotNull(), F.col("_ahead")).otherwise(F.col("_back"))).drop("_k", "_neg", "_back", "_back_t", "_ahead", "_ahead_t")
 
 
+#: Stretches of one session that are settled together.
+STRETCHES = 64
+
+
 def merge_nearest_once(marks: DataFrame, agents: DataFrame, most: int = 600) -> DataFrame:
     """Marks in order, each takes the nearest agent of its session that is still free, at most ``most`` seconds away.
 
-    Sessions are cut where both sides together pause for longer than that, and each stretch is settled
-    in one grouped task; a mark finds the free times around it without a scan. Rows without a time meet nothing.
+    Sessions are cut where both sides together pause for longer than that. A stretch that has marks only or agents only
+    has nothing to settle and goes no further; the others are settled in order, ``STRETCHES`` neighbouring ones in a
+    grouped task; a mark finds the free times around it without a scan. Rows without a time meet nothing.
     """
     from bisect import bisect_right
 
     import pandas as pd
 
-    def settle(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         waiting: dict[int, list] = {}
         for a in right.sort_values(["ts_s", "agent"], ascending=False).itertuples(index=False):
             waiting.setdefault(a.ts_s, []).append(a.agent)
@@ -142,10 +147,14 @@ def merge_nearest_once(marks: DataFrame, agents: DataFrame, most: int = 600) ->
     starts = F.coalesce((F.col("ts_s") - F.lag("ts_s").over(order) > most).cast("int"), F.lit(0))
     cut = both.withColumn("_new", starts).withColumn("_stretch", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
 
-    def settled(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return settle(key, rows[rows["mark"]], rows[~rows["mark"]])
+    stretch = Window.partitionBy("sid", "_stretch")
+    cut = cut.withColumn("_both", F.max("mark").over(stretch) & ~F.min("mark").over(stretch)).where("_both")
+    cut = cut.withColumn("_group", F.floor(F.col("_stretch") / STRETCHES))
+
+    def settled(rows: pd.DataFrame) -> pd.DataFrame:
+        return settle(rows[rows["mark"]], rows[~rows["mark"]])
 
-    return cut.select("sid", "_stretch", "ts_s", "line", "agent", "mark").groupBy("sid", "_stretch").applyInPandas(settled, "sid string, line long, agent string")
+    return cut.select("sid", "_group", "ts_s", "line", "agent", "mark").groupBy("sid", "_group").applyInPandas(settled, "sid string, line long, agent string")
 
 
 def group_turns(lines: DataFrame) -> DataFrame:

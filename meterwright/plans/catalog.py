@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ledger_queries, more_queries, record_queries, report_queries, session_queries, text_queries
+from . import ledger_queries, more_queries, record_queries, report_queries, sequence_queries, session_queries, text_queries
 
-MODULES = [ledger_queries, text_queries, report_queries, session_queries, more_queries, record_queries]
+MODULES = [ledger_queries, text_queries, report_queries, session_queries, more_queries, record_queries, sequence_queries]
 
 
 def queries():

@@ -216,7 +216,6 @@ QUERIES = {
             "best AS (SELECT parent, context, arg_max(sid, (cost_e8, sid)) AS agent, max(cost_e8) AS cost_e8, arg_max(tokens, (cost_e8, sid)) AS tokens, sum(cost_e8) - max(cost_e8) AS dropped_e8 FROM agents GROUP BY parent, context)",
         ),
     ),
-    "j10_nearest_once": (lambda s, d: turns.merge_nearest_once(*_near_sides(s, d)), None),
     "j11_nearest_row": (
         lambda s, d: turns.attach_nearest(adapter.settled(s, d).where("parent is not null").select("parent", "req", "ts_s"), adapter.settled(s, d).where("parent is null").withColumnRenamed("sid", "main").withColumnRenamed("parent", "p").withColumnRenamed("main", "parent"), "parent").select("parent", "req", "nearest"),
         sql(
@@ -253,7 +252,6 @@ QUERIES = {
         lambda s, d: limits.idle_turn_cost(settled(s, d).withColumn("grp", F.col("user_id") % 10), 60, "grp").select("grp", "req", "turn_cost_e8"),
         sql("SELECT grp, req, sum(cost_e8) OVER (PARTITION BY grp, turn ORDER BY ts_s, line)::BIGINT AS turn_cost_e8 FROM (SELECT *, sum(fresh) OVER (PARTITION BY grp ORDER BY ts_s, line) AS turn FROM (SELECT *, user_id % 10 AS grp, coalesce(ts_s - lag(ts_s) OVER (PARTITION BY user_id % 10 ORDER BY ts_s, line) > 60, true)::INT AS fresh FROM settled))"),
     ),
-    "w25_burn_intervals": (lambda s, d: limits.burn_intervals(adapter.limit_samples(s, d), ["lane"]), None),
     "m3_points_per_dollar": (
         lambda s, d: limits.points_per_dollar(settled(s, d).withColumn("rise", (F.col("k") % 9).cast("double")), ["model"]),
         sql("SELECT model, round(sum(x * y) / sum(x * x), 9) AS points_per_usd, count(*)::BIGINT AS n FROM (SELECT model, cost_e8 / 1e8::DOUBLE AS x, (k % 9)::DOUBLE AS y FROM settled) GROUP BY model"),

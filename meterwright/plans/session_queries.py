@@ -122,14 +122,6 @@ QUERIES = {
         lambda s, d: sessions.controlled_rate(settled(s, d).select("req", (F.col("input") + F.col("cr")).alias("tokens"), F.col("k").cast("double").alias("rise"), (F.col("k") / 4).alias("known"))).select("req", F.round("rate", 9).alias("rate")),
         sql("SELECT req, CASE WHEN input + cr > 0 THEN round((k - k / 4.0::DOUBLE) / (input + cr) * 1e6, 9) END AS rate FROM settled"),
     ),
-    "t4_fold_segments": (
-        lambda s, d: sessions.fold_segments(_turns(s, d).withColumn("role", F.when(F.col("role") == "user", "User").otherwise("Assistant"))).select("sid", "line", F.char_length("text").cast("long").alias("n")),
-        None,
-    ),
-    "t1_compact_transcripts": (lambda s, d: sessions.compact_transcripts(_turns(s, d)).select("sid", "turn", "from_line", "to_line", "markers", "preview", F.size("replies").alias("replies")), None),
-    "t9_dialogue": (lambda s, d: sessions.abbreviated_dialogue(_turns(s, d)).select("sid", "run", "role", "line", "text"), None),
-    "t10_verbatim_tail": (lambda s, d: sessions.verbatim_tail(_turns(s, d)).select("sid", "line", "used"), None),
-    "t5_restore_sections": (lambda s, d: sessions.restore_sections(_turns(s, d).withColumn("priority", F.when(F.col("role") == "user", 0).otherwise(1)), 800).select("sid", "line", "used"), None),
     "p23_first_last": (
         lambda s, d: sessions.first_and_last_message(_turns(s, d)),
         "SELECT conv_id AS sid, arg_min(t, turn) AS first_text, arg_max(t, turn) AS last_text, count(*)::BIGINT AS messages FROM (SELECT conv_id, turn, " + STRIP.format("text") + " AS t FROM conversations WHERE role = 'user') WHERE t <> '' GROUP BY conv_id",

@@ -199,7 +199,7 @@ def test_only_real_account_switches(spark):
     assert sorted(r.ts_s for r in accounts.account_changes(df).collect()) == [1, 3, 4]
 
 
-@pytest.mark.parametrize("name", ["a15_daily_cost", "j5_account_global", "w3_anchored_blocks", "w9_counter_delta", "a17_hour_profile", "a13_turn_aggregate", "s17_export_log"])
+@pytest.mark.parametrize("name", ["a15_daily_cost", "j5_account_global", "w3_anchored_blocks", "w9_counter_delta", "a17_hour_profile", "a13_turn_aggregate", "s17_export_log", "j10_nearest_once", "w25_burn_intervals", "t1_compact_transcripts", "t5_tight_budgets", "t10_cut_tails"])
 def test_twins_agree(spark, name):
     base = "/root/testdata/sf0.001"
     con = duckdb.connect()

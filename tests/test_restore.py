@@ -168,3 +168,11 @@ def test_compact_transcripts_have_their_markers(spark):
     got = {r.from_line: r.markers for r in sessions.compact_transcripts(df).collect()}
     assert got == {1: "@", 3: "", 4: "+"}
     assert turns.group_turns(df).count() == 3
+
+
+def test_tail_without_an_opening_has_the_whole_cap(spark):
+    lines = spark.createDataFrame([("s", 0, "system", "x" * 400), ("s", 1, "assistant", "y" * 2000)], "sid string, line long, role string, text string")
+    got = restore.verbatim_tail(lines, cap=300).collect()
+    # no user line is kept, so nothing is set aside for one: 260 tokens of the reply, which are 546 characters, behind the note
+    assert [(r.line, r.cut, r.omitted_lines, r.omitted_chars) for r in got] == [(1, True, 1, 400 + 2000 - 546)]
+    assert got[0].text.endswith("] " + "y" * 546) and got[0].used <= 300
