@@ -234,14 +234,25 @@ def limit_total_row(rows: DataFrame, key: str) -> DataFrame:
     return rows.rollup(key).agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("sid").alias("sessions"), F.sum("cost_e8").alias("cost_e8"))
 
 
-def window_usage(rows: DataFrame, windows: DataFrame, bucket: int = 5 * 3600) -> DataFrame:
-    """Usage of windows that may overlap: [start, active_end) on the same bucket of time, then the exact test.
+def window_usage(rows: DataFrame, windows: DataFrame, bucket: int = 300) -> DataFrame:
+    """Usage of windows that may overlap, those of [start, active_end), by lane and start.
 
-    Windows are given to each bucket that they touch, so the join is by equality.
+    Time is cut into buckets. In one that a window begins or ends in, rows are summed by session and second; in all others,
+    which every window covers whole or not at all, by session only. The windows are given to the buckets that
+    they touch and joined by equality, so what is multiplied by overlapping windows are sums, never rows. Rows
+    without a time are in no window, a window without a row gives none, and an empty one (active_end <= start) holds nothing.
     """
-    spread = windows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("active_end") - 1) / bucket))))
-    near = rows.withColumn("_b", F.floor(F.col("ts_s") / bucket)).join(spread.select("_b", "lane", "start", "active_end"), "_b").where("ts_s >= start and ts_s < active_end")
-    return near.groupBy("lane", "start").agg(F.sum("cost_e8").alias("cost_e8"), F.sum(all_tokens()).alias("tokens"), F.count(F.lit(1)).alias("requests"), F.count_distinct("sid").alias("sessions"))
+    windows = windows.select("lane", "start", "active_end").where("active_end > start")
+    of = lambda t: F.floor(t / bucket).cast("long")
+    ends = F.array(F.when(F.col("start") % bucket != 0, of(F.col("start"))), F.when(F.col("active_end") % bucket != 0, of(F.col("active_end"))))
+    edges = windows.select(F.explode(F.array_compact(ends)).alias("_b")).distinct().withColumn("_edge", F.lit(True))
+    slim = rows.where("ts_s is not null").select(of(F.col("ts_s")).alias("_b"), "ts_s", "sid", "cost_e8", all_tokens().alias("tokens"))
+    sums = slim.join(edges, "_b", "left").groupBy("_b", "sid", F.when(F.col("_edge"), F.col("ts_s")).alias("_at")).agg(
+        F.sum("cost_e8").alias("cost_e8"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("requests")
+    )
+    spread = windows.withColumn("_b", F.explode(F.sequence(of(F.col("start")), of(F.col("active_end") - 1))))
+    near = sums.join(spread, "_b").where("_at is null or (_at >= start and _at < active_end)")
+    return near.groupBy("lane", "start").agg(F.sum("cost_e8").alias("cost_e8"), F.sum("tokens").alias("tokens"), F.sum("requests").alias("requests"), F.count_distinct("sid").alias("sessions"))
 
 
 def private_view(rows: DataFrame, ids: list[str], texts: list[str]) -> DataFrame:

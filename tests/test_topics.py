@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterwright.functions import scalars as S
-from meterwright.operators import limits, sessions, turns, windows
+from meterwright.operators import limits, report, sessions, turns, windows
 
 
 def plain_topics(docs, queries, k):
@@ -183,3 +183,21 @@ def test_chains_of_pointers(spark):
     lines = spark.createDataFrame([(1, 1, "user", "L1->" * 20_000 + "L7 a"), (1, 2, "assistant", "L1->L2->x"), (1, 3, "user", "L1-> L2")], "sid long, line long, role string, text string")
     got = sessions.abbreviated_dialogue(lines).orderBy("line").collect()
     assert [r.text for r in got] == ["L7 a", "L2->x", "L1-> L2"]
+
+
+def test_usage_of_overlapping_windows_against_a_plain_sum(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("abcd"), rng.choice((rng.randrange(4000), rng.randrange(900, 1200), 900)), rng.randrange(100), *(rng.randrange(9) for _ in range(4))) for _ in range(600)]
+    rows += [("a", None, 5, 1, 1, 1, 1), (None, 950, 7, 1, 1, 1, 1)]
+    spans = [("x", 0, 900), ("x", 300, 1200), ("y", 899, 901), ("y", 901, 3700), ("y", 950, 950), ("z", 5000, 6000), ("z", 1, 599), (None, 600, 900)]
+    df = spark.createDataFrame(rows, "sid string, ts_s long, cost_e8 long, input long, cc long, cr long, out long")
+    windows = spark.createDataFrame(spans, "lane string, start long, active_end long")
+    want = []
+    for lane, start, end in spans:
+        held = [r for r in rows if r[1] is not None and start <= r[1] < end]
+        if held:
+            want.append((lane, start, sum(r[2] for r in held), sum(sum(r[3:]) for r in held), len(held), len({r[0] for r in held} - {None})))
+    for bucket in (1, 7, 300, 18_000):
+        got = report.window_usage(df, windows, bucket).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)), bucket
+    assert report.window_usage(df.limit(0), windows).count() == 0 and report.window_usage(df, windows.limit(0)).count() == 0
