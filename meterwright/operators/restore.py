@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +30,10 @@ SECTIONS = (
 )
 
 
+#: What is known of a block's size.
+SIZES = ("from_line", "whole_ascii", "whole_other", "fold_ascii", "fold_other", "tail_line", "tail_cost")
+
+
 def _tokens(ascii_chars: float, other: float) -> int:
     return math.ceil(ascii_chars / 4 + other / 1.5) + 1
 
@@ -40,43 +44,49 @@ def _text_tokens(text: str) -> int:
 
 
 def _chooser(budget: int, sections: tuple[Section, ...]):
-    """Blocks of one session, numbers only -> those that are taken."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        spent, out = 0, []
-
-        def take(row, how: str, from_line: int, cost: int) -> bool:
-            nonlocal spent
-            if spent + cost > budget:
-                return False
-            spent += cost
-            out.append((row.sid, row.priority, row.grp, row.segment, how, from_line, spent))
-            return True
-
-        for priority, part in rows.groupby("priority", sort=True):
-            title, mode = sections[min(priority, len(sections) - 1)]
-            head, closed = _text_tokens(title) if title else 0, False
-            # groups newest first, and their blocks newest first
-            part = part.sort_values(["grp_at", "grp", "segment"], ascending=[False, True, False])
-            for number, (grp, blocks) in enumerate(part.groupby("grp", sort=False)):
-                label = _text_tokens(f"### earlier session {grp}") if grp else 0
-                for k, row in enumerate(blocks.itertuples(index=False)):
-                    heads = head + (label if k == 0 else 0)
-                    whole, folded = _tokens(row.whole_ascii, row.whole_other), _tokens(row.fold_ascii, row.fold_other)
-                    done = False
-                    if mode == "verbatim" or mode == "newest" and number == k == 0:
-                        done = take(row, "verbatim", row.from_line, heads + whole)
-                    if not done and mode != "verbatim":
-                        done = take(row, "folded", row.from_line, heads + folded)
-                    if not done and mode == "newest" and number == k == 0 and row.tail_line == row.tail_line and row.tail_line is not None:
-                        done = take(row, "tail", int(row.tail_line), heads + int(row.tail_cost))
-                    if not done:
-                        closed = k == 0  # a group without a block ends its section
-                        break
-                    head = 0
-                if closed:
-                    break
-        return pd.DataFrame(out, columns=["sid", "priority", "grp", "segment", "how", "from_line", "used"])
+    """Blocks in order (session, section, groups newest first, their blocks newest first), numbers only -> those that are taken."""
+
+    def choose(batches):
+        session = section = group = spent = None
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("sid", "priority", "grp", *SIZES)), strict=True)
+            taken = []
+            for k, (sid, priority, grp, from_line, whole_ascii, whole_other, fold_ascii, fold_other, tail_line, tail_cost) in enumerate(rows):
+                if spent is None or sid != session:
+                    session, section, spent = sid, None, 0
+                if priority != section:
+                    section, group, number, closed = priority, None, -1, False
+                    title, mode = sections[min(priority, len(sections) - 1)]
+                    head = _text_tokens(title) if title else 0
+                if grp != group:
+                    group, first, full = grp, True, False
+                    number += 1
+                else:
+                    first = False
+                if closed or full:
+                    continue
+                heads = head + (_text_tokens(f"### earlier session {grp}") if grp and first else 0)
+                newest = mode == "newest" and number == 0 and first
+                ways = []
+                if mode == "verbatim" or newest:
+                    ways.append(("verbatim", from_line, _tokens(whole_ascii, whole_other)))
+                if mode != "verbatim":
+                    ways.append(("folded", from_line, _tokens(fold_ascii, fold_other)))
+                if newest and tail_line is not None:
+                    ways.append(("tail", tail_line, tail_cost))
+                way = next((w for w in ways if spent + heads + w[2] <= budget), None)
+                if way is None:
+                    # a group without a block ends its section
+                    full, closed = True, first
+                    continue
+                spent += heads + way[2]
+                head = 0
+                taken.append((k, way[0], way[1], spent))
+            if taken:
+                which, how, line, used = (list(c) for c in zip(*taken, strict=True))
+                same = batch.select(["sid", "priority", "grp", "segment"]).take(pa.array(which))
+                more = [pa.array(how, pa.string()), pa.array(line, pa.int64()), pa.array(used, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*same.columns, *more], names=[*same.schema.names, "how", "from_line", "used"])
 
     return choose
 
@@ -89,7 +99,8 @@ def restore_sections(entries: DataFrame, budget: int, sections: tuple[Section, .
     section takes its blocks newest first until one does not fit, and the next section is tried all the same; a heading
     counts with the first block under it only. The newest block is never lost for its size alone: verbatim, else folded,
     else as many of its last entries, folded, as fit. Gives sid, priority, segment, line, text as it is restored, how, used (tokens up to and with
-    its block). A session is one group with one row a block, numbers only; texts are joined to what was taken.
+    its block). Blocks are walked in order, one row each, numbers only, with a few
+    of them in memory; texts are joined to what was taken.
     """
     folded = S.fold(F.col("text"), 200, 100, 100)
     has = lambda name, other: F.col(name) if name in entries.columns else other
@@ -114,7 +125,10 @@ def restore_sections(entries: DataFrame, budget: int, sections: tuple[Section, .
     )
     blocks = blocks.select("*", F.col("t.line").alias("tail_line"), F.col("t.cost").alias("tail_cost")).drop("t")
     kind = f"sid {entries.schema['sid'].dataType.simpleString()}, priority int, grp string, segment long, how string, from_line long, used long"
-    taken = blocks.groupBy("sid").applyInPandas(_chooser(budget, sections), kind)
+    # a session's sorted blocks are one stretch of one task
+    dealt = blocks.where("priority is not null").repartition("sid").withColumn("_at", F.max("grp_at").over(Window.partitionBy("sid", "priority", "grp")))
+    order = dealt.sortWithinPartitions("sid", "priority", F.desc("_at"), "grp", F.desc("grp_at"), F.desc("segment"))
+    taken = order.select(*block, *[F.col(c).cast("long").alias(c) for c in SIZES]).mapInArrow(_chooser(budget, sections), kind)
     same = [rows[c].eqNullSafe(taken[c]) for c in block]
     out = rows.join(taken, same[0] & same[1] & same[2] & same[3] & (rows["line"] >= taken["from_line"]))
     text = F.when(F.col("how") == "verbatim", rows["text"]).otherwise(rows["folded"])

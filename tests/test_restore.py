@@ -89,6 +89,29 @@ def test_the_newest_segment_keeps_its_last_entries(spark):
     assert {how for how, _ in got.values()} == {"tail"} and sorted(line for *_, line in got) == list(range(20 - len(got), 20)) and len(got) >= 2
 
 
+@pytest.mark.parametrize("budget", [40, 150, 700])
+def test_many_sessions_are_walked_in_batches_that_cut_them(spark, budget):
+    rng, rows, line = random.Random(5), {}, 0
+    for sid in ("a", "b", None, "c", "d"):
+        for priority, groups in ((0, [("", 0)]), (1, [("", 0)]), (2, [("", 0)]), (3, [("old", 5), ("older", 3)])):
+            for grp, at in groups:
+                for segment in range(1 if priority == 2 else 4):
+                    line += 1
+                    rows.setdefault(sid, []).append((priority, line, rng.choice("aé") * rng.randrange(1, 300), segment, grp, at))
+    df = spark.createDataFrame([(sid, *e) for sid, es in rows.items() for e in es] + [("a", None, 0, "of no section", 0, "", 0)], ENTRY)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = restore.restore_sections(df, budget)
+        # one Python call a session cost more than all else
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.sid, {})[r.priority, r.segment, r.line] = (r.how, r.used)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {sid: want for sid, es in rows.items() if (want := plain(es, budget))}
+
+
 # --- tail
 
 
