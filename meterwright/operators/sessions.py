@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import scalars as S
+from ..sources.committed import committed
 from .ledger import all_tokens
 from .restore import marked_transcripts, restore_sections, verbatim_tail  # noqa: F401
 
@@ -233,14 +234,41 @@ def qualified_windows(samples: DataFrame, least_5h: float = 10, least_7d: float
 
 
 def jump_study(rows: DataFrame, samples: DataFrame, key: str, least_write: int = 10_000, after: tuple[int, int] = (180, 1800)) -> DataFrame:
-    """The greatest reading 3 to 30 minutes after each large cache write, with the calls in that span."""
-    kind = "int"
-    events = rows.select(key, "ts_s", F.lit(None).cast("double").alias("used_percent"), (F.col("cc") >= least_write).alias("large"), F.col("cc"), F.lit(1).cast(kind).alias("call"), "line")
-    readings = samples.select(key, "ts_s", "used_percent", F.lit(False).alias("large"), F.lit(0).cast("long").alias("cc"), F.lit(0).cast(kind).alias("call"), "line")
-    span = Window.partitionBy(key).orderBy("ts_s").rangeBetween(*after)
-    before = Window.partitionBy(key).orderBy("ts_s").rangeBetween(Window.unboundedPreceding, 0)
-    both = events.unionByName(readings).withColumns({"most": F.max("used_percent").over(span), "calls": F.sum("call").over(span), "top": F.max("used_percent").over(before)})
-    return both.where("large").select(key, "ts_s", "line", "cc", (F.col("most") - F.col("top")).alias("rise"), F.coalesce("calls", F.lit(0)).alias("other_calls"))
+    """The greatest reading 3 to 30 minutes after each large cache write, with the calls in that span.
+
+    Time is cut into blocks as long as the span, so that a span is the end of one block and the beginning of the next: a running
+    value from either side answers it, and no row of a span is read again for another span. A block of a key has one row a second;
+    the highest reading before a block is carried over from the blocks. Writes without a key or a time meet nothing.
+    """
+    width = after[1] - after[0] + 1
+    block = lambda t: F.floor(F.col(t) / width)
+    calls = committed(rows.select(key, "ts_s", "line", "cc"), "calls")
+    none = F.lit(None).cast("double").alias("most")
+    both = calls.select(key, "ts_s", none, F.lit(1).alias("calls"), (F.col("cc") >= least_write).alias("large"))
+    both = both.unionByName(samples.select(key, "ts_s", F.col("used_percent").alias("most"), F.lit(0).alias("calls"), F.lit(False).alias("large")))
+    seconds = both.where(F.col(key).isNotNull() & F.col("ts_s").isNotNull()).groupBy(key, "ts_s").agg(F.max("most").alias("most"), F.sum("calls").alias("calls"), F.max("large").alias("large"))
+    seconds = committed(seconds, "seconds")
+    # a second with a large write also asks at the first and the last second of its span, unless the span is one whole block
+    ask = lambda side, shift: F.struct(F.lit(side).alias("side"), (F.col("ts_s") + shift).alias("at"), none, F.lit(0).cast("long").alias("calls"))
+    own = F.struct(F.lit("own").alias("side"), F.col("ts_s").alias("at"), "most", "calls")
+    split = F.pmod(F.col("ts_s") + after[0], F.lit(width)) != 0
+    each = F.array_compact(F.array(own, F.when(F.col("large"), ask("first", after[0])), F.when(F.col("large") & split, ask("last", after[1]))))
+    marks = seconds.select(key, F.col("ts_s").alias("asked"), "large", F.explode(each).alias("x")).select(key, "asked", "large", "x.*").withColumn("block", block("at"))
+    upto, since = (Window.partitionBy(key, "block").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("at"), F.desc("at")))
+    marks = marks.withColumns({"_upto": F.max("most").over(upto), "_calls_upto": F.sum("calls").over(upto), "_since": F.max("most").over(since), "_calls_since": F.sum("calls").over(since)})
+    side = lambda name, c: F.when(F.col("side") == name, F.col(c))
+    found = marks.where("large").groupBy(key, F.col("asked").alias("ts_s")).agg(
+        F.max(F.coalesce(side("first", "_since"), side("last", "_upto"))).alias("most"),
+        F.sum(F.coalesce(side("first", "_calls_since"), side("last", "_calls_upto"))).alias("other_calls"),
+        F.max(side("own", "_upto")).alias("top"),
+    )
+    # one row a block of a key goes through this window
+    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = seconds.groupBy(key, block("ts_s").alias("block")).agg(F.max("most").alias("most")).select(key, "block", F.max("most").over(earlier).alias("carried"))
+    found = found.withColumn("block", block("ts_s")).join(carried, [key, "block"], "left")
+    found = found.select(key, "ts_s", (F.col("most") - F.greatest("top", "carried")).alias("rise"), "other_calls")
+    large = calls.where(F.col("cc") >= least_write).join(found, [key, "ts_s"], "left")
+    return large.select(key, "ts_s", "line", "cc", "rise", F.coalesce("other_calls", F.lit(0)).cast("long").alias("other_calls"))
 
 
 def context_size(lines: DataFrame) -> DataFrame:

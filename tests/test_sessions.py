@@ -1,5 +1,8 @@
 """Fixture tests of the session, marker and study operators."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from meterwright.operators import sessions, turns
@@ -72,3 +75,27 @@ def test_turns_and_restore_view(spark):
 def test_budget_takes_a_prefix(spark):
     df = spark.createDataFrame([("s", n, 10) for n in range(10)], "sid string, line long, tokens long")
     assert sorted(r.line for r in turns.budget_select(df, 36, heading=3).collect()) == [7, 8, 9]
+
+
+@pytest.mark.parametrize("after", [(3, 10), (0, 0), (-4, 2), (180, 1800)])
+def test_jumps_against_every_pair(spark, after):
+    rng = random.Random(after[1])
+    at = lambda: None if rng.random() < 0.03 else rng.choice([rng.randrange(-30, 60), rng.randrange(-3000, 6000), 50_000])
+    key = lambda: rng.choice([1, 1, 2, 3, None])
+    calls = [(key(), at(), line, rng.choice([None, 10, 10_000, 20_000])) for line in range(300)]
+    # the same write twice stays two rows; a key without readings, a reading without a value
+    calls += calls[:5] + [(4, 5, 900, 10_000), (4, 8, 901, 0)]
+    readings = [(key(), at(), rng.choice([None, 1.0, 5.0, 50.0 + k % 40]), k) for k in range(60)]
+    rows = spark.createDataFrame(calls, "grp long, ts_s long, line long, cc long")
+    got = sessions.jump_study(rows, spark.createDataFrame(readings, "grp long, ts_s long, used_percent double, line long"), "grp", after=after)
+    # no span is read row by row for each write, which grew with the square of a key's rows
+    assert f"RangeFrame, {after[0]}, {after[1]}" not in got._jdf.queryExecution().toString()
+
+    def want(g, t, line, cc):
+        inside = lambda grp, ts: None not in (g, t, ts) and grp == g and t + after[0] <= ts <= t + after[1]
+        most = max((u for grp, ts, u, _ in readings if u is not None and inside(grp, ts)), default=None)
+        top = max((u for grp, ts, u, _ in readings if None not in (u, ts, t, g) and grp == g and ts <= t), default=None)
+        return g, t, line, cc, None if None in (most, top) else most - top, sum(inside(c[0], c[1]) for c in calls)
+
+    order = lambda found: sorted(found, key=str)
+    assert order(tuple(r) for r in got.collect()) == order(want(*c) for c in calls if (c[3] or 0) >= 10_000)
